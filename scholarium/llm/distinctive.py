@@ -11,14 +11,8 @@ def _merged(words: Column) -> Column:
     return F.transform(words, lambda w: F.struct(F.lower(w["word"]).alias("word"), w["tf"].alias("tf")))
 
 
-def record_terms(documents: DataFrame, key: str = "doc_id", vector: str = "tsv", counts: str = "freqs") -> DataFrame:
-    """(key, word, tf, length): what each record uses of each lower-case word, and its total of uses.
-
-    The number of positions in ``vector`` counts; where ``vector`` is null, the ``nentry`` sums of
-    ``counts``. Both null, an empty list, null words and uses of zero or less give no row; null
-    ``nentry`` counts as zero. Words that differ only in letter case are added up. All other columns
-    of the input are ignored, whatever their names.
-    """
+def _records(documents: DataFrame, key: str, vector: str, counts: str) -> DataFrame:
+    """(key, _uses map<word,tf>, length), one row per record that uses a word; nothing is exploded yet."""
     from_vector = F.transform(
         F.map_entries(F.col(vector)),
         lambda e: F.struct(e["key"].alias("word"), F.coalesce(F.size(e["value"]), F.lit(0)).cast("long").alias("tf")),
@@ -27,9 +21,10 @@ def record_terms(documents: DataFrame, key: str = "doc_id", vector: str = "tsv",
         F.filter(F.col(counts), lambda e: e.isNotNull()),
         lambda e: F.struct(e["word"].alias("word"), F.coalesce(e["nentry"], F.lit(0)).cast("long").alias("tf")),
     )
-    terms = F.filter(_merged(F.coalesce(from_vector, from_counts)), lambda e: (e["tf"] > 0) & e["word"].isNotNull())
+    kept = F.filter(_merged(F.coalesce(from_vector, from_counts)), lambda e: (e["tf"] > 0) & e["word"].isNotNull())
+    records = documents.select(F.col(key), kept.alias("_terms")).where(F.size("_terms") > 0)
     # One record's list is summed inside its row: no shuffle is needed to add up spellings.
-    words = F.array_distinct(F.transform(terms, lambda e: e["word"]))
+    terms, words = F.col("_terms"), F.array_distinct(F.col("_terms.word"))
     as_map = F.when(F.size(words) == F.size(terms), F.map_from_entries(terms)).otherwise(
         F.map_from_arrays(
             words,
@@ -37,7 +32,19 @@ def record_terms(documents: DataFrame, key: str = "doc_id", vector: str = "tsv",
         )
     )
     length = F.aggregate(terms, F.lit(0).cast("long"), lambda s, e: s + e["tf"])
-    return documents.select(F.col(key), length.alias("length"), F.explode(as_map).alias("word", "tf")).select(key, "word", "tf", "length")
+    return records.select(key, as_map.alias("_uses"), length.alias("length"))
+
+
+def record_terms(documents: DataFrame, key: str = "doc_id", vector: str = "tsv", counts: str = "freqs") -> DataFrame:
+    """(key, word, tf, length): what each record uses of each lower-case word, and its total of uses.
+
+    The number of positions in ``vector`` counts; where ``vector`` is null, the ``nentry`` sums of
+    ``counts``. Both null, an empty list, null words and uses of zero or less give no row; null
+    ``nentry`` counts as zero. Words that differ only in letter case are added up. All other columns
+    of the input are ignored, whatever their names.
+    """
+    records = _records(documents, key, vector, counts)
+    return records.select(key, "length", F.explode("_uses").alias("word", "tf")).select(key, "word", "tf", "length")
 
 
 def distinctive_terms(documents: DataFrame, key: str = "doc_id", vector: str = "tsv", counts: str = "freqs", k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -53,8 +60,7 @@ def distinctive_terms(documents: DataFrame, key: str = "doc_id", vector: str = "
     terms = record_terms(documents, key, vector, counts)
     frequency = terms.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     n = documents.agg(F.count(F.lit(1))).scalar()
-    # uses of all words / records with words, from the same postings
-    mean = terms.agg((F.sum("tf") / F.sum(F.col("tf") / F.col("length"))).alias("m")).scalar()
+    mean = _records(documents, key, vector, counts).agg(F.avg("length")).scalar()
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = 1 - F.lit(b) + F.lit(b) * F.col("length") / mean
     return terms.join(frequency, "word").select(
