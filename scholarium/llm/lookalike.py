@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scholarium.plans.lineage import cut
+
 # Letters of other alphabets, and the Latin letter that they look like.
 LOOKALIKES = {
     # Greek
@@ -149,7 +151,7 @@ def found(documents: DataFrame) -> DataFrame:
     stored texts differ. Forms of a single stored spelling are dropped before the join, so the copies
     of one string (which are no case) never meet each other.
     """
-    rows = fingerprints(documents)
+    rows = cut(fingerprints(documents))  # a few bytes a row, so that the texts are read once
     mixed = rows.groupBy("form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("form")
     rows = rows.join(mixed, "form", "left_semi")
     a = rows.select("form", "look", "raw", F.col("doc_id").alias("doc_id_a"))
