@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scholarium.llm import distinctive, fusion_rank, lookalike
+from scholarium.llm import distinctive, fusion_rank, leakage, lookalike
 from scholarium.sources.tables import table
 
 
@@ -18,12 +18,16 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return fusion_rank.found(table(spark, d, "documents_data"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.found(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.found(table(spark, d, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p5_found": p5_found, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p5_found": p5_found, "p7_found": p7_found, "p8_found": p8_found}
 
 
 P1_FOUND = """
