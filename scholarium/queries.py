@@ -6,9 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scholarium.operators import packed
+from scholarium.sources.tables import table
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return packed.found(table(spark, d, "documents"))
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {"p3_found": p3_found}
 
 
 def oracle_sql() -> dict[str, str]:
