@@ -84,25 +84,28 @@ def _blocks(raw: list[bytes], kind: str) -> tuple[np.ndarray, np.ndarray, np.nda
     return ids, np.repeat(first[:-1], sizes) + place // BLOCK, first
 
 
-def _summed(df: DataFrame, run, schema_of: str, groups: int = 8) -> np.ndarray | None:
-    """Sum of the equal-length float arrays that ``run`` yields, one a task, added up in two steps on the executors."""
-    parts = df.mapInPandas(run, "_group int, _sum binary")
+def _add(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = reduce(np.add, (np.frombuffer(x, dtype="<f8") for x in pdf["_sum"]))
+    return pd.DataFrame({"_group": [int(pdf["_group"].iloc[0])], "_sum": [total.tobytes()]})
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = reduce(np.add, (np.frombuffer(x, dtype="<f8") for x in pdf["_sum"]))
-        return pd.DataFrame({"_group": [int(pdf["_group"].iloc[0]) % groups], "_sum": [total.tobytes()]})
 
-    schema = "_group int, _sum binary"
-    once = parts.groupBy("_group").applyInPandas(add, schema)
-    got = once.groupBy("_group").applyInPandas(add, schema).collect()  # at most ``groups`` arrays of bounded size
-    return reduce(np.add, (np.frombuffer(r["_sum"], dtype="<f8") for r in got)) if got else None
+def _summed(df: DataFrame, run, fan_in: int = 16) -> np.ndarray | None:
+    """Sum of the equal-length float arrays that ``run`` yields, one a task, added up in a tree on the executors."""
+    schema = "_group long, _sum binary"
+    parts = df.mapInPandas(run, schema)
+    width = max(1, df.rdd.getNumPartitions())
+    while width > 1:
+        width = -(-width // fan_in)
+        parts = parts.withColumn("_group", F.col("_group") % width).groupBy("_group").applyInPandas(_add, schema)
+    got = parts.collect()  # one array of bounded size
+    return np.frombuffer(got[0]["_sum"], dtype="<f8") if got else None
 
 
-def _task_group() -> int:
+def _task() -> int:
     from pyspark import TaskContext
 
     ctx = TaskContext.get()
-    return (ctx.partitionId() if ctx else 0) % 512
+    return ctx.partitionId() if ctx else 0
 
 
 def _rows(ids: np.ndarray, block: np.ndarray, n: int, basis: np.ndarray) -> np.ndarray:
@@ -130,9 +133,9 @@ def _latent(encoded: DataFrame, kind: str, items: list[np.ndarray], m: int, seed
             total[0] += first[-1]
             both = np.unique(block[ids > 0] * (m + 1) + ids[ids > 0])
             total += np.bincount(both % (m + 1), minlength=m + 1)
-        yield pd.DataFrame({"_group": [_task_group()], "_sum": [total.tobytes()]})
+        yield pd.DataFrame({"_group": [_task()], "_sum": [total.tobytes()]})
 
-    df = _summed(encoded, count, "counts")
+    df = _summed(encoded, count)
     if df is None or df[0] == 0:
         return None
     n = df[0]
@@ -155,9 +158,9 @@ def _latent(encoded: DataFrame, kind: str, items: list[np.ndarray], m: int, seed
             y = _rows(ids, block, int(first[-1]), start)
             order = np.argsort(ids, kind="stable")
             total += _rows(block[order], ids[order], m + 1, y)
-        yield pd.DataFrame({"_group": [_task_group()], "_sum": [np.append(total.ravel(), mass).tobytes()]})
+        yield pd.DataFrame({"_group": [_task()], "_sum": [np.append(total.ravel(), mass).tobytes()]})
 
-    got = _summed(encoded, sketch, "sketch")
+    got = _summed(encoded, sketch)
     gram, mass = got[:-1].reshape(m + 1, size) * weight[:, None], max(got[-1], 1e-9)
     exact = np.zeros((len(items), m + 1))
     for k, ids in enumerate(items):
@@ -173,18 +176,18 @@ def _latent(encoded: DataFrame, kind: str, items: list[np.ndarray], m: int, seed
     return weight, (basis * weight[:, None]).astype(np.float32)
 
 
-def longest_run(item: np.ndarray, doc: np.ndarray, one_in: int) -> tuple[int, int]:
-    """(words, differences) of the longest stretch of the item that stands in doc with at most one word in ``one_in`` replaced.
+def longest_run(item: np.ndarray, doc: np.ndarray, one_in: int, least: int = 2) -> tuple[int, int, int, int]:
+    """(words, differences, start in item, start in doc) of the longest stretch of the item that stands in doc with at most one word in ``one_in`` replaced.
 
-    Both are arrays of word numbers; 0 equals nothing.
+    Both are arrays of word numbers; 0 equals nothing. Stretches of fewer than ``least`` equal words are not looked for.
     """
     i, j = np.nonzero((item[:, None] == doc[None, :]) & (item[:, None] > 0))
-    best = (0, 0)
+    best = (0, 0, 0, 0)
     if not len(i):
         return best
     shift = j - i + len(item)
     counts = np.bincount(shift)
-    for s in np.flatnonzero(counts >= 2):
+    for s in np.flatnonzero(counts >= least):
         if counts[s] <= best[0] * (one_in - 1) / one_in:
             continue
         at = i[shift == s]  # ascending item positions that match on this diagonal
@@ -195,7 +198,8 @@ def longest_run(item: np.ndarray, doc: np.ndarray, one_in: int) -> tuple[int, in
         if ok.any():
             k = int(np.where(ok, span, 0).argmax())
             if span.flat[k] > best[0]:
-                best = (int(span.flat[k]), int(wrong.flat[k]))
+                first = int(at[k // len(at)])
+                best = (int(span.flat[k]), int(wrong.flat[k]), first, first + int(s) - len(item))
     return best
 
 
@@ -261,6 +265,7 @@ def _search(encoded: DataFrame, kind: str, key: str, key_type: str, names: list,
                 yield search(batch.iloc[lo : lo + 500])
 
     def search(batch: pd.DataFrame) -> pd.DataFrame:
+        mark = np.zeros(len(weight), dtype=bool)
         ids, block, first = _blocks(list(batch["_ids"]), kind)
         keep = heavy[ids]
         rows = _rows(ids[keep], block[keep], int(first[-1]), terms)
@@ -282,14 +287,20 @@ def _search(encoded: DataFrame, kind: str, key: str, key_type: str, names: list,
             best, common, share = (0, 0), 0, 0.0
             for lo, hi in _regions((b[s] - first[d]) * BLOCK, len(item), len(own)):
                 part = own[lo:hi]
-                got = longest_run(item, part, one_in)
                 need = min(run_words, len(item))
-                answered = float(np.isin(answers[int(k[s.start])], part).mean())
-                # A stretch with a word put in or left out has an unbroken side of this length.
-                close = got[0] >= need or got[0] >= (need - 2) // 2 - 1
-                lcs = common_subsequence(item, part) if close or answered >= 0.75 else 0
-                if close and got[0] < need and lcs >= need * (one_in - 1) // one_in:
-                    got = max(got, _aligned(item, part, one_in))
+                side = (need - 2) // 2 - 1  # a stretch with a word put in or left out has an unbroken side of this length
+                got = longest_run(item, part, one_in, side)
+                mark[part] = True
+                answered = float(mark[answers[int(k[s.start])]].mean())
+                mark[part] = False
+                close = got[0] >= side
+                lcs = common_subsequence(item, part) if answered >= 0.75 or got[0] >= need else 0
+                if close and got[0] < need:
+                    of_item, of_doc = ((max(0, x - need), x + got[0] + need) for x in got[2:])
+                    near, there = item[slice(*of_item)], part[slice(*of_doc)]
+                    if common_subsequence(near, there) >= need * (one_in - 1) // one_in:
+                        got = max(got[:2], _aligned(near, there, one_in))
+                got = got[:2]
                 best, common, share = max(best, got), max(common, lcs), max(share, answered)
             whole = best[0] >= min(run_words, len(item))
             if whole or common >= 0.6 * len(item) and share >= 0.75:
@@ -317,7 +328,7 @@ def _regions(starts: np.ndarray, margin: int, n: int) -> Iterator[tuple[int, int
     yield lo, min(hi, n)
 
 
-def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", least_cosine: float = 0.45, run_words: int = 25, one_in: int = 12, seed: int = 7) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", least_cosine: float = 0.5, run_words: int = 25, one_in: int = 12, seed: int = 7) -> DataFrame:
     """(key, item_id, cosine, run, differing, common, answers, kind): documents that hold evaluation items.
 
     Texts are brought to their consistent form and cut into words; only words that some item uses can
