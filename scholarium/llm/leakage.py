@@ -285,7 +285,7 @@ def _search(encoded: DataFrame, kind: str, key: str, key_type: str, names: list,
             d, item = int(doc[s.start]), items[int(k[s.start])]
             own = ids[start[d] : start[d + 1]]
             best, common, share = (0, 0), 0, 0.0
-            for lo, hi in _regions((b[s] - first[d]) * BLOCK, len(item), len(own)):
+            for lo, hi in _regions((b[s] - first[d]) * BLOCK, BLOCK, len(own)):
                 part = own[lo:hi]
                 need = min(run_words, len(item))
                 side = (need - 2) // 2 - 1  # a stretch with a word put in or left out has an unbroken side of this length
@@ -294,6 +294,9 @@ def _search(encoded: DataFrame, kind: str, key: str, key_type: str, names: list,
                 answered = float(mark[answers[int(k[s.start])]].mean())
                 mark[part] = False
                 close = got[0] >= side
+                if close:  # only here the words around may belong to the stretch
+                    part = own[max(0, lo - len(item)) : hi + len(item)]
+                    got = longest_run(item, part, one_in, side)
                 lcs = common_subsequence(item, part) if answered >= 0.75 or got[0] >= need else 0
                 if close and got[0] < need:
                     of_item, of_doc = ((max(0, x - need), x + got[0] + need) for x in got[2:])
@@ -328,7 +331,7 @@ def _regions(starts: np.ndarray, margin: int, n: int) -> Iterator[tuple[int, int
     yield lo, min(hi, n)
 
 
-def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", least_cosine: float = 0.5, run_words: int = 25, one_in: int = 12, seed: int = 7) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", least_cosine: float = 0.45, run_words: int = 25, one_in: int = 12, seed: int = 7) -> DataFrame:
     """(key, item_id, cosine, run, differing, common, answers, kind): documents that hold evaluation items.
 
     Texts are brought to their consistent form and cut into words; only words that some item uses can
