@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scholarium.llm import distinctive, fusion_rank, leakage, lookalike
+from scholarium.llm import distinctive, fusion_rank, leakage, lookalike, packing
 from scholarium.sources.tables import table
 
 
@@ -18,6 +18,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return fusion_rank.found(table(spark, d, "documents_data"))
 
 
+def p6_pack(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"), table(spark, d, "pack_budgets"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.found(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -27,7 +31,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p5_found": p5_found, "p7_found": p7_found, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p5_found": p5_found, "p6_pack": p6_pack, "p7_found": p7_found, "p8_found": p8_found}
 
 
 P1_FOUND = """
