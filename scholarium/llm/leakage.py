@@ -89,7 +89,7 @@ def _add(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"_group": [int(pdf["_group"].iloc[0])], "_sum": [total.tobytes()]})
 
 
-def _summed(df: DataFrame, run, fan_in: int = 16) -> np.ndarray | None:
+def _summed(df: DataFrame, run, fan_in: int = 6) -> np.ndarray | None:
     """Sum of the equal-length float arrays that ``run`` yields, one a task, added up in a tree on the executors."""
     schema = "_group long, _sum binary"
     parts = df.mapInPandas(run, schema)
@@ -131,8 +131,12 @@ def _latent(encoded: DataFrame, kind: str, items: list[np.ndarray], m: int, seed
         for batch in batches:
             ids, block, first = _blocks(list(batch["_ids"]), kind)
             total[0] += first[-1]
-            both = np.unique(block[ids > 0] * (m + 1) + ids[ids > 0])
-            total += np.bincount(both % (m + 1), minlength=m + 1)
+            block, ids, step = block[ids > 0], ids[ids > 0], max(1, 16_000_000 // (m + 1))
+            for lo in range(0, int(first[-1]), step):
+                a, b = np.searchsorted(block, [lo, lo + step])
+                there = np.zeros((min(step, int(first[-1]) - lo), m + 1), dtype=bool)
+                there[block[a:b] - lo, ids[a:b]] = True
+                total += there.sum(axis=0)
         yield pd.DataFrame({"_group": [_task()], "_sum": [total.tobytes()]})
 
     df = _summed(encoded, count)
