@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scholarium.llm import distinctive, fusion_rank, leakage, lookalike, packing, survivor
+from scholarium.llm import distinctive, fusion_rank, leakage, lookalike, names, packing, survivor
 from scholarium.sources.tables import table
 
 
@@ -14,6 +14,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return distinctive.found(table(spark, d, "documents"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.found(table(spark, d, "authors"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return survivor.found(table(spark, d, "documents"), table(spark, d, "source_trust"))
 
@@ -35,7 +39,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p6_pack": p6_pack, "p7_found": p7_found, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_pack": p6_pack, "p7_found": p7_found, "p8_found": p8_found}
 
 
 P1_FOUND = """
