@@ -1,22 +1,563 @@
-"""Registry of the core queries and their SQL."""
+"""Registry of the core queries and the DuckDB SQL that says the same."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from scholarium.operators import packed
-from scholarium.sources.tables import table
+from scholarium.functions import mathx, strings, vectors
+from scholarium.operators import cluster, density, graph, ingest, packed, projection, spatial, termmatrix, text
+from scholarium.operators.nearest import against_all, nearest
+from scholarium.operators.quantiles import legacy_percentiles
+from scholarium.plans import service
+from scholarium.sources import documents_in
+from scholarium.sources.tables import TABLES, table
 
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
 
+
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        _QUERIES[name or f.__name__] = f
+        if sql:
+            _SQL[name or f.__name__] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def tables_of(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    return {t: table(spark, d, t) for t in TABLES}
+
+
+def points_of(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, x, y, rank), one row a document that has a place; a missing rank is null."""
+    rows = table(spark, d, "documents_data").where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
+    return rows.groupBy("doc_id").agg(F.first("x").alias("x"), F.first("y").alias("y"), F.max(F.when(~F.isnan("rank"), F.col("rank"))).alias("rank"))
+
+
+PTS = "pts AS (SELECT doc_id, any_value(x) AS x, any_value(y) AS y, max(CASE WHEN NOT isnan(rank) THEN rank END) AS rank FROM documents_data WHERE x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y) GROUP BY doc_id)"
+DATA = "dat AS (SELECT doc_id, any_value(x) AS x, any_value(y) AS y, any_value(rank) AS rank FROM documents_data WHERE rank IS NOT NULL AND NOT isnan(rank) GROUP BY doc_id)"
+CITES = "cites AS (SELECT DISTINCT doc_id AS src, ref_id AS dst FROM citations WHERE doc_id IS NOT NULL AND ref_id IS NOT NULL AND doc_id <> ref_id)"
+LINKS = "links AS (SELECT DISTINCT doc_id, aut_id FROM document_authors WHERE doc_id IS NOT NULL AND aut_id IS NOT NULL)"
+
+
+# Packed fields -----------------------------------------------------------------------------------
+
+
+@query()
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return packed.found(table(spark, d, "documents"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found}
+# Search ------------------------------------------------------------------------------------------
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+def _search(spark: SparkSession, d: str, **request) -> DataFrame:
+    return service.search(tables_of(spark, d), density=False, **request).documents.select("doc_id", F.round("rank", 6).alias("rank"))
+
+
+def _search_sql(where: str, extra: str = "", limit: str = "LIMIT 100") -> str:
+    return f"WITH {DATA} SELECT doc_id, round(rank, 6) AS rank FROM documents JOIN dat USING (doc_id) WHERE enabled AND {where} {extra} ORDER BY dat.rank DESC, doc_id {limit}"
+
+
+def _has(word: str) -> str:
+    return f"coalesce(list_contains(map_keys(tsv), '{word}'), FALSE)"
+
+
+_PHRASE = "coalesce(len(list_filter(tsv['approach'], lambda e: list_contains(list_transform(tsv['rest'], lambda f: f.pos), e.pos + 1))) > 0, FALSE)"
+
+
+@query(_search_sql(f"({_has('sediment')} OR {_has('household')})"))
+def search_or(spark, d):
+    return _search(spark, d, terms="sediment household", operator="or")
+
+
+@query(_search_sql(f"{_has('sample')} AND {_has('depth')}"))
+def search_and(spark, d):
+    return _search(spark, d, terms="sample depth", operator="and")
+
+
+@query(_search_sql(_PHRASE))
+def search_phrase(spark, d):
+    return _search(spark, d, terms='"approach rest"')
+
+
+@query(_search_sql(f"tsv IS NOT NULL AND {_has('depth')} AND NOT {_has('household')}"))
+def search_not(spark, d):
+    return _search(spark, d, terms="depth -household", operator="and")
+
+
+@query(_search_sql("TRUE", limit="LIMIT 100 OFFSET 100"))
+def search_all_second_page(spark, d):
+    return _search(spark, d, page=1)
+
+
+@query(_search_sql("publication_date >= 1990 AND publication_date <= 2015 AND doc_id IN (SELECT doc_id FROM document_authors JOIN authors USING (aut_id) WHERE list_contains(regexp_extract_all(lower(aut_name), '[\\p{L}\\p{N}]+'), 'elizabeth'))"))
+def search_advanced_author_year(spark, d):
+    return _search(spark, d, author="elizabeth", year_start=1990, year_end=2015)
+
+
+@query(_search_sql(f"{_has('depth')} AND x BETWEEN -0.5 AND 0.5 AND y BETWEEN -0.25 AND 0.75"))
+def zoom_search(spark, d):
+    return _search(spark, d, terms="depth", start=(0.5, 0.75), end=(-0.5, -0.25))
+
+
+@query(f"WITH {DATA}, m AS (SELECT doc_id, x, y, row_number() OVER (ORDER BY rank DESC, doc_id) AS k FROM documents JOIN dat USING (doc_id) WHERE enabled AND {_has('depth')}) SELECT doc_id, round(x, 6) AS x, round(y, 6) AS y FROM m WHERE k > 100")
+def density_points_tail(spark, d):
+    t = tables_of(spark, d)
+    found = service.simple_documents(t["documents"], t["documents_data"]).where(text.matches("depth", F.col("tsv")))
+    return service.rest_after(found, 100).select("doc_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query(f"WITH {DATA}, shown AS (SELECT doc_id, words FROM documents JOIN dat USING (doc_id) WHERE enabled ORDER BY dat.rank DESC, doc_id LIMIT 100), w AS (SELECT unnest(words[1:10]) AS w FROM shown) SELECT w.word AS text, CAST(sum(w.nentry) AS BIGINT) AS size FROM w WHERE length(w.word) > 2 OR lower(w.word) IN ('2d', '3d') GROUP BY 1")
+def word_cloud(spark, d):
+    return service.word_cloud(service.search(tables_of(spark, d), density=False).documents)
+
+
+@query("SELECT doc_id, '\"' || replace(coalesce(doi, ''), '\"', '\"\"') || '\",\"' || replace(coalesce(title, ''), '\"', '\"\"') || '\",\"' || replace(coalesce(authors, ''), '\"', '\"\"') || '\",\"' || coalesce(CAST(publication_date AS VARCHAR), '') || '\",\"' || replace(coalesce(bibtex, ''), '\"', '\"\"') || '\"' AS line FROM documents WHERE enabled")
+def csv_export(spark, d):
+    return service.export_lines(table(spark, d, "documents"))
+
+
+@query("SELECT count(*) AS n FROM documents")
+def count_documents(spark, d):
+    return table(spark, d, "documents").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {DATA} SELECT doc_id, round(rank, 6) AS rank FROM documents JOIN dat USING (doc_id) WHERE enabled AND doc_id IN (SELECT doc_id FROM citations WHERE ref_id = 7)")
+def documents_by_ids(spark, d):
+    ids = table(spark, d, "citations").where("ref_id = 7").select("doc_id").distinct()
+    t = tables_of(spark, d)
+    return service.simple_documents(t["documents"], t["documents_data"]).join(ids, "doc_id", "left_semi").select("doc_id", F.round("rank", 6).alias("rank"))
+
+
+# Text statistics ---------------------------------------------------------------------------------
+
+_STOP = "(" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + ")"
+_TOKENS = "SELECT doc_id, unnest(list_concat(list_concat(regexp_extract_all(lower(coalesce(title, '')), '[\\p{L}\\p{N}]+'), regexp_extract_all(lower(coalesce(keywords, '')), '[\\p{L}\\p{N}]+')), regexp_extract_all(lower(coalesce(abstract, '')), '[\\p{L}\\p{N}]+'))) AS word FROM documents"
+
+
+@query(f"WITH t AS ({_TOKENS}), c AS (SELECT doc_id, word, count(*) AS n FROM t WHERE word NOT IN {_STOP} GROUP BY ALL) SELECT doc_id, string_agg(word || ':' || n, ' ' ORDER BY -n, word) AS words FROM c GROUP BY doc_id")
+def doc_word_freqs(spark, d):
+    """Word counts of title, keywords and abstract without stemming."""
+    v = text.document_vector(F.col("title"), F.col("keywords"), F.col("abstract"))
+    words = table(spark, d, "documents").select("doc_id", F.explode(v).alias("e")).select("doc_id", "e.word")
+    return text.word_counts(words, "doc_id", "word").select("doc_id", F.array_join(F.transform("words", lambda e: F.concat_ws(":", e["word"], e["nentry"].cast("string"))), " ").alias("words"))
+
+
+@query("WITH e AS (SELECT unnest(map_entries(tsv)) AS e FROM documents) SELECT e.key AS word, count(*) AS ndoc, CAST(sum(len(e.value)) AS BIGINT) AS nentry FROM e GROUP BY 1")
+def ts_stat(spark, d):
+    return text.term_statistics(table(spark, d, "documents"))
+
+
+@query("WITH e AS (SELECT unnest(map_entries(tsv)) AS e FROM documents), s AS (SELECT e.key AS word, count(*) AS ndoc, CAST(sum(len(e.value)) AS BIGINT) AS nentry FROM e GROUP BY 1) SELECT * FROM s WHERE ndoc > 5 AND ndoc < 200 AND nentry > 10")
+def vocab_pruned(spark, d):
+    return text.pruned_vocabulary(text.term_statistics(table(spark, d, "documents")), ndoc=(5, 200), nentry=(10, float("inf")))
+
+
+@query("WITH e AS (SELECT doc_id, unnest(map_entries(tsv)) AS e FROM documents), p AS (SELECT doc_id, e.key AS word, unnest(e.value) AS q FROM e) SELECT q.weight AS weight, count(*) AS n, count(DISTINCT word) AS words FROM p GROUP BY 1")
+def vector_places(spark, d):
+    rows = text.postings(table(spark, d, "documents")).select("word", F.explode("positions").alias("q"))
+    return rows.groupBy(F.col("q.weight").alias("weight")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("word").alias("words"))
+
+
+@query()
+def stemmed_vectors(spark, d):
+    """Stemmed words of the titles and their counts."""
+    rows = table(spark, d, "documents").select("doc_id", F.explode(text.stems(text.tokens(F.col("title")))).alias("word"))
+    return rows.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _weights(spark, d, number, kind="freqs"):
+    docs = table(spark, d, "documents")
+    n = docs.count()
+    if kind == "freqs":
+        words = docs.select("doc_id", F.explode("freqs").alias("e")).groupBy(F.col("e.word").alias("word")).agg(F.countDistinct("doc_id").alias("ndoc"))
+        m = termmatrix.frequency_matrix(docs, words.where("ndoc > 2"), n, number)
+    else:
+        m = termmatrix.vector_matrix(docs, text.term_statistics(docs).where("ndoc > 2"), n, number)
+    return m.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("weight"), 5).alias("weight"))
+
+
+_SCHEME_SQL = {1: "f * ln(n / (1 + ndoc))", 2: "(1 + log10(f)) * log10(1 + ndoc / n)", 3: "1 + ln(f)", 4: "f * log2(ndoc / n)"}
+
+
+def _weights_sql(number: int, kind: str = "freqs") -> str:
+    if kind == "freqs":
+        terms = "SELECT doc_id, e.word AS word, CAST(e.nentry AS DOUBLE) AS f FROM (SELECT doc_id, unnest(freqs) AS e FROM documents)"
+        plus = " + ln(f)"
+    else:
+        terms = "SELECT doc_id, word, sum(CASE q.weight WHEN 'A' THEN 1.0 WHEN 'B' THEN 0.4 WHEN 'C' THEN 0.2 ELSE 0.1 END) AS f FROM (SELECT doc_id, e.key AS word, unnest(e.value) AS q FROM (SELECT doc_id, unnest(map_entries(tsv)) AS e FROM documents)) GROUP BY ALL"
+        plus = ""
+    return f"WITH t AS ({terms}), v AS (SELECT word, CAST(count(DISTINCT doc_id) AS DOUBLE) AS ndoc FROM t GROUP BY 1 HAVING ndoc > 2), c AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM documents), w AS (SELECT doc_id, {_SCHEME_SQL[number]}{plus} AS weight FROM t JOIN v USING (word), c) SELECT doc_id, count(*) AS n, round(sum(weight), 5) AS weight FROM w WHERE weight <> 0 GROUP BY doc_id"
+
+
+for _k in _SCHEME_SQL:
+    query(_weights_sql(_k), f"tfidf_scheme{_k}")(lambda spark, d, k=_k: _weights(spark, d, k))
+query(_weights_sql(2, "tsv"), "tfidf_vectors")(lambda spark, d: _weights(spark, d, 2, "tsv"))
+
+
+@query("WITH t AS (SELECT doc_id, unnest(freqs) AS e FROM documents), w AS (SELECT doc_id, e.word AS word, 1 + 2 * ln(e.nentry) AS weight FROM t WHERE e.nentry > 0) SELECT count(DISTINCT doc_id) AS n_rows, count(DISTINCT word) AS n_terms, count(*) AS n_cells, round((1 - count(*) / (count(DISTINCT doc_id) * count(DISTINCT word))) * 100, 6) AS zero_percent, max(length(word)) AS longest_term FROM w")
+def matrix_sparsity(spark, d):
+    docs = table(spark, d, "documents")
+    words = docs.select(F.explode("freqs").alias("e")).select(F.col("e.word").alias("word")).distinct().withColumn("ndoc", F.lit(1))
+    m = termmatrix.frequency_matrix(docs, words, 1, 3)
+    return termmatrix.sparsity(m).withColumn("zero_percent", F.round("zero_percent", 6))
+
+
+# Graph -------------------------------------------------------------------------------------------
+
+
+def _rank_sql(steps: int) -> str:
+    parts = [CITES, "verts AS (SELECT src AS v FROM cites UNION SELECT dst FROM cites)", "deg AS (SELECT src, count(*) AS k FROM cites GROUP BY src)", "n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM verts)", "r0 AS (SELECT v, 1 / n AS pr FROM verts, n)"]
+    for i in range(1, steps + 1):
+        parts.append(f"f{i} AS (SELECT c.dst AS v, sum(r.pr / d.k * 0.85) AS f FROM cites c JOIN deg d ON c.src = d.src JOIN r{i - 1} r ON r.v = c.src GROUP BY c.dst)")
+        parts.append(f"r{i} AS (SELECT verts.v, (1 - 0.85) / n + coalesce(f, 0) AS pr FROM verts CROSS JOIN n LEFT JOIN f{i} ON f{i}.v = verts.v)")
+    return f"WITH {', '.join(parts)} SELECT v, round(pr * 1e6, 4) AS pr FROM r{steps}"
+
+
+def _ranked(spark, d, steps):
+    ranks = graph.pagerank(graph.citation_edges(table(spark, d, "citations")), tolerance=0, max_iter=steps)
+    return ranks.select("v", F.round(F.col("pr") * 1e6, 4).alias("pr"))
+
+
+query(_rank_sql(1), "pagerank_step")(lambda spark, d: _ranked(spark, d, 1))
+query(_rank_sql(10), "pagerank_k10")(lambda spark, d: _ranked(spark, d, 10))
+
+
+@query()
+def pagerank_settled(spark, d):
+    return graph.pagerank(graph.citation_edges(table(spark, d, "citations")))
+
+
+@query()
+def author_pagerank(spark, d):
+    edges = graph.author_edges(table(spark, d, "citations"), table(spark, d, "document_authors"))
+    return graph.pagerank(edges, tolerance=0, max_iter=5)
+
+
+_AUTHOR_EDGES = f"WITH {CITES}, {LINKS}, e AS (SELECT a.aut_id AS src, b.aut_id AS dst, count(*) AS weight FROM cites c JOIN links a ON a.doc_id = c.src JOIN links b ON b.doc_id = c.dst GROUP BY ALL)"
+
+
+@query(f"{_AUTHOR_EDGES} SELECT src, count(*) AS targets, CAST(sum(weight) AS BIGINT) AS weight FROM e GROUP BY src")
+def author_edges(spark, d):
+    edges = graph.author_edges(table(spark, d, "citations"), table(spark, d, "document_authors"))
+    return edges.groupBy("src").agg(F.count(F.lit(1)).alias("targets"), F.sum("weight").alias("weight"))
+
+
+@query(f"{_AUTHOR_EDGES} SELECT src, dst, weight, a.aut_name AS src_name, b.aut_name AS dst_name FROM e JOIN authors a ON a.aut_id = src JOIN authors b ON b.aut_id = dst")
+def author_graph(spark, d):
+    return graph.author_graph(table(spark, d, "citations"), table(spark, d, "document_authors"), table(spark, d, "authors")).select("src", "dst", "weight", "src_name", "dst_name")
+
+
+@query(f"WITH {CITES}, one AS (SELECT doc_id, any_value(rank) AS rank FROM documents_data GROUP BY doc_id) SELECT src, dst, a.title AS src_title, b.title AS dst_title FROM cites JOIN documents a ON a.doc_id = src JOIN documents b ON b.doc_id = dst JOIN one x ON x.doc_id = src JOIN one y ON y.doc_id = dst")
+def document_graph(spark, d):
+    t = tables_of(spark, d)
+    return graph.document_graph(t["citations"], t["documents"], t["documents_data"]).select("src", "dst", "src_title", "dst_title")
+
+
+@query(f"WITH {LINKS}, one AS (SELECT doc_id, any_value(CASE WHEN isnan(relevance_doc) THEN 0 ELSE coalesce(relevance_doc, 0) END) AS r FROM documents_data GROUP BY doc_id), s AS (SELECT doc_id, sum(coalesce(relevance, 0)) AS a FROM links JOIN authors USING (aut_id) GROUP BY doc_id) SELECT doc_id, round(a, 6) AS relevance_aut, round(0.7 * r + 0.3 * a, 6) AS rank FROM s JOIN one USING (doc_id)")
+def combined_rank(spark, d):
+    t = tables_of(spark, d)
+    got = graph.combined_rank(t["documents_data"].dropDuplicates(["doc_id"]), t["authors"], t["document_authors"], 0.7, 0.3)
+    return got.select("doc_id", F.round("relevance_aut", 6).alias("relevance_aut"), F.round("rank", 6).alias("rank"))
+
+
+@query(f"WITH {CITES}, {DATA}, s AS (SELECT doc_id FROM documents JOIN dat USING (doc_id) WHERE enabled ORDER BY dat.rank DESC, doc_id LIMIT 500) SELECT src AS doc_id, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS refs FROM cites WHERE src IN (SELECT doc_id FROM s) AND dst IN (SELECT doc_id FROM s) GROUP BY src")
+def references_within_set(spark, d):
+    shown = service.search(tables_of(spark, d), density=False, max_docs=500).documents
+    return graph.references_within(table(spark, d, "citations"), shown).select("doc_id", F.array_join(F.col("refs").cast("array<string>"), ",").alias("refs"))
+
+
+@query(f"WITH {CITES} SELECT src AS v FROM cites UNION SELECT dst FROM cites")
+def citation_vertices(spark, d):
+    return graph.vertices(graph.citation_edges(table(spark, d, "citations")))
+
+
+# Ingest ------------------------------------------------------------------------------------------
+
+_UPSERT_FIELDS = ("title", "keywords", "abstract", "authors")
+
+
+@query("WITH r AS (SELECT doc_id, lower(replace(doi, ' ', '')) AS doi, title, keywords, abstract, authors, added_at FROM documents) SELECT min_by(doc_id, (added_at, doc_id)) AS doc_id, doi, " + ", ".join(f"arg_min({c}, CASE WHEN {c} IS NOT NULL THEN (added_at, doc_id) END) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in _UPSERT_FIELDS) + " FROM r WHERE doi IS NOT NULL GROUP BY doi UNION ALL SELECT doc_id, doi, title, keywords, abstract, authors FROM r WHERE doi IS NULL")
+def upsert_documents(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.replace(F.lower("doi"), F.lit(" "), F.lit("")).alias("doi"), *_UPSERT_FIELDS, "added_at")
+    return ingest.upsert_documents(rows, "added_at")
+
+
+@query("WITH new AS (SELECT DISTINCT upper(aut_name) AS aut_name FROM authors WHERE aut_name IS NOT NULL AND upper(aut_name) NOT IN (SELECT aut_name FROM authors WHERE aut_name IS NOT NULL)) SELECT count(*) AS n, count(DISTINCT aut_id) AS ids, CAST(min(aut_id) AS BIGINT) AS low, CAST(max(aut_id) AS BIGINT) AS high FROM (SELECT aut_id FROM authors UNION ALL SELECT (SELECT max(aut_id) FROM authors) + row_number() OVER () FROM new)")
+def upsert_authors(spark, d):
+    a = table(spark, d, "authors")
+    got = ingest.upsert_authors(a, a.select(F.upper("aut_name").alias("aut_name")))
+    return got.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("aut_id").alias("ids"), F.min("aut_id").alias("low"), F.max("aut_id").alias("high"))
+
+
+@query("SELECT min(id) AS id, doc_id, aut_id FROM document_authors WHERE doc_id IS NOT NULL AND aut_id IS NOT NULL GROUP BY doc_id, aut_id")
+def link_authors(spark, d):
+    return ingest.link_authors(table(spark, d, "document_authors"))
+
+
+@query("SELECT min(id) AS id, doc_id, ref_id FROM citations WHERE doc_id IS NOT NULL AND ref_id IS NOT NULL AND doc_id <> ref_id GROUP BY doc_id, ref_id")
+def link_citations(spark, d):
+    return ingest.link_citations(table(spark, d, "citations"))
+
+
+@query("WITH gone AS (SELECT doc_id FROM documents WHERE NOT enabled) SELECT id, doc_id, ref_id FROM citations WHERE (doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM gone)) AND (ref_id IS NULL OR ref_id NOT IN (SELECT doc_id FROM gone))")
+def delete_documents(spark, d):
+    gone = table(spark, d, "documents").where("NOT enabled")
+    return ingest.delete_documents({"citations": table(spark, d, "citations")}, gone)["citations"].select("id", "doc_id", "ref_id")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id IN (SELECT ref_id FROM citations WHERE ref_id IS NOT NULL) THEN FALSE ELSE enabled END AS enabled FROM documents")
+def disable_documents(spark, d):
+    ids = table(spark, d, "citations").where("ref_id IS NOT NULL").select(F.col("ref_id").alias("doc_id"))
+    return ingest.disable_documents(table(spark, d, "documents"), ids).select("doc_id", "enabled")
+
+
+@query(f"WITH {LINKS}, n AS (SELECT doc_id, CAST(count(*) AS DOUBLE) AS rank FROM links GROUP BY doc_id), one AS (SELECT DISTINCT doc_id FROM documents_data) SELECT doc_id, n.rank AS rank FROM one JOIN n USING (doc_id)")
+def update_columns(spark, d):
+    t = tables_of(spark, d)
+    new = ingest.link_authors(t["document_authors"]).groupBy("doc_id").agg(F.count(F.lit(1)).cast("double").alias("rank"))
+    old = t["documents_data"].select("doc_id").distinct().withColumn("rank", F.lit(None).cast("double"))
+    return ingest.update_columns(old, new, "doc_id", ["rank"]).where("rank IS NOT NULL")
+
+
+@query("WITH a AS (SELECT doc_id, title, abstract FROM documents), s AS (SELECT doc_id, container AS title, keywords AS abstract FROM documents) SELECT doc_id, coalesce(a.title, s.title) AS title, coalesce(a.abstract, s.abstract) AS abstract FROM a LEFT JOIN s USING (doc_id)")
+def fill_missing(spark, d):
+    docs = table(spark, d, "documents")
+    other = docs.select("doc_id", F.col("container").alias("title"), F.col("keywords").alias("abstract"))
+    return ingest.fill_missing(docs.select("doc_id", "title", "abstract"), other, "doc_id", ["title", "abstract"])
+
+
+@query("WITH one AS (SELECT doc_id, any_value(x) AS x, any_value(y) AS y FROM documents_data GROUP BY doc_id) SELECT doc_id, round(coalesce(x, 0), 6) AS x, round(coalesce(y, 0), 6) AS y FROM documents LEFT JOIN one USING (doc_id)")
+def data_rows(spark, d):
+    got = ingest.with_data_rows(table(spark, d, "documents"), table(spark, d, "documents_data"))
+    return got.select("doc_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query("SELECT doc_id, coalesce(trim(title) <> '', FALSE) OR coalesce(trim(keywords) <> '', FALSE) OR coalesce(trim(abstract) <> '', FALSE) AS complete FROM documents")
+def complete_documents(spark, d):
+    return table(spark, d, "documents").select("doc_id", ingest.is_complete().alias("complete"))
+
+
+@query("WITH e AS (SELECT doc_id, unnest(string_split(regexp_replace(authors, ';+$', ''), ';')) AS a FROM documents WHERE authors IS NOT NULL), s AS (SELECT doc_id, lower(trim(regexp_replace(regexp_replace(a, '[,;.\\-]', ' ', 'g'), '\\s\\s', ' ', 'g'))) AS a FROM e) SELECT doc_id, count(*) AS n, CAST(sum(length(a)) AS BIGINT) AS letters FROM s GROUP BY doc_id")
+def author_names(spark, d):
+    rows = table(spark, d, "documents").where("authors IS NOT NULL").select("doc_id", F.explode(strings.author_names(F.col("authors"))).alias("a"))
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.lower("a"))).cast("long").alias("letters"))
+
+
+@query("SELECT doc_id, CASE WHEN regexp_full_match(pages, '\\w*\\d{4}\\w*') THEN CAST(regexp_extract(pages, '^\\w*(\\d{4})\\w*$', 1) AS INT) ELSE coalesce(TRY_CAST(pages AS INT), 0) END AS year FROM documents")
+def year_extract(spark, d):
+    return table(spark, d, "documents").select("doc_id", strings.extract_year(F.col("pages")).alias("year"))
+
+
+@query("SELECT doc_id, regexp_replace(regexp_replace(doi, '^\\s*(?i:doi):', ''), ' ', '', 'g') AS doi FROM documents")
+def clean_dois(spark, d):
+    return table(spark, d, "documents").select("doc_id", strings.clean_doi(F.col("doi")).alias("doi"))
+
+
+@query("SELECT doc_id, TRY_CAST(trim(string_split(pages, '-')[1]) AS INT) AS first, TRY_CAST(trim(string_split(pages, '-')[2]) AS INT) AS last FROM documents WHERE regexp_full_match(coalesce(pages, ''), '\\d*(-\\d+)?')")
+def page_ranges(spark, d):
+    rows = table(spark, d, "documents").where(F.coalesce("pages", F.lit("")).rlike(r"^\d*(-\d+)?$"))
+    return rows.select("doc_id", strings.page_bounds(F.col("pages")).alias("p")).select("doc_id", "p.first", "p.last")
+
+
+@query()
+def html_fields(spark, d):
+    """Pages made from the records, read back by their meta elements."""
+    e = lambda c: F.replace(F.coalesce(F.col(c), F.lit("")), F.lit('"'), F.lit("&quot;"))
+    page = F.concat(F.lit('<html><head><meta name="citation_title" content="'), e("title"), F.lit('"><meta name="DC.creator" content="'), e("authors"), F.lit('"></head><body><p class="abstract">'), F.coalesce("abstract", F.lit("")), F.lit("</p></body></html>"))
+    return table(spark, d, "documents").select("doc_id", documents_in.html_fields(page).alias("f")).select("doc_id", "f.*")
+
+
+@query("SELECT title, doi, coalesce(publication_date, 0) AS publication_date FROM documents")
+def catalogue_records(spark, d):
+    """Records written as catalogue JSON and read back."""
+    item = F.struct("title", F.lit("journal").alias("type"), F.col("publication_date").alias("year"), F.struct("doi").alias("identifiers"))
+    lines = table(spark, d, "documents").select(F.to_json(F.array(item)).alias("json"))
+    return documents_in.catalogue_records(lines).select("title", "doi", "publication_date")
+
+
+# Vectors -----------------------------------------------------------------------------------------
+
+
+def _vector_pairs(spark, d):
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("b"), F.col("embedding").alias("v"))
+    some = table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("u"))
+    return against_all(some, rows).where("a <> b")
+
+
+def _distances(spark, d, kind):
+    f = vectors.dissimilarity(kind)
+    return _vector_pairs(spark, d).select("a", "b", F.round(f(F.col("u"), F.col("v")), 5).alias("distance"))
+
+
+_PAIRS = "p AS (SELECT a.vec_id AS a, b.vec_id AS b, CAST(a.embedding AS DOUBLE[]) AS u, CAST(b.embedding AS DOUBLE[]) AS v FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id), q AS (SELECT *, list_dot_product(u, v) AS d, list_dot_product(u, u) AS n, list_dot_product(v, v) AS m FROM p)"
+_DISTANCE_SQL = {
+    "EUCLIDEAN": "sqrt(abs(n + m - 2 * d))", "COSINE_BASED": "1 - greatest(least(d / sqrt(n) / sqrt(m), 1), -1)", "EXTENDED_JACCARD": "1 / (1 + d / (n + m - d))",
+    "CITY_BLOCK": "list_sum(list_transform(list_zip(u, v), lambda x: abs(x[1] - x[2])))", "INFINITY_NORM": "list_max(list_transform(list_zip(u, v), lambda x: abs(x[1] - x[2])))",
+}
+for _k, _e in _DISTANCE_SQL.items():
+    query(f"WITH {_PAIRS} SELECT a, b, round({_e}, 5) AS distance FROM q", f"dist_{_k.lower()}")(lambda spark, d, k=_k: _distances(spark, d, k))
+
+
+@query()
+def dist_dynamic_time_warping(spark, d):
+    return _distances(spark, d, "DYNAMIC_TIME_WARPING")
+
+
+@query(f"WITH {_PAIRS} SELECT a, b, CAST(k AS INT) AS place FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY round(sqrt(abs(n + m - 2 * d)), 8), b) AS k FROM q) WHERE k <= 5")
+def nearest_vectors(spark, d):
+    got = nearest(_vector_pairs(spark, d), "a", "b", F.round(vectors.euclidean(F.col("u"), F.col("v")), 8), 5)
+    return got.select("a", "b", "place")
+
+
+@query("WITH e AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding) AS x FROM embeddings) SELECT label, CAST(i - 1 AS INT) AS i, round(avg(CAST(x AS DOUBLE)), 6) AS mean FROM e GROUP BY ALL")
+def vector_mean(spark, d):
+    rows = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
+    return rows.groupBy("label", "i").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
+
+
+@query("SELECT vec_id, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 5) AS norm FROM embeddings")
+def vector_norm(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", F.round(vectors.norm(F.col("embedding")), 5).alias("norm"))
+
+
+def _features(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("features"))
+
+
+@query()
+def bkmeans(spark, d):
+    rows, _ = cluster.bisecting_kmeans(_features(spark, d), 8)
+    return rows.select("id", "cluster")
+
+
+@query()
+def kmeans_medoids(spark, d):
+    rows, centroids = cluster.bisecting_kmeans(_features(spark, d), 8)
+    return cluster.medoids(rows, centroids)
+
+
+@query()
+def lamp(spark, d):
+    return projection.lamp(_features(spark, d))
+
+
+@query()
+def representative_points(spark, d):
+    return projection.control_points(_features(spark, d), 40, "REPRESENTATIVE").select("id")
+
+
+# The plane ---------------------------------------------------------------------------------------
+
+def _quartile_sql(column: str, p: int) -> str:
+    pos = f"least(greatest({p} * (n + 1) / 100, 1), n)"
+    return f"(SELECT l[CAST(floor({pos}) AS INT)] + ({pos} - floor({pos})) * (l[CAST(ceil({pos}) AS INT)] - l[CAST(floor({pos}) AS INT)]) FROM (SELECT list_sort(list({column})) AS l, count(*) AS n FROM pts))"
+
+
+_FENCES = f"q AS (SELECT {_quartile_sql('x', 25)} AS x1, {_quartile_sql('x', 75)} AS x3, {_quartile_sql('y', 25)} AS y1, {_quartile_sql('y', 75)} AS y3), m AS (SELECT pts.*, x < x1 - 1.5 * (x3 - x1) OR x > x3 + 1.5 * (x3 - x1) OR y < y1 - 1.5 * (y3 - y1) OR y > y3 + 1.5 * (y3 - y1) AS outlier FROM pts, q)"
+
+
+@query(f"WITH {PTS}, {_FENCES} SELECT round(x1, 6) AS x1, round(x3, 6) AS x3, round(y1, 6) AS y1, round(y3, 6) AS y3 FROM q")
+def quartiles_legacy(spark, d):
+    p = points_of(spark, d)
+    (x1, x3), (y1, y3) = legacy_percentiles(p, "x", [25, 75]), legacy_percentiles(p, "y", [25, 75])
+    return spark.createDataFrame([(round(x1, 6), round(x3, 6), round(y1, 6), round(y3, 6))], "x1 double, x3 double, y1 double, y3 double")
+
+
+@query(f"WITH {PTS}, {_FENCES} SELECT doc_id FROM m WHERE outlier")
+def outliers_iqr(spark, d):
+    return spatial.mark_outliers(points_of(spark, d)).where("outlier").select("doc_id")
+
+
+@query(f"WITH {PTS}, {_FENCES}, k AS (SELECT * FROM m WHERE NOT outlier), b AS (SELECT min(x) AS a, max(x) AS c, min(y) AS e, max(y) AS f FROM k) SELECT doc_id, round(2 * (x - a) / (c - a) - 1, 6) AS x, round(2 * (y - e) / (f - e) - 1, 6) AS y FROM k, b")
+def normalize_xy(spark, d):
+    got = spatial.normalise(spatial.mark_outliers(points_of(spark, d)))
+    return got.select("doc_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query(f"WITH {PTS} SELECT doc_id, round(x, 6) AS x, round(y, 6) AS y FROM pts WHERE x >= -0.4 AND x <= 0.3 AND y >= -0.2 AND y <= 0.6")
+def rect_search(spark, d):
+    return spatial.in_rectangle(points_of(spark, d), (0.3, -0.2), (-0.4, 0.6)).select("doc_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query(f"WITH {PTS} SELECT doc_id FROM pts WHERE x > -0.4 AND x <= 0.3 AND y > -0.2 AND y <= 0.6 AND doc_id NOT IN (SELECT doc_id FROM documents WHERE NOT enabled)")
+def rect_search_halfopen(spark, d):
+    gone = table(spark, d, "documents").where("NOT enabled").select("doc_id")
+    return spatial.in_rectangle(points_of(spark, d), (-0.4, -0.2), (0.3, 0.6), half_open=True, without=gone).select("doc_id")
+
+
+@query(f"WITH {PTS} SELECT doc_id, round((x - 0.1) * (x - 0.1) + (y + 0.2) * (y + 0.2), 6) AS d2 FROM pts WHERE rank >= 0.1 AND (x - 0.1) * (x - 0.1) + (y + 0.2) * (y + 0.2) <= 0.3 * 0.3")
+def radius_search(spark, d):
+    return spatial.in_radius(points_of(spark, d), 0.1, -0.2, 0.3, 0.1).select("doc_id", F.round("d2", 6).alias("d2"))
+
+
+@query(f"WITH {PTS}, r AS (SELECT doc_id, coalesce(sum(rank) OVER (ORDER BY rank DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM pts WHERE rank IS NOT NULL) SELECT doc_id FROM r WHERE before < 20.0")
+def rank_budget(spark, d):
+    return spatial.rank_budget(points_of(spark, d), 20.0).select("doc_id")
+
+
+_DEPTH, _CAP = 10, 28
+_KEYED = f"k AS (SELECT doc_id, rank, greatest(least(CAST(floor((x + 1) * {1 << _DEPTH} / 2) AS BIGINT), {(1 << _DEPTH) - 1}), 0) AS kx, greatest(least(CAST(floor((y + 1) * {1 << _DEPTH} / 2) AS BIGINT), {(1 << _DEPTH) - 1}), 0) AS ky FROM pts)"
+_ID = "(CAST((pow(4, d) - 1) / 3 AS BIGINT) + " + " + ".join(f"((((cx >> {b}) & 1) * 2 + ((cy >> {b}) & 1)) * {4**b})" for b in range(_DEPTH)) + ")"
+_LEVEL = f"lv AS (SELECT doc_id, rank, d, kx >> ({_DEPTH} - d) AS cx, ky >> ({_DEPTH} - d) AS cy FROM k, (SELECT CAST(unnest(range(1, {_DEPTH + 1})) AS INT) AS d)), cell AS (SELECT d, cx, cy, count(*) AS n, min(rank) AS lo, max(rank) AS hi FROM lv GROUP BY ALL)"
+
+
+@query(f"WITH {PTS}, {_KEYED}, {_LEVEL}, leaf AS (SELECT lv.doc_id, min(lv.d) AS d FROM lv JOIN cell USING (d, cx, cy) WHERE n <= {_CAP} OR lv.d = {_DEPTH} GROUP BY 1) SELECT doc_id, {_ID} AS leaf_id, d AS leaf_depth FROM leaf JOIN lv USING (doc_id, d)")
+def quadtree_leaves(spark, d):
+    return spatial.assign_leaves(points_of(spark, d), _DEPTH, _CAP).select("doc_id", "leaf_id", "leaf_depth")
+
+
+@query(f"WITH {PTS}, {_KEYED}, {_LEVEL}, par AS (SELECT 0 AS d, 0 AS cx, 0 AS cy UNION ALL SELECT d, cx, cy FROM cell WHERE n > {_CAP} AND d < {_DEPTH}), ch AS (SELECT CAST(d + 1 AS INT) AS d, cx * 2 + i // 2 AS cx, cy * 2 + i % 2 AS cy, CAST(i AS INT) AS index FROM par, (SELECT unnest(range(4)) AS i)), nd AS (SELECT ch.d, ch.cx, ch.cy, index, coalesce(n, 0) AS n, lo, hi FROM ch LEFT JOIN cell USING (d, cx, cy)) SELECT {_ID} AS node_id, n <= {_CAP} OR d = {_DEPTH} AS isleaf, round(lo, 6) AS rankmin, round(hi, 6) AS rankmax, ({_ID} - 1) // 4 AS parent_id, d AS depth, index, n FROM nd UNION ALL SELECT 0, FALSE, round(min(rank), 6), round(max(rank), 6), NULL, 0, NULL, count(*) FROM pts")
+def quadtree_nodes(spark, d):
+    got = spatial.quadtree_nodes(points_of(spark, d), _DEPTH, _CAP)
+    return got.withColumns({"rankmin": F.round("rankmin", 6), "rankmax": F.round("rankmax", 6)})
+
+
+@query("SELECT node_id, coalesce(n, 0) AS n FROM nodes LEFT JOIN (SELECT node_id, count(DISTINCT doc_id) AS n FROM documents_data GROUP BY 1) USING (node_id)")
+def node_counts(spark, d):
+    counts = table(spark, d, "documents_data").dropDuplicates(["doc_id"]).where("node_id IS NOT NULL").groupBy("node_id").agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, d, "nodes").select("node_id").join(counts, "node_id", "left").select("node_id", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query(f"WITH one AS (SELECT DISTINCT doc_id, node_id, rank FROM documents_data WHERE node_id IS NOT NULL AND rank IS NOT NULL AND NOT isnan(rank)), r AS (SELECT doc_id, node_id, rank() OVER (PARTITION BY node_id ORDER BY rank DESC) AS place FROM one) SELECT doc_id, node_id, CAST(place AS INT) AS place FROM r WHERE place <= 28")
+def node_top_documents(spark, d):
+    rows = table(spark, d, "documents_data").where("node_id IS NOT NULL AND rank IS NOT NULL AND NOT isnan(rank)").dropDuplicates(["doc_id"])
+    return rows.withColumn("place", F.rank().over(W.partitionBy("node_id").orderBy(F.desc("rank")))).where("place <= 28").select("doc_id", "node_id", "place")
+
+
+_BW = "c AS (SELECT avg(x) AS mx, avg(y) AS my, count(*) AS n FROM pts), a AS (SELECT sqrt((x - mx) * (x - mx) + (y - my) * (y - my)) AS d FROM pts, c), bw AS (SELECT 0.9 * least(sqrt(avg(d * d)), sqrt(1 / ln(2)) * median(d)) * pow(count(*), -0.2) AS bw FROM a)"
+
+
+@query(f"WITH {PTS}, {_BW} SELECT round(bw, 6) AS bw FROM bw")
+def kde_bandwidth(spark, d):
+    return spark.createDataFrame([(round(density.bandwidth(points_of(spark, d)), 6),)], "bw double")
+
+
+@query(f"WITH {PTS}, {_BW}, g AS (SELECT bw, CAST(ceil(2 / bw) AS INT) + 1 AS w FROM bw), s AS (SELECT bw, w, (w * 6) // 16 AS h, 2.0 / greatest(1, (w * 6) // 16 - 1) AS sx FROM g), v AS (SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, -1 + sx / 2 + i * sx AS px, -1 + bw / 2 + j * bw AS py, bw FROM s, (SELECT unnest(range(500)) AS i), (SELECT unnest(range(500)) AS j) WHERE i < h AND j < w), t AS (SELECT i, j, px, py, bw, sqrt((x - px) * (x - px) + (y - py) * (y - py)) AS d FROM v, pts WHERE abs(x - px) <= bw AND abs(y - py) <= bw) SELECT i, j, round(any_value(px), 6) AS px, round(any_value(py), 6) AS py, round(sum(0.75 * (1 - (d / bw) * (d / bw))), 4) AS density FROM t WHERE d < bw GROUP BY i, j")
+def kde_grid(spark, d):
+    p = points_of(spark, d)
+    grid = density.density_grid(p, (-1.0, -1.0, 1.0, 1.0), density.bandwidth(p))
+    return grid.select("i", "j", F.round("px", 6).alias("px"), F.round("py", 6).alias("py"), F.round("density", 4).alias("density"))
+
+
+@query(f"WITH {PTS}, b AS (SELECT min(rank) AS lo, max(rank) AS hi FROM pts) SELECT doc_id, round((rank - lo) / (hi - lo) * (30 - 4) + 4) AS radius FROM pts, b WHERE rank IS NOT NULL")
+def radius_scale(spark, d):
+    p = points_of(spark, d).where("rank IS NOT NULL")
+    lo, hi = p.agg(F.min("rank"), F.max("rank")).first()
+    return p.select("doc_id", mathx.radius_scale(F.col("rank"), F.lit(lo), F.lit(hi), 4.0, 30.0).alias("radius"))
