@@ -52,26 +52,38 @@ def infinity_norm(a: Column, b: Column) -> Column:
     return F.array_max(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))))
 
 
-def warp(x: np.ndarray, y: np.ndarray, share: float = 0.25) -> float:
-    """Dynamic time warping with absolute cost inside a band of ``share`` of the length."""
-    n, m = len(x), len(y)
+def warp(x: np.ndarray, y: np.ndarray, share: float = 0.25) -> np.ndarray:
+    """Dynamic time warping with absolute cost inside a band of ``share`` of the length, for a batch of row pairs."""
+    n, m = x.shape[1], y.shape[1]
     if not n or not m:
-        return 0.0 if n == m else float("inf")
+        return np.full(len(x), 0.0 if n == m else np.inf)
     band = max(int(share * max(n, m)), abs(n - m))
-    row = np.full(m + 1, np.inf)
+    row = np.full((m + 1, len(x)), np.inf)
     row[0] = 0.0
     for i in range(1, n + 1):
-        new = np.full(m + 1, np.inf)
+        new = np.full((m + 1, len(x)), np.inf)
         for j in range(max(1, i - band), min(m, i + band) + 1):
-            new[j] = abs(x[i - 1] - y[j - 1]) + min(row[j], new[j - 1], row[j - 1])
+            new[j] = np.abs(x[:, i - 1] - y[:, j - 1]) + np.minimum(np.minimum(row[j], new[j - 1]), row[j - 1])
         row = new
-    return float(row[m])
+    return row[m]
 
 
 def dynamic_time_warping(a: Column, b: Column) -> Column:
+    """Null where a vector is null; vectors of one pair of lengths are done together."""
+
     @F.pandas_udf("double")
     def run(p: pd.Series, q: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else warp(np.asarray(x, float), np.asarray(y, float)) for x, y in zip(p, q)])
+        out: list[float | None] = [None] * len(p)
+        groups: dict[tuple[int, int], list[int]] = {}
+        for k, (x, y) in enumerate(zip(p, q)):
+            if x is not None and y is not None:
+                groups.setdefault((len(x), len(y)), []).append(k)
+        for (n, m), rows in groups.items():
+            x = np.array([np.asarray(p.iloc[k], float) for k in rows]).reshape(len(rows), n)
+            y = np.array([np.asarray(q.iloc[k], float) for k in rows]).reshape(len(rows), m)
+            for k, v in zip(rows, warp(x, y).tolist()):
+                out[k] = v
+        return pd.Series(out, index=p.index, dtype=object).astype("Float64")
 
     return run(a, b)
 

@@ -24,6 +24,7 @@ FIELDS = {
     "authors": (";", "|", "\n", "\t", "·", "•", "/", ",", "and", "&"),
 }
 QUOTES = {'"': '"', "'": "'", "“": "”", "«": "»"}
+_ANY_STRONG = re.compile("|".join(DELIMITERS[d] for d in sorted(STRONG)))
 _TOKEN = re.compile(r"[^\W_]+|,")
 
 
@@ -109,7 +110,7 @@ def _seeds(rows: DataFrame, fields: dict[str, tuple[str, ...]]) -> DataFrame:
 
 
 def _candidates(rows: DataFrame, kind: str, fields: dict[str, tuple[str, ...]]) -> DataFrame:
-    columns = ["_key", "field", "dialect", "pos", "val", "code", "shape", "own_code", "own_shape"]
+    columns = ["_key", "field", "dialect", "pos", "val", "code", "shape", "own_code", "own_shape", "escapes"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -122,20 +123,21 @@ def _candidates(rows: DataFrame, kind: str, fields: dict[str, tuple[str, ...]])
                 for dialect, values in enumerate(parsed):
                     for pos, (value, quoted) in enumerate(values, 1):
                         code, shape = value.casefold(), shape_of(value, quoted)
-                        out.append((key, field, dialect, pos, value, code, shape, codes[code], shapes[shape]))
+                        escapes = 0 if quoted else len(_ANY_STRONG.findall(value))
+                        out.append((key, field, dialect, pos, value, code, shape, codes[code], shapes[shape], escapes))
             yield pd.DataFrame(out, columns=columns)
 
-    schema = f"_key {kind}, field string, dialect int, pos int, val string, code string, shape string, own_code int, own_shape int"
+    schema = f"_key {kind}, field string, dialect int, pos int, val string, code string, shape string, own_code int, own_shape int, escapes int"
     return rows.mapInPandas(run, schema)
 
 
-def unpack_values(df: DataFrame, key: str = "doc_id", fields: dict[str, tuple[str, ...]] | None = None, letter_bits: float = 4.5, stop_bits: float = 2.0) -> DataFrame:
+def unpack_values(df: DataFrame, key: str = "doc_id", fields: dict[str, tuple[str, ...]] | None = None, letter_bits: float = 4.5, stop_bits: float = 2.0, strong_bits: float = 20.0) -> DataFrame:
     """(key, field, pos, val): one row per value of every packed field, with its place in the list.
 
     A dialect is a set of delimiters (with quotes respected); each field is parsed by every dialect
     whose delimiters it contains. The description length of a parse is the sum of its values' code
     lengths: a value that the collection knows costs -log2 of its share of all known values, any other
-    the bits of its shape plus ``letter_bits`` a letter; every value also costs ``stop_bits``. Shares
+    the bits of its shape plus ``letter_bits`` a letter; every value also costs ``stop_bits``, and ``strong_bits`` for each strong delimiter left inside it. Shares
     of values and shapes are counted over the whole collection, from the fields that have exactly one
     strong delimiter kind (a field's own values are taken off). The cheapest parse wins; ties go to
     fewer delimiters.
@@ -164,7 +166,7 @@ def unpack_values(df: DataFrame, key: str = "doc_id", fields: dict[str, tuple[st
     letters = F.length("val")
     bits = -F.log2(0.5 * share + 0.5 * form * F.pow(F.lit(2.0), -F.least(letters, F.lit(180)) * letter_bits)) + F.greatest(letters - 180, F.lit(0)) * letter_bits
     per_parse = scored.groupBy("_key", "field", "dialect").agg(
-        F.sum(bits + stop_bits).alias("bits"), F.collect_set(F.struct("pos", "val")).alias("values")
+        F.sum(bits + stop_bits + F.col("escapes") * strong_bits).alias("bits"), F.collect_set(F.struct("pos", "val")).alias("values")
     )
     best = per_parse.groupBy("_key", "field").agg(F.min_by("values", F.struct(F.round("bits", 6), "dialect")).alias("values"))
     return best.select(F.col("_key").alias(key), "field", F.explode("values").alias("v")).select(key, "field", "v.pos", "v.val")

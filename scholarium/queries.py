@@ -154,8 +154,8 @@ _TOKENS = "SELECT doc_id, unnest(list_concat(list_concat(regexp_extract_all(lowe
 @query(f"WITH t AS ({_TOKENS}), c AS (SELECT doc_id, word, count(*) AS n FROM t WHERE word NOT IN {_STOP} GROUP BY ALL) SELECT doc_id, string_agg(word || ':' || n, ' ' ORDER BY -n, word) AS words FROM c GROUP BY doc_id")
 def doc_word_freqs(spark, d):
     """Word counts of title, keywords and abstract without stemming."""
-    v = text.document_vector(F.col("title"), F.col("keywords"), F.col("abstract"))
-    words = table(spark, d, "documents").select("doc_id", F.explode(v).alias("e")).select("doc_id", "e.word")
+    said = F.concat(*[text.tokens(F.col(c)) for c in ("title", "keywords", "abstract")])
+    words = table(spark, d, "documents").select("doc_id", F.explode(said).alias("word")).where(~F.col("word").isin(*text.STOP_WORDS))
     return text.word_counts(words, "doc_id", "word").select("doc_id", F.array_join(F.transform("words", lambda e: F.concat_ws(":", e["word"], e["nentry"].cast("string"))), " ").alias("words"))
 
 

@@ -6,10 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _first_file(spark: SparkSession, path: str) -> str:
+    files = sorted(spark.read.text(path).inputFiles())
+    if not files:
+        raise ValueError(f"{path}: no file")
+    return files[0]
+
+
+def _head(spark: SparkSession, path: str, lines: int) -> list[str]:
+    return [r["value"].strip() for r in spark.read.text(_first_file(spark, path)).limit(lines).collect()]
+
+
 def matrix_kind(spark: SparkSession, path: str) -> str:
     """The two-letter head of a file: S or D (sparse, dense), Y or N (with or without a class column)."""
-    first = spark.read.text(path).limit(1).collect()
-    kind = first[0]["value"].strip() if first else ""
+    first = _head(spark, path, 1)
+    kind = first[0] if first else ""
     if kind not in ("SY", "SN", "DY", "DN"):
         raise ValueError(f"{path}: not a matrix file")
     return kind
@@ -18,14 +29,13 @@ def matrix_kind(spark: SparkSession, path: str) -> str:
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     """(id, features, klass) of a dense or (id, cells map<int,double>, klass) of a sparse file; counts are checked."""
     kind = matrix_kind(spark, path)
-    head = [r["value"].strip() for r in spark.read.text(path).limit(4).collect()]
+    head = _head(spark, path, 4)
     n, d = int(head[1]), int(head[2])
-    lines = spark.read.text(path).where("value <> ''")
     skip = 4 if len(head) > 3 and not _is_row(head[3], d, kind) else 3
-    numbered = lines.withColumn("_m", F.monotonically_increasing_id())
-    if skip:
-        first = [r["_m"] for r in numbered.orderBy("_m").limit(skip).collect()]
-        numbered = numbered.where(~F.col("_m").isin(first))
+    start = _first_file(spark, path)
+    lines = spark.read.text(path).where("value <> ''").select("value", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_m"))
+    first = [r["_m"] for r in lines.where(F.replace("_file", F.lit("///"), F.lit("/")) == start.replace("///", "/")).orderBy("_m").limit(skip).collect()]
+    numbered = lines.where(~F.col("_m").isin(first))
     parts = F.split("value", ";")
     last = F.element_at(parts, -1)
     klass = last.try_cast("double") if kind[1] == "Y" else F.lit(None).cast("double")
