@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -561,3 +562,116 @@ def radius_scale(spark, d):
     p = points_of(spark, d).where("rank IS NOT NULL")
     lo, hi = p.agg(F.min("rank"), F.max("rank")).first()
     return p.select("doc_id", mathx.radius_scale(F.col("rank"), F.lit(lo), F.lit(hi), 4.0, 30.0).alias("radius"))
+
+
+# Further reports ---------------------------------------------------------------------------------
+
+
+@query(f"WITH {DATA}, s AS (SELECT doc_id, row_number() OVER (ORDER BY dat.rank DESC, doc_id) - 1 AS i FROM documents JOIN dat USING (doc_id) WHERE enabled) SELECT doc_id FROM s WHERE i >= 10 AND i <= 30")
+def rank_slider(spark, d):
+    """The shown documents from place lo - 1 to hi (from 0), as the slider cuts them."""
+    t = tables_of(spark, d)
+    shown = service.simple_documents(t["documents"], t["documents_data"])
+    return service.page_of(shown, 31).orderBy("rank", F.desc("doc_id")).limit(21).select("doc_id")
+
+
+@query(f"WITH {DATA}, c AS (SELECT count(*) AS n FROM documents JOIN dat USING (doc_id) WHERE enabled AND {_has('depth')}) SELECT CAST(n // 100 AS BIGINT) AS pages, CAST(101 AS BIGINT) AS first, CAST(least(200, n) AS BIGINT) AS last FROM c")
+def pagination(spark, d):
+    answer = service.search(tables_of(spark, d), terms="depth", page=1, density=False)
+    p = service.pages(answer.ndocs, 100, 1)
+    return spark.createDataFrame([(p["pages"], p["first"], p["last"])], "pages long, first long, last long")
+
+
+@query()
+def search_json(spark, d):
+    return service.answer_json(service.search(tables_of(spark, d), terms="depth", density=False), 100)
+
+
+@query()
+def references_json(spark, d):
+    shown = service.search(tables_of(spark, d), density=False).documents
+    return service.references(table(spark, d, "citations"), shown)
+
+
+@query()
+def graph_json(spark, d):
+    """The citation graph as JSON lines, one an edge."""
+    edges = graph.document_graph(table(spark, d, "citations"), table(spark, d, "documents"), table(spark, d, "documents_data"))
+    return edges.select("src", "dst", F.to_json(F.struct("src", "src_title", "src_rank", "dst", "dst_title", "dst_rank")).alias("json"))
+
+
+@query(f"WITH {PTS} SELECT doc_id, CAST(least(greatest(floor(rank / 7.0 * 7) + 1, 0), 8) AS BIGINT) AS bucket FROM pts WHERE rank IS NOT NULL")
+def colour_bucket(spark, d):
+    return points_of(spark, d).where("rank IS NOT NULL").select("doc_id", mathx.colour_bucket(F.col("rank"), 0.0, 7.0).alias("bucket"))
+
+
+@query("WITH t AS (SELECT doc_id, unnest(freqs) AS e FROM documents), w AS (SELECT doc_id, e.word AS word, 1 + 2 * ln(e.nentry) AS weight FROM t WHERE e.nentry > 0) SELECT word, round(sum(weight) / (SELECT count(*) FROM documents), 6) AS weight FROM w GROUP BY word")
+def matrix_mean(spark, d):
+    docs = table(spark, d, "documents")
+    words = docs.select(F.explode("freqs").alias("e")).select(F.col("e.word").alias("word")).distinct().withColumn("ndoc", F.lit(1))
+    return termmatrix.mean_vector(termmatrix.frequency_matrix(docs, words, 1, 3), docs.count()).select("word", F.round("weight", 6).alias("weight"))
+
+
+@query("WITH t AS (SELECT doc_id, unnest(freqs) AS e FROM documents), w AS (SELECT doc_id, e.word AS word, 1 + 2 * ln(e.nentry) AS weight FROM t WHERE e.nentry > 0), n AS (SELECT doc_id, sqrt(sum(weight * weight)) AS n FROM w GROUP BY doc_id) SELECT word AS doc_id, count(*) AS n, round(sum(weight / n.n), 5) AS weight FROM w JOIN n USING (doc_id) GROUP BY word")
+def matrix_transposed(spark, d):
+    """Unit rows, turned: what each word has over all documents."""
+    docs = table(spark, d, "documents")
+    words = docs.select(F.explode("freqs").alias("e")).select(F.col("e.word").alias("word")).distinct().withColumn("ndoc", F.lit(1))
+    turned = termmatrix.transpose(termmatrix.normalise_rows(termmatrix.frequency_matrix(docs, words, 1, 3)))
+    return turned.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("weight"), 5).alias("weight"))
+
+
+@query("SELECT doc_id, CASE WHEN len(words) >= 3 THEN array_to_string(list_transform(words[3:4], lambda e: e.word), ' ') END AS part FROM documents WHERE words IS NOT NULL")
+def word_sublist(spark, d):
+    """The words of a list from place 2 up to 4 (from 0); none left gives null."""
+    part = F.slice("words", 3, 2)
+    return table(spark, d, "documents").where("words IS NOT NULL").select("doc_id", F.when(F.size(part) > 0, F.array_join(F.transform(part, lambda e: e["word"]), " ")).alias("part"))
+
+
+def _control(spark, d):
+    rows = projection.control_points(_features(spark, d), 40, "RANDOM").orderBy("id").collect()
+    return [r["id"] for r in rows], np.array([r["features"] for r in rows])
+
+
+def _placed(spark, ids, xy):
+    return spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in zip(ids, xy)], "id long, x double, y double")
+
+
+@query()
+def fastmap(spark, d):
+    ids, x = _control(spark, d)
+    return _placed(spark, ids, projection.fastmap(projection.pairwise(x)))
+
+
+@query()
+def idmap(spark, d):
+    ids, x = _control(spark, d)
+    return _placed(spark, ids, projection.idmap(x))
+
+
+@query()
+def nearest_neighbour_projection(spark, d):
+    ids, x = _control(spark, d)
+    return _placed(spark, ids, projection.normalise_keeping_aspect(projection.nearest_neighbour_projection(projection.pairwise(x))))
+
+
+@query(f"WITH {CITES}, r AS (SELECT src, dst, a.doi AS own, b.doi AS other FROM cites JOIN documents a ON a.doc_id = src JOIN documents b ON b.doc_id = dst) SELECT src AS doc_id, other AS doi FROM r WHERE coalesce(own <> other, TRUE)")
+def parsed_references(spark, d):
+    """References gathered per document and taken apart again, without a document's own DOI."""
+    docs = table(spark, d, "documents").select("doc_id", "doi")
+    cited = graph.citation_edges(table(spark, d, "citations")).join(docs.select(F.col("doc_id").alias("dst"), F.col("doi").alias("ref_doi")), "dst")
+    lists = cited.groupBy("src").agg(F.collect_list(F.struct(F.col("ref_doi").alias("doi"))).alias("references")).withColumnRenamed("src", "doc_id")
+    return ingest.references_of(docs.join(lists, "doc_id"))
+
+
+@query("SELECT min(aut_id) AS aut_id, lower(aut_name) AS aut_name FROM authors WHERE list_contains(regexp_extract_all(lower(aut_name), '[\\p{L}\\p{N}]+'), 'university') GROUP BY 2")
+def author_search(spark, d):
+    hit = text.matches(text.build_query("university", "and"), text.vector_map(text.to_vector(F.col("aut_name"))))
+    return table(spark, d, "authors").where(hit).groupBy(F.lower("aut_name").alias("aut_name")).agg(F.min("aut_id").alias("aut_id"))
+
+
+@query("SELECT a.node_id, a.depth, count(b.node_id) AS children, round(min(b.rankmin), 6) AS lowest FROM nodes a LEFT JOIN nodes b ON b.parent_id = a.node_id GROUP BY ALL")
+def node_children(spark, d):
+    nodes = table(spark, d, "nodes")
+    below = nodes.where("parent_id IS NOT NULL").groupBy(F.col("parent_id").alias("node_id")).agg(F.count(F.lit(1)).alias("children"), F.round(F.min("rankmin"), 6).alias("lowest"))
+    return nodes.select("node_id", "depth").join(below, "node_id", "left").select("node_id", "depth", F.coalesce("children", F.lit(0)).alias("children"), "lowest")
