@@ -155,15 +155,15 @@ def agree(a: tuple[str, str, str], b: tuple[str, str, str], far: int) -> bool:
 
 
 def _profiles(authors: DataFrame, key: str, name: str) -> DataFrame:
-    """(key, kind, family, given, middle) of all readings of all names."""
+    """(key, kind, family, given, middle, initials) of all readings; initials are those of the given names it may stand for."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [(k, *r) for k, n in zip(batch["_key"], batch["_name"]) for r in readings(n)]
-            yield pd.DataFrame(out, columns=["_key", "kind", "family", "given", "middle"])
+            out = [(k, *r, "".join(sorted({w[0] for w in full_names(r[2])}))) for k, n in zip(batch["_key"], batch["_name"]) for r in readings(n)]
+            yield pd.DataFrame(out, columns=["_key", "kind", "family", "given", "middle", "initials"])
 
     rows = authors.select(F.col(key).alias("_key"), F.col(name).alias("_name")).where("_key IS NOT NULL AND _name IS NOT NULL")
-    return rows.mapInPandas(run, f"_key {dict(authors.dtypes)[key]}, kind string, family string, given string, middle string")
+    return rows.mapInPandas(run, f"_key {dict(authors.dtypes)[key]}, kind string, family string, given string, middle string, initials string")
 
 
 def metric_join(items: DataFrame, block: str, value: str) -> DataFrame:
@@ -219,12 +219,11 @@ def linked(authors: DataFrame, key: str = "aut_id", name: str = "aut_name") -> D
     """
     rows = cut(_profiles(authors, key, name))
     reading = ["kind", "family", "given", "middle"]
-    profiles = cut(rows.groupBy(*reading).agg(F.min("_key").alias("rep")))
-    same = rows.join(profiles, reading).where("_key <> rep").select(F.col("_key").alias("a"), F.col("rep").alias("b"))
+    profiles = cut(rows.groupBy(*reading, "initials").agg(F.min("_key").alias("rep")))
+    same = rows.drop("initials").join(profiles, reading).where("_key <> rep").select(F.col("_key").alias("a"), F.col("rep").alias("b"))
 
-    initials = F.udf(lambda g: sorted({w[0] for w in full_names(g)}) or [""], "array<string>")
     persons = profiles.where("kind = 'P'")
-    by_initial = persons.select(F.explode(initials("given")).alias("i"), "*").select(F.concat(F.lit("P|"), "i").alias("block"), F.col("family").alias("v"), *reading, "rep")
+    by_initial = persons.select(F.explode(F.split("initials", "")).alias("i"), "*").where("i <> '' OR initials = ''").select(F.concat(F.lit("P|"), "i").alias("block"), F.col("family").alias("v"), *reading, "rep")
     by_family = persons.where("length(given) > 1").select(F.concat(F.lit("F|"), "family").alias("block"), F.col("given").alias("v"), *reading, "rep")
     bodies = profiles.where("kind <> 'P'").select(F.concat("kind", F.lit("|"), "given").alias("block"), F.col("family").alias("v"), *reading, "rep")
     items = cut(by_initial.union(by_family).union(bodies))

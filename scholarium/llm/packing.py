@@ -141,7 +141,8 @@ def pack(documents: DataFrame, budgets: DataFrame, key: str = "doc_id", text: st
         return frame
 
     schema = f"budget_id long, container long, _key {kind}, piece int, first_token long, n_tokens long"
-    return sharded.groupBy("shard").applyInPandas(run, schema).withColumnRenamed("_key", key)
+    spread = sharded.repartition(min(shards, 10_000), "shard")  # stated, so that small rows are not gathered in few tasks
+    return spread.groupBy("shard").applyInPandas(run, schema).withColumnRenamed("_key", key)
 
 
 def fill(packed: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ def _forms(documents: DataFrame) -> DataFrame:
 
 
 def _keys(rows: DataFrame) -> DataFrame:
-    """(doc_id, doi_form, key): the evidence that two records share; a record has up to eight keys."""
+    """(doc_id, doi_form, key): the evidence that two records share; a record has up to ten keys."""
     t, a, k = F.col("title_form"), F.col("abstract_form"), F.col("keywords_form")
     who, where, year = F.col("authors_form"), F.col("container_form"), F.col("year").cast("string")
     full = F.when(F.length(t) >= LONG, t)
@@ -53,7 +53,7 @@ def _keys(rows: DataFrame) -> DataFrame:
     start = F.when(F.length(a) >= 60, F.substring(a, 1, 60))
     evidence = [
         (full, who), (full, where, year), (full, F.substring(k, 1, 20)), (head, start),
-        (F.when(F.length(a) >= 120, F.substring(a, 1, 120)),), (head, who, year), (head, who, where), (who, where, year, F.substring(k, 1, 24)),
+        (F.when(F.length(a) >= 120, F.substring(a, 1, 120)),), (head, who, year), (head, who, where), (who, where, year, F.substring(k, 1, 24)), (start, who), (start, where, year),
     ]
     hashed = []
     for n, parts in enumerate(evidence):
