@@ -91,32 +91,40 @@ def readings(name: str | None) -> list[tuple[str, str, str, str]]:
         kind = sorted(k for _, k in kinds if k)[0]
         rest = sorted(w for w, k in kinds if not k and w not in SMALL)
         return [("O:" + kind, w, " ".join(rest[:i] + rest[i + 1 :]), "") for i, w in enumerate(rest)]
-    shouting = raw.upper() == raw
-
-    def parts(text: str) -> list[str]:
-        out = []
-        for w in _LETTERS.findall(unicodedata.normalize("NFC", text)):
-            p = _plain(w)
-            if p in TITLES:
-                continue
-            if 2 <= len(p) <= 3 and w.upper() == w and w.lower() != w and (not shouting or p not in NICKNAMES) and not any(c in "aeiouy" for c in p[1:-1] if len(p) == 3):
-                out += list(p)  # initials written together
-            else:
-                out.append(p)
-        return out
+    one_case = raw in (raw.upper(), raw.lower())
+    doubtful = one_case and any(len(w) == 2 and w in NICKNAMES for w in words)
+    out: list[tuple[str, str, str, str]] = []
+    for split in (True, False) if doubtful else (True,):  # "JO SMITH" may be J. O. Smith or Jo Smith
+        out += [r for r in _person(raw, one_case, split) if r not in out]
+    return out
+
+
+def _parts(text: str, one_case: bool, split: bool) -> list[str]:
+    """Plain words and initials of a person's name; initials written together come apart."""
+    out = []
+    for w in _LETTERS.findall(unicodedata.normalize("NFC", text)):
+        p = _plain(w)
+        if p in TITLES:
+            continue
+        capitals = w.upper() == w and w.lower() != w
+        if len(p) == 2:
+            together = split if one_case and p in NICKNAMES else capitals or one_case
+        else:
+            together = len(p) == 3 and capitals and not any(c in "aeiouy" for c in p[1:-1])
+        out += list(p) if together else [p]
+    return out
+
 
+def _person(raw: str, one_case: bool, split: bool) -> list[tuple[str, str, str, str]]:
+    parts = lambda text: _parts(text, one_case, split)
     before, comma, after = raw.partition(",")
     if comma and not parts(after):
-        comma, after = "", ""
-        raw = before
+        comma, raw = "", before
     if comma:
-        family, rest = [p for p in parts(before)], parts(after)
+        family, rest = parts(before), parts(after) or [""]
         family = [p for p in family if len(p) > 1] or family
-        if not family:
-            return []
-        rest = rest or [""]
-        return [("P", " ".join(family), rest[0], rest[1] if len(rest) > 1 else "")]
-    tokens = parts(before if not comma and not after else raw)
+        return [("P", " ".join(family), rest[0], rest[1] if len(rest) > 1 else "")] if family else []
+    tokens = parts(raw)
     full = [i for i, t in enumerate(tokens) if len(t) > 1]
     if not full:
         return []
@@ -127,8 +135,7 @@ def readings(name: str | None) -> list[tuple[str, str, str, str]]:
     given = tokens[:last] or [""]
     out = [("P", tokens[last], given[0], given[1] if len(given) > 1 else "")]
     if len(full) == len(tokens):  # an initial is never the family, so its place tells the order
-        rest = tokens[1:]
-        out.append(("P", tokens[0], rest[0], rest[1] if len(rest) > 1 else ""))
+        out.append(("P", tokens[0], tokens[1], tokens[2] if len(tokens) > 2 else ""))
     return out
 
 

@@ -208,7 +208,7 @@ def test_packing(spark, tmp_path):
         ("Agnès Casopobin", "Casopobin, A.", True), ("Dr. Barbara Buvivenon", "B. L. Buvivenon", True), ("Bárbara L. Buvivenon", "B. M. Buvivenon", False), ("Nathaniel Drasizuven", "nate nils drasizuven", True), ("Pål Frogebogal", "Pal Frgebogal", True),
         ("University of Tesanitul", "Univ. Tesanitul", True), ("University of Prirodesul", "Prirodesul Institute of Rural History", False), ("Inst. of Soil Research (Stiteduven)", "Stiteduven Institute for Soil Research", True), ("Institute of Soil Research, Stiteduven", "Institute of Rural History, Stiteduven", False),
         ("Matthew Stondernobun", "Gérard V. Stondernobun", False), ("Bazolmomol, Ray", "Raymond Vera Bazolmomol", True), ("ARTHUR GREGOLARAL, PHD", "AI Gregolaral", True), ("Brortapizun Wojtek", "Brortapizun, Wojciech V.", True), ("Deblrah Brivarnotel", "Brivarnotel, Deborah", True),
-        ("Anonymous", "anonymous", False), ("Prezebemon Lab.", "Laboratories of Prezebemon", True), ("James Krunonelun", "Pål H. Krunonelun", False),
+        ("Anonymous", "anonymous", False), ("JO BRUNDESSOSUN", "jo brundesosun", True), ("PA Nubupekon", "pa nubupekon", True), ("Josephine Brundesosun", "jo brundesosun", True), ("Prezebemon Lab.", "Laboratories of Prezebemon", True), ("James Krunonelun", "Pål H. Krunonelun", False),
     ],
 )
 def test_name_pairs(spark, a, b, same):
