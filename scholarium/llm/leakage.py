@@ -36,8 +36,14 @@ class _Ids(dict):
     LIMIT = 200_000
 
     def __init__(self, vocabulary: dict[str, int]):
-        super().__init__((w.encode(), k) for w, k in vocabulary.items())
-        self.vocabulary, self.many = vocabulary, []
+        super().__init__()
+        self.vocabulary = vocabulary
+        self.fresh()
+
+    def fresh(self) -> None:
+        self.clear()
+        self.update((w.encode(), k) for w, k in self.vocabulary.items())
+        self.many: list[list[int]] = []
 
     def __missing__(self, word: bytes) -> int:
         if word.isascii():
@@ -48,16 +54,15 @@ class _Ids(dict):
         else:
             self.many.append(ids)
             value = -len(self.many)
-        if len(self) < self.LIMIT:
-            self[word] = value
+        self[word] = value
         return value
 
     def encode(self, text: str) -> np.ndarray:
+        if len(self) > self.LIMIT + len(self.vocabulary):
+            self.fresh()
         ids = np.array(list(map(self.__getitem__, text.encode("utf-8", "replace").translate(_PLAIN).split())), dtype=np.int32)
         if len(ids) and ids.min() < 0:
             ids = np.array([k for i in ids.tolist() for k in (self.many[-i - 1] if i < 0 else (i,))], dtype=np.int32)
-        if len(self) >= self.LIMIT:
-            self.many = [] if not any(v < 0 for v in self.values()) else self.many
         return ids
 
 
@@ -143,10 +148,12 @@ def _latent(encoded: DataFrame, kind: str, items: list[np.ndarray], m: int, seed
     if df is None or df[0] == 0:
         return None
     n = df[0]
-    weight = np.log((n + 1) / (df + 1))
+    weight = np.maximum(np.log((n + 1) / (df + 1)), 0.05)
+    common = df > n / 3  # words of every third block and more tell little, unless an item has hardly any others
+    if all((~common[np.unique(ids)]).sum() >= min(8, len(np.unique(ids))) for ids in items):
+        weight[common] = 0
     weight[0] = 0
-    weight[df > n / 3] = 0  # words of every third block and more tell nothing
-    size = len(items) + EXTRA
+    size = min(len(items) + EXTRA, m + 1)
     rng = np.random.default_rng(seed)
     omega = rng.standard_normal((m + 1, size))
     start = (omega * weight[:, None]).astype(np.float32)
@@ -172,11 +179,10 @@ def _latent(encoded: DataFrame, kind: str, items: list[np.ndarray], m: int, seed
     exact *= weight
     image = gram / mass + exact.T @ (exact @ omega) / max((exact**2).sum(), 1e-9)
     # Randomised eigenvectors of the summed Gram matrix from one sketch (Nystroem form).
-    shift = 1e-9 * np.linalg.norm(image)
-    image = image + shift * omega
     core = omega.T @ image
-    low = np.linalg.cholesky((core + core.T) / 2 + 1e-12 * np.trace(core) * np.eye(size))
-    basis = np.linalg.svd(np.linalg.solve(low, image.T).T, full_matrices=False)[0]
+    value, vector = np.linalg.eigh((core + core.T) / 2)
+    keep = value > 1e-10 * max(value[-1], 1e-30)
+    basis = np.linalg.svd(image @ (vector[:, keep] / np.sqrt(value[keep])), full_matrices=False)[0]
     return weight, (basis * weight[:, None]).astype(np.float32)
 
 

@@ -159,6 +159,29 @@ def test_leaks(spark):
     assert leakage.found(docs.limit(0), evals).count() == 0 and leakage.found(docs, evals.limit(0)).count() == 0
 
 
+def test_leaks_in_tiny_and_uniform_tables(spark):
+    item = "one two three four five six"
+    evals = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, item), (2, item.upper()), (3, "one two four five six")], "doc_id long, text string")
+    assert {tuple(r) for r in leakage.found(docs, evals).collect()} == {(1, 1), (2, 1)}
+    rng = random.Random(8)
+    words = [f"word{i}" for i in range(300)]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [say(60), say(60)]
+    hot = [(i, f"{say(30)} {items[0]} {say(30)}") for i in range(40)] + [(i, say(200)) for i in range(40, 90)] + [(90, say(20) + " " + items[1])]
+    evals = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {tuple(r) for r in leakage.found(spark.createDataFrame(hot, "doc_id long, text string"), evals).collect()}
+    assert got == {(i, 0) for i in range(40)} | {(90, 1)}
+
+
+def test_many_odd_words(spark, monkeypatch):
+    monkeypatch.setattr(leakage._Ids, "LIMIT", 3)
+    ids = leakage._Ids({"a": 1, "b": 2})
+    for _ in range(3):
+        for odd in ("é", "ü", "ñ", "a b", "ö"):
+            assert ids.encode(f"a {odd} B").tolist() == ([1, 1, 2, 2] if odd == "a b" else [1, 0, 2])
+
+
 def test_leaks_against_brute_force(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").where("text IS NOT NULL").collect()
     items = spark.read.parquet(f"{data}/eval_items.parquet").collect()
