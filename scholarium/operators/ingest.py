@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scholarium.functions.visible import letters_only
 from scholarium.operators.prefix import running_total
 
 
@@ -77,6 +78,19 @@ def fill_missing(records: DataFrame, source: DataFrame, key: str, columns: list[
     return joined.select(*[F.coalesce(F.col(c), F.col(f"_src_{c}")).alias(c) if c in columns else F.col(c) for c in records.columns])
 
 
+def lookup(records: DataFrame, catalogue: DataFrame, by: list[str], columns: list[str], key: str = "doc_id") -> DataFrame:
+    """``columns`` of each record filled from the catalogue entry whose ``by`` fields read the same.
+
+    Fields are compared by their letters and digits in lower case. Records and entries with a null or
+    empty ``by`` field match nothing; of several entries the smallest wins, so no record is doubled.
+    """
+    form = lambda c: F.nullif(letters_only(F.col(c).cast("string")), F.lit(""))
+    forms = {f"_by_{c}": form(c) for c in by}
+    known = catalogue.withColumns(forms).dropna(subset=list(forms)).groupBy(*forms).agg(F.min(F.struct(*columns)).alias("_got"))
+    joined = records.withColumns(forms).join(known, list(forms), "left")
+    return joined.select(key, *[F.coalesce(F.col(c), F.col(f"_got.{c}")).alias(c) if c in columns else F.col(c) for c in records.columns if c != key])
+
+
 def references_of(parsed: DataFrame) -> DataFrame:
     """One row per cited record of (doc_id, doi, references array<struct<doi,...>>), without a document's own DOI."""
     rows = parsed.select("doc_id", "doi", F.explode("references").alias("ref"))

@@ -675,3 +675,27 @@ def node_children(spark, d):
     nodes = table(spark, d, "nodes")
     below = nodes.where("parent_id IS NOT NULL").groupBy(F.col("parent_id").alias("node_id")).agg(F.count(F.lit(1)).alias("children"), F.round(F.min("rankmin"), 6).alias("lowest"))
     return nodes.select("node_id", "depth").join(below, "node_id", "left").select("node_id", "depth", F.coalesce("children", F.lit(0)).alias("children"), "lowest")
+
+
+_FORM = "nullif(regexp_replace(replace(lower({c}), 'ß', 'ss'), '[^\\p{{L}}\\p{{N}}]+', '', 'g'), '')"
+
+
+@query(f"WITH c AS (SELECT {_FORM.format(c='title')} AS t, {_FORM.format(c='authors')} AS a, min(doi) AS got FROM documents WHERE doi IS NOT NULL GROUP BY 1, 2) SELECT doc_id, coalesce(doi, got) AS doi FROM documents LEFT JOIN c ON c.t = {_FORM.format(c='title')} AND c.a = {_FORM.format(c='authors')}")
+def lookup_by_title_author(spark, d):
+    """Missing DOIs from a catalogue by title and authors; the records with a DOI serve as the catalogue."""
+    docs = table(spark, d, "documents").select("doc_id", "doi", "title", "authors")
+    return ingest.lookup(docs, docs.where("doi IS NOT NULL"), ["title", "authors"], ["doi"]).select("doc_id", "doi")
+
+
+@query()
+def point_clusters(spark, d):
+    """The places of the documents in four clusters."""
+    rows = points_of(spark, d).select(F.col("doc_id").alias("id"), F.array("x", "y").alias("features"))
+    return cluster.bisecting_kmeans(rows, 4)[0].select("id", "cluster")
+
+
+@query(f"WITH {PTS} SELECT CAST(floor((x + 1) * 2) AS BIGINT) AS cx, count(*) AS n, round(sum((x - 0.5) * (x - 0.5) + y * y), 4) AS d2 FROM pts WHERE (x - 0.5) * (x - 0.5) + y * y <= 0.16 GROUP BY 1")
+def neighbour_sums(spark, d):
+    """Neighbours within a radius of a place and the sum of their squared distances, by column of the plane."""
+    near = spatial.in_radius(points_of(spark, d).withColumn("rank", F.coalesce("rank", F.lit(0.0))), 0.5, 0.0, 0.4)
+    return near.groupBy(F.floor((F.col("x") + 1) * 2).alias("cx")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("d2"), 4).alias("d2"))
