@@ -94,7 +94,7 @@ def works(documents: DataFrame, rounds: int = 3) -> DataFrame:
     base = documents.where("doc_id IS NOT NULL").select("doc_id", doi_form(F.col("doi")).alias("own"))
     base = base.join(given, "doc_id", "left").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     work = F.coalesce("own", "doi_form", F.concat(F.lit("r"), F.coalesce("component", "doc_id").cast("string")))
-    return base.select("doc_id", work.alias("work"))
+    return base.select("doc_id", work.alias("work")).dropDuplicates(["doc_id"])
 
 
 def _dependence(pairs: list, accuracy: dict[str, float], copied: float = 0.8, false_values: int = 10, prior: float = 0.2) -> dict[tuple[str, str], float]:
@@ -169,12 +169,12 @@ def best_records(documents: DataFrame, trust: DataFrame, rounds: int = 2, false_
     wins (ties: the longer, then the smaller), in the stored spelling of its most trusted record.
 
     A null source has trust 0, as has a source without a row in ``trust``. Exact copies of a record
-    count once as a claim of their source. Null ids are ignored; an empty table gives no rows.
+    count once as a claim of their source; rows that repeat an id are one record. Null ids are ignored; an empty table gives no rows.
     """
     grouped = works(documents)
     many = grouped.groupBy("work").agg(F.count(F.lit(1)).alias("n_records"), F.min("doc_id").alias("first_doc_id")).where("n_records > 1")
     ranks = trust.groupBy("source").agg(F.max("trust").alias("trust"))
-    rows = documents.select("doc_id", *FIELDS, "source", "added_at").join(grouped, "doc_id").join(many.select("work"), "work", "left_semi")
+    rows = documents.select("doc_id", *FIELDS, "source", "added_at").join(grouped, "doc_id").dropDuplicates(["doc_id"]).join(many.select("work"), "work", "left_semi")
     rows = rows.join(ranks, "source", "left").withColumn("trust", F.coalesce("trust", F.lit(0))).withColumn("source", F.coalesce("source", F.lit(MISSING_SOURCE)))
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("raw"), (doi_form(F.col(c)) if c == "doi" else value_form(F.col(c))).alias("form")) for c in FIELDS]))
     long = cut(rows.select("work", "doc_id", "source", "trust", "added_at", cells.alias("c")).select("work", "doc_id", "source", "trust", "added_at", "c.*"))

@@ -294,7 +294,9 @@ def test_survivor_rules(spark):
     assert survivor.value_form and got[1].abstract.endswith(LONG_ABSTRACT) and got[1].doi.lower().endswith("10.99005/a.1")
     ties = best(spark, [doc(1, "10.99005/a.1", LONG_TITLE, source="upload", at=9), doc(2, "10.99005/a.1", LONG_TITLE, source="feed", at=1), doc(3, "10.99005/a.1", LONG_TITLE, source="feed", at=2), doc(4, "10.99005/a.1", LONG_TITLE, source=None, at=30)])
     assert ties[1].best_doc_id == 3
-    assert best(spark, [doc(1)][:0] + [doc(9, "10.99005/z.1")]) == {}
+    assert best(spark, [doc(9, "10.99005/z.1"), doc(9, "10.99005/z.1")]) == {} and best(spark, []) == {}
+    again = best(spark, [doc(1, "10.99005/a.1", LONG_TITLE), doc(1, "10.99005/a.1", LONG_TITLE), doc(2, "10.99005/a.1")])
+    assert again[1].n_records == 2 and again[1].best_doc_id == 1
 
 
 def test_survivor_without_dois(spark):
