@@ -388,7 +388,7 @@ def html_fields(spark, d):
 @query("SELECT title, doi, coalesce(publication_date, 0) AS publication_date FROM documents")
 def catalogue_records(spark, d):
     """Records written as catalogue JSON and read back."""
-    item = F.struct("title", F.lit("journal").alias("type"), F.col("publication_date").alias("year"), F.struct("doi").alias("identifiers"))
+    item = F.struct("title", F.lit("journal-article").alias("type"), F.col("publication_date").alias("year"), F.struct("doi").alias("identifiers"))
     lines = table(spark, d, "documents").select(F.to_json(F.array(item)).alias("json"))
     return documents_in.catalogue_records(lines).select("title", "doi", "publication_date")
 

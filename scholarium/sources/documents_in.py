@@ -116,8 +116,12 @@ def html_fields(html: Column) -> Column:
     return run(html)
 
 
-# Kinds of catalogue items and the kind kept here.
-ITEM_KINDS = {"journal": "article", "book": "book", "book_section": "inbook", "conference_proceedings": "inproceedings", "thesis": "phdthesis", "report": "techreport", "working_paper": "unpublished", "generic": "misc"}
+# Kinds of catalogue items and the kind kept here; every kind of book is a book, other kinds have none.
+ITEM_KINDS = {
+    "book": "book", "book-section": "book", "book-track": "book", "book-part": "book", "book-set": "book", "book-chapter": "book", "book-series": "book",
+    "journal-article": "article", "journal-volume": "periodical", "journal-issue": "periodical", "journal": "periodical",
+    "proceedings-article": "inproceedings", "report": "techreport", "monograph": "mastersthesis", "dissertation": "phdthesis",
+}
 CATALOGUE = "array<struct<title:string,type:string,year:int,source:string,volume:string,issue:string,pages:string,abstract:string,keywords:array<string>,authors:array<struct<first_name:string,last_name:string>>,identifiers:struct<doi:string,issn:string>>>"
 
 
@@ -127,8 +131,8 @@ def catalogue_records(lines: DataFrame, column: str = "json") -> DataFrame:
     kind = F.create_map(*[F.lit(x) for kv in ITEM_KINDS.items() for x in kv])
     names = F.transform("authors", lambda a: F.concat_ws(" ", a["first_name"], a["last_name"]))
     return items.select(
-        "title", F.col("identifiers.doi").alias("doi"), F.col("identifiers.issn").alias("container_issn"), F.coalesce(F.try_element_at(kind, F.col("type")), F.lit("misc")).alias("type"),
-        F.coalesce("year", F.lit(0)).alias("publication_date"), F.col("source").alias("container"), "volume", "issue", "pages", "abstract",
+        "title", F.col("identifiers.doi").alias("doi"), F.col("identifiers.issn").alias("container_issn"), F.try_element_at(kind, F.col("type")).alias("type"),
+        F.coalesce("year", F.lit(0)).alias("publication_date"), F.col("source").alias("publisher"), "volume", "issue", "pages", "abstract",
         F.array_join("keywords", ", ").alias("keywords"), F.array_join(names, ";").alias("authors"),
     )
 

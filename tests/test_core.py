@@ -248,5 +248,5 @@ def test_sources(spark, tmp_path):
     (tmp_path / "bad.data").write_text("DN\n3\n2\n7;1;2\n")
     with pytest.raises(ValueError):
         matrix_text.read_matrix(spark, str(tmp_path / "bad.data"))
-    lines = spark.createDataFrame([('[{"title":"T","type":"journal","authors":[{"first_name":"A","last_name":"B"}],"identifiers":{"doi":"d"}}]',), ("no",)], "json string")
+    lines = spark.createDataFrame([('[{"title":"T","type":"journal-article","authors":[{"first_name":"A","last_name":"B"}],"identifiers":{"doi":"d"}}]',), ("no",)], "json string")
     assert [(r.title, r.type, r.authors, r.publication_date) for r in documents_in.catalogue_records(lines).collect()] == [("T", "article", "A B", 0)]
