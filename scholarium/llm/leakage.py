@@ -263,18 +263,71 @@ def _aligned(item: np.ndarray, doc: np.ndarray, one_in: int) -> tuple[int, int]:
     return int(span.flat[k]), int(bad.flat[k])
 
 
+def sure_run(words: int, least: int, one_in: int) -> int:
+    """Equal words in a row that each stretch of an item of ``words`` words has, if it spans ``least`` or more with at most one in ``one_in`` differing.
+
+    Of a span with d differences at least span - d words are equal, in at most d + 1 unbroken runs.
+    """
+    return min(-(-(n - n // one_in) // (n // one_in + 1)) for n in range(min(least, words), words + 1))
+
+
+def _grams(ids: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each ``n`` neighbouring word numbers."""
+    out = np.zeros(max(0, len(ids) - n + 1), dtype=np.uint64)
+    ids = ids.astype(np.uint64)
+    for k in range(n):
+        out = (out + ids[k : k + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
+    return out
+
+
+def _seeds(items: list[np.ndarray], run_words: int, one_in: int) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per length of a sure run: (length, its hashes in order, the edges of each hash in the item numbers, item numbers)."""
+    by: dict[int, list[int]] = {}
+    for k, item in enumerate(items):
+        by.setdefault(sure_run(len(item), run_words, one_in), []).append(k)
+    out = []
+    for n, ks in by.items():
+        grams = [np.unique(_grams(items[k], n)) for k in ks]
+        h, who = np.concatenate(grams), np.repeat(ks, [len(g) for g in grams])
+        order = np.argsort(h, kind="stable")
+        values, edges = np.unique(h[order], return_index=True)
+        out.append((n, values, np.append(edges, len(h)), who[order]))
+    return out
+
+
+def _seeded(ids: np.ndarray, block: np.ndarray, first: np.ndarray, seeds: list, tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(block, item number) of all places where a document and an item share a sure run; a chance equal hash adds a place, none is lost."""
+    found_b, found_k = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for (n, values, edges, who), table in zip(seeds, tables):
+        h = _grams(ids, n)
+        at = np.flatnonzero(table[h >> np.uint64(44)])
+        place = np.minimum(np.searchsorted(values, h[at]), len(values) - 1)
+        doc, last = (np.searchsorted(first, block[x], side="right") for x in (at, at + n - 1))
+        keep = (values[place] == h[at]) & (doc == last)
+        at, place = at[keep], place[keep]
+        size = edges[place + 1] - edges[place]
+        within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        found_b.append(np.repeat(block[at], size))
+        found_k.append(who[np.repeat(edges[place], size) + within])
+    return np.concatenate(found_b), np.concatenate(found_k)
+
+
 def _search(encoded: DataFrame, kind: str, key: str, key_type: str, names: list, items: list[np.ndarray], weight: np.ndarray, terms: np.ndarray, least: float, run_words: int, one_in: int) -> DataFrame:
     heavy = weight > 0
     queries = np.stack([terms[ids].sum(axis=0) for ids in items])
     queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-12)
     answers = [np.unique(ids)[np.argsort(-weight[np.unique(ids)], kind="stable")][:8] for ids in items]
+    seeds = _seeds(items, run_words, one_in)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tables = [np.zeros(1 << 20, dtype=bool) for _ in seeds]
+        for (_, values, _, _), table in zip(seeds, tables):
+            table[values >> np.uint64(44)] = True
         for batch in batches:
             for lo in range(0, len(batch), 500):
-                yield search(batch.iloc[lo : lo + 500])
+                yield search(batch.iloc[lo : lo + 500], tables)
 
-    def search(batch: pd.DataFrame) -> pd.DataFrame:
+    def search(batch: pd.DataFrame, tables: list[np.ndarray]) -> pd.DataFrame:
         mark = np.zeros(len(weight), dtype=bool)
         ids, block, first = _blocks(list(batch["_ids"]), kind)
         keep = heavy[ids]
@@ -286,7 +339,10 @@ def _search(encoded: DataFrame, kind: str, key: str, key_type: str, names: list,
         pair /= np.maximum(np.linalg.norm(pair, axis=1, keepdims=True), 1e-12)
         cosine = pair @ queries.T
         b, k = np.nonzero(cosine >= least)
+        seed_b, seed_k = _seeded(ids, block, first, seeds, tables)
+        b, k = np.concatenate([b, seed_b]), np.concatenate([k, seed_k])
         doc = np.searchsorted(first, b, side="right") - 1
+        sure = set(zip(doc[len(doc) - len(seed_b) :].tolist(), seed_k.tolist()))
         out = []
         start = np.concatenate([[0], np.cumsum([len(x) // np.dtype(kind).itemsize for x in batch["_ids"]])])
         order = np.lexsort((b, k, doc))
@@ -299,10 +355,13 @@ def _search(encoded: DataFrame, kind: str, key: str, key_type: str, names: list,
                 part = own[lo:hi]
                 need = min(run_words, len(item))
                 side = (need - 2) // 2 - 1  # a stretch with a word put in or left out has an unbroken side of this length
-                got = longest_run(item, part, one_in, side)
                 mark[part] = True
                 answered = float(mark[answers[int(k[s.start])]].mean())
                 mark[part] = False
+                if answered < 0.75 and (d, int(k[s.start])) not in sure:  # neither reworded nor copied
+                    share = max(share, answered)
+                    continue
+                got = longest_run(item, part, one_in, side)
                 close = got[0] >= side
                 if close:  # only here the words around may belong to the stretch
                     part = own[max(0, lo - len(item)) : hi + len(item)]
@@ -349,8 +408,10 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     folder) and counted in blocks of 25 words. The latent space comes from a distributed randomised
     decomposition of the TF-IDF blocks of the whole corpus together with the items, each side with the
     same total mass, so that the few items keep their own directions. Passages of two neighbouring
-    blocks are candidates of an item from a cosine of ``least_cosine`` on; around each candidate the
-    document is aligned with the item. ``kind`` is "copied" if ``run_words`` consecutive words (or all
+    blocks are candidates of an item from a cosine of ``least_cosine`` on, and, whatever their cosine,
+    where they share with the item as many words in a row as each copied stretch must have (sure_run);
+    around each candidate the document is aligned with the item. So ``least_cosine`` bounds the reworded
+    rows only. ``kind`` is "copied" if ``run_words`` consecutive words (or all
     of a shorter item) stand there with at most one in ``one_in`` differing, else "reworded" if the
     longest common subsequence covers 0.6 of the item and three quarters of its rarest words are there.
 

@@ -174,6 +174,24 @@ def test_leaks_in_tiny_and_uniform_tables(spark):
     assert got == {(i, 0) for i in range(40)} | {(90, 1)}
 
 
+def test_leaks_of_low_cosine(spark):
+    """A short stretch of a long item among many other words of the items is found, whatever its cosine."""
+    rng = random.Random(5)
+    words = [f"word{i}" for i in range(4000)]
+    items = [rng.sample(words, 110) for _ in range(40)]
+    noise = lambda n: " ".join(rng.choice(rng.choice(items[20:])) for _ in range(n))
+    texts = [f"{noise(12 + i)} {' '.join(items[i][40:65])} {noise(60)}" for i in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    evals = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    for bound in (0.45, 0.999):
+        got = leakage.leaks(docs, evals, least_cosine=bound).where("kind = 'copied'").collect()
+        assert {(r.doc_id, r.item_id) for r in got} == {(i, i) for i in range(20)}
+
+
+def test_sure_run():
+    assert [leakage.sure_run(n, 25, 12) for n in (1, 11, 12, 13, 25, 90)] == [1, 11, 6, 6, 8, 8]
+
+
 def test_many_odd_words(spark, monkeypatch):
     monkeypatch.setattr(leakage._Ids, "LIMIT", 3)
     ids = leakage._Ids({"a": 1, "b": 2})
