@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.ml.functions import array_to_vector
@@ -26,11 +26,13 @@ def mean_features(rows: DataFrame, features: str = "features") -> np.ndarray | N
     return None if got is None else got.toArray()
 
 
-def _pivot(rows: DataFrame, far_from: np.ndarray, size: int, distance) -> np.ndarray | None:
-    """The row at three quarters of the sampled distances: every stride-th member by id hash order."""
+def _pivot(rows: DataFrame, far_from: np.ndarray, size: int, distance, sampled: bool = True) -> np.ndarray | None:
+    """The row at three quarters of the sampled distances: every stride-th member by id hash order, or of all if not ``sampled``."""
     sample = 1 + size // 10
     d = distance(F.col("features"), _literal(far_from))
-    ranked = rows.where(F.pmod(F.xxhash64("id"), F.lit(max(1, size // sample))) == 0).select("id", "features", d.alias("d")) if size > 10 else rows.select("id", "features", d.alias("d"))
+    ranked = rows.select("id", "features", d.alias("d"))
+    if sampled and size > 10:
+        ranked = rows.where(F.pmod(F.xxhash64("id"), F.lit(max(1, size // sample))) == 0).select("id", "features", d.alias("d"))
     cut_at = ranked.agg(F.percentile_approx("d", 0.75, 10_000)).first()[0]
     if cut_at is None:
         return None
@@ -38,50 +40,82 @@ def _pivot(rows: DataFrame, far_from: np.ndarray, size: int, distance) -> np.nda
     return np.array(row[0]["features"], dtype=float)
 
 
+def _farthest(rows: DataFrame, far_from: np.ndarray, distance) -> np.ndarray | None:
+    """The member farthest from a place, the smaller id first."""
+    d = distance(F.col("features"), _literal(far_from))
+    row = rows.select("id", "features", d.alias("d")).where("d IS NOT NULL").orderBy(F.desc("d"), "id").limit(1).collect()
+    return np.array(row[0]["features"], dtype=float) if row else None
+
+
+def _pivots(rows: DataFrame, centre: np.ndarray, size: int, distance) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of different pivots to try: from the sample, from all members, and at last a member with the one farthest from it."""
+    for sampled in (True, False):
+        one = _pivot(rows, centre, size, distance, sampled)
+        two = None if one is None else _pivot(rows, one, size, distance, sampled)
+        if two is not None and not np.array_equal(one, two):
+            yield one, two
+    one = _farthest(rows, centre, distance)
+    two = None if one is None else _farthest(rows, one, distance)
+    if two is not None and not np.array_equal(one, two):
+        yield one, two
+
+
+def _halves(members: DataFrame, one: np.ndarray, two: np.ndarray, distance, iterations: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Centroids after the Lloyd steps; None if the rows do not fall on both sides."""
+    n = [0, 0]
+    for _ in range(iterations):
+        d1, d2 = distance(F.col("features"), _literal(one)), distance(F.col("features"), _literal(two))
+        side = F.when(d1 < d2, 0).when(d1 > d2, 1).otherwise(0 if n[0] <= n[1] else 1)
+        got = members.select(side.alias("side"), array_to_vector("features").alias("v")).groupBy("side").agg(Summarizer.mean(F.col("v")).alias("m"), F.count(F.lit(1)).alias("n")).collect()
+        if len(got) < 2:
+            break
+        last = (one, two)
+        by = {r["side"]: r for r in got}
+        one, two, n = by[0]["m"].toArray(), by[1]["m"].toArray(), [by[0]["n"], by[1]["n"]]
+        if np.array_equal(last[0], one) and np.array_equal(last[1], two):
+            break
+    return None if 0 in n else (one, two)
+
+
 def bisecting_kmeans(rows: DataFrame, k: int, distance: Callable[[Column, Column], Column] = euclidean, iterations: int = ITERATIONS) -> tuple[DataFrame, list[np.ndarray]]:
     """((id, features, cluster), centroids): the largest cluster is split in two until there are k.
 
     Pivots are taken from a tenth of the members at the 75th percentile of distance, then ``iterations``
     Lloyd steps follow; ties of a row's distance go to the smaller cluster. A step is one scan with two
-    literal centroids and one partial aggregation of vector sums; only centroids reach the driver. A
-    cluster of equal rows is not split further. k below 2 or no rows: one cluster or none.
+    literal centroids and one partial aggregation of vector sums; only centroids reach the driver. If the
+    sample gives no two different pivots or no split, all members are asked. A cluster that cannot be
+    split (of equal rows) is finished and the next largest is taken, so fewer than k are given only if
+    no cluster is left to split. k below 2 or no rows: one cluster or none.
     """
     data = cut(rows.select("id", "features").withColumn("cluster", F.lit(0)))
     centre = mean_features(data)
     if centre is None:
         return data, []
     centroids, sizes = [centre], [data.count()]
+    finished: set[int] = set()
     while len(centroids) < k:
-        order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
-        target = order[0]
-        if sizes[target] < 2:
-            break
-        members = data.where(F.col("cluster") == target)
-        one = _pivot(members, centroids[target], sizes[target], distance)
-        two = None if one is None else _pivot(members, one, sizes[target], distance)
-        if two is None or np.allclose(one, two):
+        open_ones = [i for i in range(len(sizes)) if i not in finished and sizes[i] > 1]
+        if not open_ones:
             break
-        n = [0, 0]
-        for _ in range(iterations):
+        target = min(open_ones, key=lambda i: (-sizes[i], i))
+        members, new = data.where(F.col("cluster") == target), len(centroids)
+        for pivots in _pivots(members, centroids[target], sizes[target], distance):
+            halves = _halves(members, *pivots, distance, iterations)
+            if halves is None:
+                continue
+            one, two = halves
             d1, d2 = distance(F.col("features"), _literal(one)), distance(F.col("features"), _literal(two))
-            side = F.when(d1 < d2, 0).when(d1 > d2, 1).otherwise(0 if n[0] <= n[1] else 1)
-            got = members.select(side.alias("side"), array_to_vector("features").alias("v")).groupBy("side").agg(Summarizer.mean(F.col("v")).alias("m"), F.count(F.lit(1)).alias("n")).collect()
-            if len(got) < 2:
-                break
-            last = (one, two)
-            by = {r["side"]: r for r in got}
-            one, two, n = by[0]["m"].toArray(), by[1]["m"].toArray(), [by[0]["n"], by[1]["n"]]
-            if np.array_equal(last[0], one) and np.array_equal(last[1], two):
+            split = cut(data.withColumn("cluster", F.when((F.col("cluster") == target) & (d1 > d2), new).otherwise(F.col("cluster"))))
+            counts = {r[0]: r[1] for r in split.groupBy("cluster").agg(F.count(F.lit(1))).collect()}
+            if counts.get(target, 0) and counts.get(new, 0):
                 break
-        if 0 in n:
-            break
-        d1, d2 = distance(F.col("features"), _literal(one)), distance(F.col("features"), _literal(two))
-        new = len(centroids)
-        data = cut(data.withColumn("cluster", F.when((F.col("cluster") == target) & (d1 > d2), new).otherwise(F.col("cluster"))))
-        counts = {r[0]: r[1] for r in data.groupBy("cluster").agg(F.count(F.lit(1))).collect()}
-        centroids[target], sizes[target] = one, counts.get(target, 0)
+        else:
+            finished.add(target)
+            continue
+        data = split
+        centroids[target], sizes[target] = one, counts[target]
         centroids.append(two)
-        sizes.append(counts.get(new, 0))
+        sizes.append(counts[new])
     return data, centroids
 
 

@@ -218,6 +218,18 @@ def test_clusters(spark):
     assert cluster.medoids(data, centres).count() == 3
 
 
+def test_clusters_beside_copies(spark):
+    """A cluster that cannot be split does not keep the others from being split."""
+    split = lambda vectors, k: cluster.bisecting_kmeans(spark.createDataFrame([(i, v) for i, v in enumerate(vectors)], "id int, features array<double>"), k, iterations=5)
+    copies = [[0.0, 0.0]] * 40 + [[100.0 + 10 * (i % 4), 50.0 * (i % 2)] for i in range(32)]
+    data, centres = split(copies, 5)
+    assert len(centres) == 5 and {r.cluster for r in data.collect()} == set(range(5))
+    data, centres = split([[1.0, 1.0]] * 45 + [[5.0, 5.0]] * 5, 3)
+    assert len(centres) == 2 and sorted(r["count"] for r in data.groupBy("cluster").count().collect()) == [5, 45]
+    for n in range(11, 14):
+        assert len(split([[float(i), 0.0] for i in range(n)], 2)[1]) == 2
+
+
 def test_packed_values(spark):
     lists = [f"{a} {b}; {c}, {d}" for a, b, c, d in (("Ann", "Lee", "Roe", "Jane"), ("Bob", "Ray", "Roe", "Jane"), ("Ann", "Lee", "Doe", "Jim"))] * 5
     rows = [(i, None, s) for i, s in enumerate(lists)] + [
