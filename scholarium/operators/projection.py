@@ -7,7 +7,7 @@ rows are mapped on the executors.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -155,8 +155,8 @@ def control_points(rows: DataFrame, k: int, choice: str = "KMEANS") -> DataFrame
     return clustered.join(F.broadcast(medoids(clustered, centroids).select("id")), "id").select("id", "features")  # k rows
 
 
-def lamp(rows: DataFrame, k: int | None = None, choice: str = "RANDOM", iterations: int = 50, percentage: float = 1.0) -> DataFrame:
-    """(id, x, y): control points are placed by distance, every row by an affine map of its neighbours among them.
+def lamp(rows: DataFrame, k: int | None = None, choice: str = "RANDOM", iterations: int = 50, percentage: float = 1.0, place: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """(id, x, y): control points are placed by ``place`` (idmap if none is given), every row by an affine map of its neighbours among them.
 
     ``rows`` is (id, features array<double>). The control points (the root of the number of rows unless k
     is given, at most MOST_CONTROL_POINTS) go to the driver and to every task.
@@ -168,7 +168,7 @@ def lamp(rows: DataFrame, k: int | None = None, choice: str = "RANDOM", iteratio
     if not sample:
         return rows.sparkSession.createDataFrame([], schema)
     control = np.array([r["features"] for r in sample], dtype=float)
-    placed = idmap(control, iterations)
+    placed = place(control) if place else idmap(control, iterations)
     use = max(int(len(control) * percentage), 1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

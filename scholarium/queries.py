@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -628,31 +627,22 @@ def word_sublist(spark, d):
     return table(spark, d, "documents").where("words IS NOT NULL").select("doc_id", F.when(F.size(part) > 0, F.array_join(F.transform(part, lambda e: e["word"]), " ")).alias("part"))
 
 
-def _control(spark, d):
-    rows = projection.control_points(_features(spark, d), 40, "RANDOM").orderBy("id").collect()
-    return [r["id"] for r in rows], np.array([r["features"] for r in rows])
-
-
-def _placed(spark, ids, xy):
-    return spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in zip(ids, xy)], "id long, x double, y double")
+# The root of the rows is placed by the projection, all rows by an affine map from it.
 
 
 @query()
 def fastmap(spark, d):
-    ids, x = _control(spark, d)
-    return _placed(spark, ids, projection.fastmap(projection.pairwise(x)))
+    return projection.lamp(_features(spark, d), place=lambda x: projection.fastmap(projection.pairwise(x)))
 
 
 @query()
 def idmap(spark, d):
-    ids, x = _control(spark, d)
-    return _placed(spark, ids, projection.idmap(x))
+    return projection.lamp(_features(spark, d), place=projection.idmap)
 
 
 @query()
 def nearest_neighbour_projection(spark, d):
-    ids, x = _control(spark, d)
-    return _placed(spark, ids, projection.normalise_keeping_aspect(projection.nearest_neighbour_projection(projection.pairwise(x))))
+    return projection.lamp(_features(spark, d), place=lambda x: projection.normalise_keeping_aspect(projection.nearest_neighbour_projection(projection.pairwise(x))))
 
 
 @query(f"WITH {CITES}, r AS (SELECT src, dst, a.doi AS own, b.doi AS other FROM cites JOIN documents a ON a.doc_id = src JOIN documents b ON b.doc_id = dst) SELECT src AS doc_id, other AS doi FROM r WHERE coalesce(own <> other, TRUE)")

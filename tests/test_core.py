@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scholarium.functions import mathx, strings, vectors
 from scholarium.operators import cluster, components, density, graph, ingest, packed, prefix, projection, quantiles, spatial, termmatrix, text
+from scholarium.queries import queries
 from scholarium.sources import documents_in, matrix_text
 
 
@@ -208,6 +209,20 @@ def test_projection(spark):
     assert projection.control_points(rows, 7, "REPRESENTATIVE").count() == 7
 
 
+@pytest.mark.parametrize("name", ["fastmap", "idmap", "nearest_neighbour_projection"])
+def test_every_row_gets_a_place(spark, tmp_path, name):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(2500, 3))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    rows.write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r.id: (r.x, r.y) for r in queries()[name](spark, str(tmp_path)).collect()}
+    assert sorted(got) == list(range(2500)) and np.isfinite(list(got.values())).all()
+    control = x[:50].astype(np.float32).astype(float)
+    d = projection.pairwise(control)
+    placed = {"fastmap": lambda: projection.fastmap(d), "idmap": lambda: projection.idmap(control), "nearest_neighbour_projection": lambda: projection.normalise_keeping_aspect(projection.nearest_neighbour_projection(d))}[name]()
+    assert np.allclose([got[i] for i in range(50)], placed)
+
+
 def test_clusters(spark):
     rows = [(i, [float(i % 3 * 10 + i * 0.01), float(i % 3)]) for i in range(60)]
     data, centres = cluster.bisecting_kmeans(spark.createDataFrame(rows, "id int, features array<double>"), 3)
