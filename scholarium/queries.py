@@ -247,7 +247,7 @@ def pagerank_settled(spark, d):
 @query()
 def author_pagerank(spark, d):
     edges = graph.author_edges(table(spark, d, "citations"), table(spark, d, "document_authors"))
-    return graph.pagerank(edges, tolerance=0, max_iter=5)
+    return graph.pagerank(edges)
 
 
 _AUTHOR_EDGES = f"WITH {CITES}, {LINKS}, e AS (SELECT a.aut_id AS src, b.aut_id AS dst, count(*) AS weight FROM cites c JOIN links a ON a.doc_id = c.src JOIN links b ON b.doc_id = c.dst GROUP BY ALL)"

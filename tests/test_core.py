@@ -209,6 +209,18 @@ def test_projection(spark):
     assert projection.control_points(rows, 7, "REPRESENTATIVE").count() == 7
 
 
+def test_author_ranks_are_settled(spark, tmp_path):
+    """A chain of ten papers that cite the next one, each by an author of its own: ranks reach its end."""
+    spark.createDataFrame([(i, i, i + 1) for i in range(10)], "id long, doc_id long, ref_id long").write.parquet(str(tmp_path / "citations.parquet"))
+    spark.createDataFrame([(i, i, 100 + i) for i in range(11)], "id long, doc_id long, aut_id long").write.parquet(str(tmp_path / "document_authors.parquet"))
+    got = {r.v: r.pr for r in queries()["author_pagerank"](spark, str(tmp_path)).collect()}
+    want, value = {}, 0.0
+    for i in range(11):
+        value = 0.15 / 11 + 0.85 * value
+        want[100 + i] = value
+    assert got == pytest.approx(want, abs=1e-6)
+
+
 @pytest.mark.parametrize("name", ["fastmap", "idmap", "nearest_neighbour_projection"])
 def test_every_row_gets_a_place(spark, tmp_path, name):
     rng = np.random.default_rng(1)
