@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -64,14 +65,14 @@ def _keys(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "doi_form", F.explode(F.array_compact(F.array(*hashed))).alias("key"))
 
 
-def works(documents: DataFrame, rounds: int = 3) -> DataFrame:
+def works(documents: DataFrame) -> DataFrame:
     """(doc_id, work): records of one work share ``work``.
 
     Records with the same real DOI are one work, with different ones never. A record without a DOI
     joins a DOI through shared evidence (title and authors, title and place, start of title and of
     abstract, a long start of the abstract, and the like) that belongs to exactly one DOI; where
     different evidence names different DOIs, the most often named wins, then the smaller. That is
-    repeated ``rounds`` times so that evidence passes on; records still without a DOI form components
+    repeated until no record is added, so that evidence passes on; records still without a DOI form components
     over the evidence that no DOI has. All steps are aggregations by evidence, so no pairs of a large
     group are formed.
     """
@@ -79,7 +80,7 @@ def works(documents: DataFrame, rounds: int = 3) -> DataFrame:
     open_rows = rows.where("doi_form IS NULL").select("doc_id", "key")
     named = rows.where("doi_form IS NOT NULL").select("key", "doi_form")
     given = None
-    for _ in range(rounds):
+    for step in count(1):
         owner = named.groupBy("key").agg(F.min("doi_form").alias("d"), F.max("doi_form").alias("e")).where("d = e").select("key", "d")
         votes = open_rows.join(owner, "key").groupBy("doc_id", "d").agg(F.count(F.lit(1)).alias("n"))
         new = cut(votes.groupBy("doc_id").agg(F.min_by("d", F.struct(-F.col("n"), F.col("d"))).alias("doi_form")))
@@ -88,6 +89,8 @@ def works(documents: DataFrame, rounds: int = 3) -> DataFrame:
             break
         named = named.union(open_rows.join(new, "doc_id").select("key", "doi_form"))
         open_rows = open_rows.join(new, "doc_id", "left_anti")
+        if step % 3 == 0:  # long chains only: plans must not grow with the rounds
+            named, open_rows, given = cut(named), cut(open_rows), cut(given)
     free = open_rows.join(named.select("key").distinct(), "key", "left_anti")
     first = free.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     parts = connected_components(free.join(first, "key").select("doc_id", "first"), "doc_id", "first")

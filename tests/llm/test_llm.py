@@ -124,6 +124,14 @@ def test_lookalike_on_table(spark, data):
     assert {tuple(r) for r in queries()["p8_found"](spark, data).collect()} == want
 
 
+def test_works_of_a_long_chain(spark):
+    """A record five hops from a DOI belongs to it."""
+    letters = lambda c, n: c * n
+    rows = [(i, "10.1234/chain" if i == 0 else None, letters("abcd"[i // 2], 30), letters("wxyz"[(i - 1) // 2], 80) if i else None, None, "Ann Lee", None, None) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, doi string, title string, abstract string, keywords string, authors string, container string, publication_date int")
+    assert {r.doc_id: r.work for r in survivor.works(docs).collect()} == {i: "10.1234/chain" for i in range(6)}
+
+
 # Leaks
 
 
