@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -17,7 +18,11 @@ from scholarium.plans.lineage import cut
 BLOCK = 25  #: words of a block; a passage is two neighbouring blocks, so any run of 25 words lies inside one passage
 ITEMS_AT_ONCE = 192  #: items searched in one pass; more are searched in further passes
 EXTRA = 32  #: dimensions of the latent space beyond the number of items
-CHUNK = 40_000  #: tokens projected at once, which bounds a worker's memory
+SEGMENT = 64  #: members of a group that are added up in one go
+ROWS_AT_ONCE = 2048  #: groups that are added up side by side
+BLOCKS_AT_ONCE = 8192  #: blocks projected at once, which bounds a worker's memory
+DOCUMENTS_AT_ONCE = 500  #: documents searched at once
+DIAGONALS_AT_ONCE = 2000  #: diagonals aligned at once
 
 _WORD = re.compile(r"[^\W_]+")
 _PLAIN = bytes(
@@ -79,12 +84,15 @@ def _encoded(documents: DataFrame, key: str, text: str, vocabulary: dict[str, in
     return rows.mapInPandas(run, f"_key {dict(documents.dtypes)[key]}, _ids binary")
 
 
-def _blocks(raw: list[bytes], kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All word ids of a batch, the block each is in, and each document's first block (with the end at last)."""
-    arrays = [np.frombuffer(x, dtype=kind).astype(np.int32) for x in raw]
+def _blocks(raw: list[bytes], kind: str, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All word ids of a batch, the block each is in, and each document's first block (with the end at last).
+
+    ``number`` gives the id of a stored word number in the present pass, 0 if no item of the pass uses the word.
+    """
+    arrays = [np.frombuffer(x, dtype=kind) for x in raw]
     sizes = np.array([len(a) for a in arrays], dtype=np.int64)
     first = np.concatenate([[0], np.cumsum(np.maximum(1, -(-sizes // BLOCK)))])
-    ids = np.concatenate(arrays) if arrays else np.zeros(0, np.int32)
+    ids = number[np.concatenate(arrays)] if arrays else np.zeros(0, np.int32)
     place = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     return ids, np.repeat(first[:-1], sizes) + place // BLOCK, first
 
@@ -113,28 +121,43 @@ def _task() -> int:
     return ctx.partitionId() if ctx else 0
 
 
-def _rows(ids: np.ndarray, block: np.ndarray, n: int, basis: np.ndarray) -> np.ndarray:
-    """Per block the sum of its words' rows of ``basis``."""
+def _rows(ids: np.ndarray, group: np.ndarray, n: int, basis: np.ndarray) -> np.ndarray:
+    """Per group the sum of its members' rows of ``basis``; ``group`` ascends.
+
+    The j-th members of many groups are added at once, so that the working set stays in the cache; a
+    group of more than SEGMENT members is summed in segments, and these in turn.
+    """
     out = np.zeros((n, basis.shape[1]), dtype=np.float32)
-    if not len(ids):
-        return out
-    edges = [0, *np.flatnonzero(np.diff(block)) + 1, len(ids)]
-    lo = 0
-    while lo < len(edges) - 1:  # whole blocks, about CHUNK words at a time
-        hi = min(max(lo + 1, int(np.searchsorted(edges, edges[lo] + CHUNK))), len(edges) - 1)
-        a, b = edges[lo], edges[hi]
-        out[block[edges[lo:hi]]] = np.add.reduceat(basis[ids[a:b]], np.array(edges[lo:hi]) - a, axis=0)
-        lo = hi
+    counts = np.bincount(group, minlength=n)
+    starts = np.cumsum(counts) - counts
+    if len(ids) and counts.max() > SEGMENT:
+        pieces = -(-counts // SEGMENT)
+        owner = np.repeat(np.arange(n), pieces)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        sizes = np.minimum(counts[owner] - nth * SEGMENT, SEGMENT)
+        parts = _rows(ids, np.repeat(np.arange(len(owner)), sizes), len(owner), basis)
+        return _rows(np.arange(len(owner)), owner, n, parts)
+    order = np.argsort(-counts, kind="stable")
+    for lo in range(0, n, ROWS_AT_ONCE):
+        some = order[lo : lo + ROWS_AT_ONCE]
+        size, at = counts[some], starts[some]
+        if not size[0]:
+            break
+        total, one = np.zeros((len(some), basis.shape[1]), dtype=np.float32), np.empty((len(some), basis.shape[1]), dtype=np.float32)
+        for j, k in enumerate(np.searchsorted(-size, -np.arange(size[0])).tolist()):  # the first k groups have a j-th member
+            np.take(basis, ids[at[:k] + j], axis=0, out=one[:k], mode="clip")
+            total[:k] += one[:k]
+        out[some] = total
     return out
 
 
-def _latent(encoded: DataFrame, kind: str, items: list[np.ndarray], m: int, seed: int) -> tuple[np.ndarray, np.ndarray] | None:
+def _latent(encoded: DataFrame, kind: str, number: np.ndarray, items: list[np.ndarray], m: int, seed: int) -> tuple[np.ndarray, np.ndarray] | None:
     """(term weights, term rows of the latent space) from all blocks of the corpus and the items."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(m + 1)
         for batch in batches:
-            ids, block, first = _blocks(list(batch["_ids"]), kind)
+            ids, block, first = _blocks(list(batch["_ids"]), kind, number)
             total[0] += first[-1]
             block, ids, step = block[ids > 0], ids[ids > 0], max(1, 16_000_000 // (m + 1))
             for lo in range(0, int(first[-1]), step):
@@ -149,9 +172,11 @@ def _latent(encoded: DataFrame, kind: str, items: list[np.ndarray], m: int, seed
         return None
     n = df[0]
     weight = np.maximum(np.log((n + 1) / (df + 1)), 0.05)
-    common = df > n / 3  # words of every third block and more tell little, unless an item has hardly any others
-    if all((~common[np.unique(ids)]).sum() >= min(8, len(np.unique(ids))) for ids in items):
-        weight[common] = 0
+    silent = df > n / 3  # words of every third block and more tell little; an item with hardly any others keeps its own
+    for own in map(np.unique, items):
+        if (df[own] <= n / 3).sum() < min(8, len(own)):
+            silent[own] = False
+    weight[silent] = 0
     weight[0] = 0
     size = min(len(items) + EXTRA, m + 1)
     rng = np.random.default_rng(seed)
@@ -162,13 +187,16 @@ def _latent(encoded: DataFrame, kind: str, items: list[np.ndarray], m: int, seed
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, mass = np.zeros((m + 1, size)), 0.0
         for batch in batches:
-            ids, block, first = _blocks(list(batch["_ids"]), kind)
+            ids, block, first = _blocks(list(batch["_ids"]), kind, number)
             keep = heavy[ids]
             ids, block = ids[keep], block[keep]
             mass += float((weight[ids] ** 2).sum())
-            y = _rows(ids, block, int(first[-1]), start)
-            order = np.argsort(ids, kind="stable")
-            total += _rows(block[order], ids[order], m + 1, y)
+            for lo in range(0, int(first[-1]), BLOCKS_AT_ONCE):
+                a, b = np.searchsorted(block, [lo, lo + BLOCKS_AT_ONCE])
+                some, own = ids[a:b], block[a:b] - lo
+                y = _rows(some, own, min(BLOCKS_AT_ONCE, int(first[-1]) - lo), start)
+                order = np.argsort(some, kind="stable")
+                total += _rows(own[order], some[order], m + 1, y)
         yield pd.DataFrame({"_group": [_task()], "_sum": [np.append(total.ravel(), mass).tobytes()]})
 
     got = _summed(encoded, sketch)
@@ -280,107 +308,210 @@ def _grams(ids: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _seeds(items: list[np.ndarray], run_words: int, one_in: int) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per length of a sure run: (length, its hashes in order, the edges of each hash in the item numbers, item numbers)."""
+def _seeds(items: list[np.ndarray], run_words: int, one_in: int) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per length of a sure run: (length, its hashes in order, the edges of each hash in what follows, item numbers, places in the items)."""
     by: dict[int, list[int]] = {}
     for k, item in enumerate(items):
         by.setdefault(sure_run(len(item), run_words, one_in), []).append(k)
     out = []
     for n, ks in by.items():
-        grams = [np.unique(_grams(items[k], n)) for k in ks]
-        h, who = np.concatenate(grams), np.repeat(ks, [len(g) for g in grams])
+        grams = [_grams(items[k], n) for k in ks]
+        h, who, at = np.concatenate(grams), np.repeat(ks, [len(g) for g in grams]), np.concatenate([np.arange(len(g)) for g in grams])
         order = np.argsort(h, kind="stable")
         values, edges = np.unique(h[order], return_index=True)
-        out.append((n, values, np.append(edges, len(h)), who[order]))
+        out.append((n, values, np.append(edges, len(h)), who[order], at[order]))
     return out
 
 
-def _seeded(ids: np.ndarray, block: np.ndarray, first: np.ndarray, seeds: list, tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(block, item number) of all places where a document and an item share a sure run; a chance equal hash adds a place, none is lost."""
-    found_b, found_k = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for (n, values, edges, who), table in zip(seeds, tables):
+def _seeded(ids: np.ndarray, block: np.ndarray, first: np.ndarray, seeds: list, tables: list[np.ndarray]) -> np.ndarray:
+    """Rows (document, item, shift) of the diagonals on which a document shares a sure run with an item; shift is the place in ``ids`` less that in the item.
+
+    A chance equal hash adds a diagonal, none is lost.
+    """
+    found = [np.zeros((0, 3), np.int64)]
+    for (n, values, edges, who, where), table in zip(seeds, tables):
         h = _grams(ids, n)
         at = np.flatnonzero(table[h >> np.uint64(44)])
         place = np.minimum(np.searchsorted(values, h[at]), len(values) - 1)
         doc, last = (np.searchsorted(first, block[x], side="right") for x in (at, at + n - 1))
         keep = (values[place] == h[at]) & (doc == last)
-        at, place = at[keep], place[keep]
+        at, place, doc = at[keep], place[keep], doc[keep] - 1
         size = edges[place + 1] - edges[place]
-        within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        found_b.append(np.repeat(block[at], size))
-        found_k.append(who[np.repeat(edges[place], size) + within])
-    return np.concatenate(found_b), np.concatenate(found_k)
+        entry = np.repeat(edges[place], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        found.append(np.stack([np.repeat(doc, size), who[entry], np.repeat(at, size) - where[entry]], axis=1))
+    return np.unique(np.concatenate(found), axis=0)
 
 
-def _search(encoded: DataFrame, kind: str, key: str, key_type: str, names: list, items: list[np.ndarray], weight: np.ndarray, terms: np.ndarray, least: float, run_words: int, one_in: int) -> DataFrame:
-    heavy = weight > 0
-    queries = np.stack([terms[ids].sum(axis=0) for ids in items])
-    queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-12)
-    answers = [np.unique(ids)[np.argsort(-weight[np.unique(ids)], kind="stable")][:8] for ids in items]
-    seeds = _seeds(items, run_words, one_in)
+def least_score(words: int, least: int, one_in: int) -> int:
+    """Alignment score (equal words less two for each difference) that every copied stretch of an item of ``words`` words reaches."""
+    return min(n - 3 * (n // one_in) for n in range(min(least, words), words + 1))
+
+
+def _band_scores(ids: np.ndarray, start: np.ndarray, diagonals: np.ndarray, items: list[np.ndarray], one_in: int) -> np.ndarray:
+    """Best local alignment score around each diagonal, all diagonals at once.
+
+    Words put in or left out move a stretch off its diagonal by one each, at most by one in ``one_in``
+    words of the item, so a band of that width on both sides holds every copied stretch of the diagonal.
+    """
+    doc, k, shift = diagonals.T
+    length = np.array([len(x) for x in items])[k]
+    side = int(length.max()) // one_in
+    rows, band = int(length.max()), 2 * side + 1
+    of_item = np.full((len(items), rows), -1, dtype=np.int32)
+    for i, x in enumerate(items):
+        of_item[i, : len(x)] = x[:rows]
+    of_item = of_item[k]
+    at = shift[:, None] + np.arange(-side, rows + side)[None, :]
+    inside = (at >= start[doc][:, None]) & (at < start[doc + 1][:, None])
+    of_doc = np.where(inside, ids[np.clip(at, 0, max(len(ids) - 1, 0))], 0)
+    of_doc[of_doc == 0] = -2  # no item's word, nor a place outside the document
+    slope = 2 * np.arange(band, dtype=np.int32)
+    score, best = np.zeros((len(doc), band + 1), dtype=np.int32), np.zeros(len(doc), dtype=np.int32)
+    for i in range(rows):
+        equal = of_doc[:, i : i + band] == of_item[:, i, None]
+        step = np.maximum(score[:, :band] + np.where(equal, 1, -2), score[:, 1:] - 2)
+        np.maximum(step, 0, out=step)
+        step = np.maximum.accumulate(step + slope, axis=1) - slope
+        score[:, :band] = step
+        np.maximum(best, step.max(axis=1), out=best)
+    return best
+
+
+@dataclass
+class _Queries:
+    """What every task needs to know of the items of one pass; its size is bounded by ITEMS_AT_ONCE items."""
+
+    names: list
+    items: list[np.ndarray]
+    weight: np.ndarray
+    terms: np.ndarray
+
+    def __post_init__(self) -> None:
+        latent = np.stack([self.terms[ids].sum(axis=0) for ids in self.items])
+        self.latent = latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
+        #: the rarest words of an item stand for its answer
+        self.answers = [np.unique(ids)[np.argsort(-self.weight[np.unique(ids)], kind="stable")][:8] for ids in self.items]
+        self.telling = np.unique(np.concatenate(self.answers))
+
+
+def _passages(ids: np.ndarray, block: np.ndarray, first: np.ndarray, q: _Queries) -> np.ndarray:
+    """Latent cosine of every passage (a block and the next one of its document) with every item."""
+    keep = q.weight[ids] > 0
+    rows = _rows(ids[keep], block[keep], int(first[-1]), q.terms)
+    pair = rows.copy()
+    pair[:-1] += rows[1:]
+    last = first[1:] - 1
+    pair[last] = rows[last]  # a last block stands alone, so that no passage crosses documents
+    pair /= np.maximum(np.linalg.norm(pair, axis=1, keepdims=True), 1e-12)
+    return pair @ q.latent.T
+
+
+def _stretches(lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Overlapping stretches joined; ``lo`` ascends."""
+    a, b = int(lo[0]), int(hi[0])
+    for x, y in zip(lo[1:].tolist(), hi[1:].tolist()):
+        if x > b:
+            yield a, b
+            a = x
+        b = max(b, y)
+    yield a, b
+
+
+def _copied(item: np.ndarray, own: np.ndarray, shifts: np.ndarray, run_words: int, one_in: int) -> tuple[int, int]:
+    """(words, differences) of the longest copied stretch around the diagonals, where it is long enough; else (0, 0)."""
+    need, best, margin = min(run_words, len(item)), (0, 0), len(item) // one_in
+    for a, b in _stretches(np.maximum(shifts - margin, 0), np.minimum(shifts + len(item) + margin, len(own))):
+        part = own[a:b]
+        got = longest_run(item, part, one_in, need - need // one_in)[:2]
+        if got[0] < need and common_subsequence(item, part) >= need - need // one_in:
+            got = max(got, _aligned(item, part, one_in))
+        best = max(best, got)
+    return best if best[0] >= need else (0, 0)
+
+
+def _search(encoded: DataFrame, kind: str, key: str, key_type: str, number: np.ndarray, queries: _Queries, least: float, run_words: int, one_in: int) -> DataFrame:
+    seeds = _seeds(queries.items, run_words, one_in)
+    scores = np.array([least_score(len(x), run_words, one_in) for x in queries.items])
+    sent = encoded.sparkSession.sparkContext.broadcast((queries, seeds, number))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables = [np.zeros(1 << 20, dtype=bool) for _ in seeds]
-        for (_, values, _, _), table in zip(seeds, tables):
+        tables = [np.zeros(1 << 20, dtype=bool) for _ in sent.value[1]]
+        for (_, values, *_), table in zip(sent.value[1], tables):
             table[values >> np.uint64(44)] = True
         for batch in batches:
-            for lo in range(0, len(batch), 500):
-                yield search(batch.iloc[lo : lo + 500], tables)
+            for lo in range(0, len(batch), DOCUMENTS_AT_ONCE):
+                yield search(batch.iloc[lo : lo + DOCUMENTS_AT_ONCE], tables)
 
     def search(batch: pd.DataFrame, tables: list[np.ndarray]) -> pd.DataFrame:
-        mark = np.zeros(len(weight), dtype=bool)
-        ids, block, first = _blocks(list(batch["_ids"]), kind)
-        keep = heavy[ids]
-        rows = _rows(ids[keep], block[keep], int(first[-1]), terms)
-        pair = rows.copy()
-        pair[:-1] += rows[1:]
-        last = first[1:] - 1
-        pair[last] = rows[last]  # a last block stands alone, so that no passage crosses documents
-        pair /= np.maximum(np.linalg.norm(pair, axis=1, keepdims=True), 1e-12)
-        cosine = pair @ queries.T
-        b, k = np.nonzero(cosine >= least)
-        seed_b, seed_k = _seeded(ids, block, first, seeds, tables)
-        b, k = np.concatenate([b, seed_b]), np.concatenate([k, seed_k])
-        doc = np.searchsorted(first, b, side="right") - 1
-        sure = set(zip(doc[len(doc) - len(seed_b) :].tolist(), seed_k.tolist()))
+        q, seeds, number = sent.value
+        ids, block, first = _blocks(list(batch["_ids"]), kind, number)
+        start = np.searchsorted(block, first)  # first word of each document
+        cosine = _passages(ids, block, first, q)
+        copied: dict[tuple[int, int], tuple[int, int]] = {}
+        diagonals = _seeded(ids, block, first, seeds, tables)
+        for at in range(0, len(diagonals), DIAGONALS_AT_ONCE):
+            some = diagonals[at : at + DIAGONALS_AT_ONCE]
+            some = some[_band_scores(ids, start, some, q.items, one_in) >= scores[some[:, 1]]]
+            for s in _groups(some[:, 0], some[:, 1]):
+                d, item = some[s.start, :2].tolist()
+                best = _copied(q.items[item], ids[start[d] : start[d + 1]], some[s, 2] - start[d], run_words, one_in)
+                copied[d, item] = max(best, copied.get((d, item), (0, 0)))
+        copied = {pair: best for pair, best in copied.items() if best[0]}
+        reworded = {}
+        for d, item, lo_b, hi_b in _answered(ids, block, first, cosine, least, q):
+            own, words = ids[start[d] : start[d + 1]], q.items[item]
+            part = own[lo_b * BLOCK : hi_b * BLOCK]
+            of_item, of_part = (np.bincount(x, minlength=len(q.weight)) for x in (words, part))
+            if np.minimum(of_item, of_part)[1:].sum() < 0.6 * len(words):  # a common subsequence is no longer than this
+                continue
+            share = float(np.isin(q.answers[item], part).mean())
+            if (common := common_subsequence(words, part)) >= 0.6 * len(words):
+                reworded[d, item] = max(reworded.get((d, item), (0, 0.0)), (common, share))
         out = []
-        start = np.concatenate([[0], np.cumsum([len(x) // np.dtype(kind).itemsize for x in batch["_ids"]])])
-        order = np.lexsort((b, k, doc))
-        b, k, doc = b[order], k[order], doc[order]
-        for s in _groups(doc, k):
-            d, item = int(doc[s.start]), items[int(k[s.start])]
-            own = ids[start[d] : start[d + 1]]
-            best, common, share = (0, 0), 0, 0.0
-            for lo, hi in _regions((b[s] - first[d]) * BLOCK, BLOCK, len(own)):
-                part = own[lo:hi]
-                need = min(run_words, len(item))
-                side = (need - 2) // 2 - 1  # a stretch with a word put in or left out has an unbroken side of this length
-                mark[part] = True
-                answered = float(mark[answers[int(k[s.start])]].mean())
-                mark[part] = False
-                if answered < 0.75 and (d, int(k[s.start])) not in sure:  # neither reworded nor copied
-                    share = max(share, answered)
-                    continue
-                got = longest_run(item, part, one_in, side)
-                close = got[0] >= side
-                if close:  # only here the words around may belong to the stretch
-                    part = own[max(0, lo - len(item)) : hi + len(item)]
-                    got = longest_run(item, part, one_in, side)
-                lcs = common_subsequence(item, part) if answered >= 0.75 or got[0] >= need else 0
-                if close and got[0] < need:
-                    of_item, of_doc = ((max(0, x - need), x + got[0] + need) for x in got[2:])
-                    near, there = item[slice(*of_item)], part[slice(*of_doc)]
-                    if common_subsequence(near, there) >= need * (one_in - 1) // one_in:
-                        got = max(got[:2], _aligned(near, there, one_in))
-                got = got[:2]
-                best, common, share = max(best, got), max(common, lcs), max(share, answered)
-            whole = best[0] >= min(run_words, len(item))
-            if whole or common >= 0.6 * len(item) and share >= 0.75:
-                out.append((batch["_key"].iloc[d], names[int(k[s.start])], float(cosine[b[s], k[s]].max()), best[0], best[1], common / len(item), share, "copied" if whole else "reworded"))
-        return pd.DataFrame(out, columns=["_key", "item_id", "cosine", "run", "differing", "common", "answers", "kind"])
-
-    schema = f"_key {key_type}, item_id bigint, cosine double, run int, differing int, common double, answers double, kind string"
-    return encoded.mapInPandas(run, schema).withColumnRenamed("_key", key)
+        for d, item in sorted(copied.keys() | reworded.keys()):
+            near = float(cosine[first[d] : first[d + 1], item].max())
+            best = copied.get((d, item), (0, 0))
+            common, share = reworded.get((d, item), (best[0] - best[1], None))
+            out.append((batch["_key"].iloc[d], q.names[item], near, near >= least, best[0], best[1], common / len(q.items[item]), share, "copied" if best[0] else "reworded"))
+        return pd.DataFrame(out, columns=["_key", "item_id", "cosine", "near", "run", "differing", "common", "answers", "kind"])
+
+    return encoded.mapInPandas(run, f"_key {key_type}, {FOUND}").withColumnRenamed("_key", key)
+
+
+#: what is told of a document and an item, besides the document's key
+FOUND = "item_id bigint, cosine double, near boolean, run int, differing int, common double, answers double, kind string"
+
+
+def _answered(ids: np.ndarray, block: np.ndarray, first: np.ndarray, cosine: np.ndarray, least: float, q: _Queries) -> Iterator[tuple[int, int, int, int]]:
+    """(document, item, first block, end block), counted in the document, of candidate surroundings that hold three quarters of the item's answer."""
+    b, k = np.nonzero(cosine >= least)
+    if not len(b):
+        return
+    wide = np.array([-(-len(x) // BLOCK) for x in q.items])  # blocks on both sides, so that a whole item fits
+    doc = np.searchsorted(first, b, side="right") - 1
+    lo, hi = np.maximum(b - wide[k], first[doc]), np.minimum(b + 2 + wide[k], first[doc + 1])
+    at = np.minimum(np.searchsorted(q.telling, ids), len(q.telling) - 1)
+    hit = q.telling[at] == ids
+    there = np.zeros((len(q.telling), int(first[-1]) + 1), dtype=np.int32)
+    there[at[hit], block[hit] + 1] = 1
+    so_far = np.cumsum(there, axis=1, out=there)
+    count = np.zeros(len(b), dtype=np.int64)
+    places = [np.searchsorted(q.telling, a) for a in q.answers]
+    padded = np.zeros((len(places), max(map(len, places))), dtype=np.int64)
+    valid = np.zeros(padded.shape, dtype=bool)
+    for i, p in enumerate(places):
+        padded[i, : len(p)], valid[i, : len(p)] = p, True
+    for j in range(padded.shape[1]):
+        word = padded[k, j]
+        count += (so_far[word, hi] > so_far[word, lo]) & valid[k, j]
+    keep = count >= 0.75 * valid.sum(axis=1)[k]
+    lo, hi, k, doc = lo[keep], hi[keep], k[keep], doc[keep]
+    order = np.lexsort((lo, k, doc))
+    lo, hi, k, doc = lo[order], hi[order], k[order], doc[order]
+    for s in _groups(doc, k):
+        d = int(doc[s.start])
+        for x, y in _stretches(lo[s] - first[d], hi[s] - first[d]):
+            yield d, int(k[s.start]), x, y
 
 
 def _groups(doc: np.ndarray, item: np.ndarray) -> Iterator[slice]:
@@ -389,62 +520,48 @@ def _groups(doc: np.ndarray, item: np.ndarray) -> Iterator[slice]:
         yield from (slice(a, b) for a, b in zip(edges, edges[1:]))
 
 
-def _regions(starts: np.ndarray, margin: int, n: int) -> Iterator[tuple[int, int]]:
-    """Stretches of a document around candidate passages, each with ``margin`` words on both sides."""
-    lo, hi = max(0, int(starts[0]) - margin), int(starts[0]) + 2 * BLOCK + margin
-    for s in starts[1:].tolist():
-        if s - margin > hi:
-            yield lo, min(hi, n)
-            lo = s - margin
-        hi = s + 2 * BLOCK + margin
-    yield lo, min(hi, n)
-
-
 def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", least_cosine: float = 0.45, run_words: int = 25, one_in: int = 12, seed: int = 7) -> DataFrame:
-    """(key, item_id, cosine, run, differing, common, answers, kind): documents that hold evaluation items.
+    """(key, item_id, cosine, near, run, differing, common, answers, kind): documents that hold evaluation items.
 
     Texts are brought to their consistent form and cut into words; only words that some item uses can
     matter and get a number. All documents are encoded once (the encoding goes to the checkpoint
     folder) and counted in blocks of 25 words. The latent space comes from a distributed randomised
     decomposition of the TF-IDF blocks of the whole corpus together with the items, each side with the
     same total mass, so that the few items keep their own directions. Passages of two neighbouring
-    blocks are candidates of an item from a cosine of ``least_cosine`` on, and, whatever their cosine,
-    where they share with the item as many words in a row as each copied stretch must have (sure_run);
-    around each candidate the document is aligned with the item. So ``least_cosine`` bounds the reworded
-    rows only. ``kind`` is "copied" if ``run_words`` consecutive words (or all
-    of a shorter item) stand there with at most one in ``one_in`` differing, else "reworded" if the
-    longest common subsequence covers 0.6 of the item and three quarters of its rarest words are there.
-
-    Items are a bounded query set; they are searched in passes of ITEMS_AT_ONCE. Null or empty texts
+    blocks are candidates of an item from a cosine of ``least_cosine`` on (``near``).
+
+    ``kind`` is "copied" if ``run_words`` consecutive words (or all of a shorter item) stand there with at
+    most one in ``one_in`` differing. Each such stretch shares so many words in a row with the item
+    (sure_run); places that share them are aligned with the item, whatever their cosine, so
+    ``least_cosine`` loses no copy. ``kind`` is "reworded" if, around a candidate passage, the longest
+    common subsequence covers 0.6 of the item and three quarters of its rarest words, which stand for its answer, are there.
+
+    Items are a bounded query set (their words and names go to the driver and to every task); they are
+    searched in passes of ITEMS_AT_ONCE over one encoding. Null or empty texts
     and items find nothing; repeated rows are found as often as they stand there; no row is left out
     for its length. Extra columns are ignored.
     """
     spark = documents.sparkSession
     key_type = dict(documents.dtypes)[key]
-    found = None
     wanted = items.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").orderBy("item_id", "text")
-    passes: list[list] = [[]]
-    for row in wanted.toLocalIterator():
-        words = words_of(row["text"])
-        if words:
-            if len(passes[-1]) == ITEMS_AT_ONCE:
-                passes.append([])
-            passes[-1].append((row["item_id"], words))
-    for part in passes:
-        if not part:
-            continue
-        vocabulary = {w: k for k, w in enumerate(sorted({w for _, ws in part for w in ws}), 1)}
-        arrays = [np.array([vocabulary[w] for w in ws], dtype=np.int32) for _, ws in part]
-        kind = "<u2" if len(vocabulary) < 65_000 else "<i4"
-        encoded = cut(_encoded(documents, key, text, vocabulary))
-        space = _latent(encoded, kind, arrays, len(vocabulary), seed)
+    stated = [(r["item_id"], words) for r in wanted.toLocalIterator() if (words := words_of(r["text"]))]
+    found = spark.createDataFrame([], f"{key} {key_type}, {FOUND}")
+    if not stated:
+        return found
+    vocabulary = {w: k for k, w in enumerate(sorted({w for _, ws in stated for w in ws}), 1)}
+    kind = "<u2" if len(vocabulary) < 65_000 else "<i4"
+    encoded = cut(_encoded(documents, key, text, vocabulary))
+    for at in range(0, len(stated), ITEMS_AT_ONCE):
+        part = stated[at : at + ITEMS_AT_ONCE]
+        used = np.unique([vocabulary[w] for _, ws in part for w in ws])
+        number = np.zeros(len(vocabulary) + 1, dtype=np.int32)
+        number[used] = np.arange(1, len(used) + 1)
+        arrays = [number[[vocabulary[w] for w in ws]] for _, ws in part]
+        space = _latent(encoded, kind, number, arrays, len(used), seed)
         if space is None:
             continue
-        got = _search(encoded, kind, key, key_type, [n for n, _ in part], arrays, *space, least_cosine, run_words, one_in)
-        found = got if found is None else found.union(got)
-    if found is None:
-        schema = f"{key} {key_type}, item_id bigint, cosine double, run int, differing int, common double, answers double, kind string"
-        return spark.createDataFrame([], schema)
+        got = _search(encoded, kind, key, key_type, number, _Queries([n for n, _ in part], arrays, *space), least_cosine, run_words, one_in)
+        found = got if at == 0 else found.union(got)
     return found
 
 

@@ -218,6 +218,45 @@ def test_leaks_against_brute_force(spark, data):
     assert {tuple(r) for r in queries()["p7_found"](spark, data).collect()} == want
 
 
+def test_leaks_reworded_and_in_passes(spark):
+    """400 items are searched in three passes; an item told in other words with its rare words kept is reworded."""
+    rng = random.Random(9)
+    words = [f"term{i}" for i in range(5000)]
+    fill = ["the", "of", "and", "with", "from", "into"]
+    items = [[w for t in rng.sample(words, 40) for w in (t, rng.choice(fill))] for _ in range(400)]
+    told = {5: 11, 250: 12, 399: 13}  # item -> document
+    texts = [" ".join(rng.choice(words) for _ in range(120)) for _ in range(40)]
+    for item, d in told.items():  # every fourth word is another one: no stretch of 25 words is left
+        texts[d] += " " + " ".join(f"other{i}" if i % 4 == 1 else w for i, w in enumerate(items[item])) + " " + texts[0]
+    texts[20] += " " + " ".join(items[300][10:60])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    evals = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = leakage.leaks(docs, evals).collect()
+    assert {(r.doc_id, r.item_id) for r in got if r.kind == "reworded"} == {(d, i) for i, d in told.items()}
+    assert {(r.doc_id, r.item_id) for r in got if r.kind == "copied"} == {(20, 300)}
+    assert all(r.near and 0.6 <= r.common <= 1 for r in got if r.kind == "reworded")
+
+
+def test_band_scores_lose_no_copied_stretch():
+    """Whatever words are replaced, put in or left out, a stretch within the allowance passes the vectorised test."""
+    rng = np.random.default_rng(3)
+    for _ in range(150):
+        item = rng.integers(1, 60, int(rng.integers(8, 100))).astype(np.int32)
+        n = int(rng.integers(min(25, len(item)), len(item) + 1))
+        at = int(rng.integers(0, len(item) - n + 1))
+        part = item[at : at + n].tolist()
+        for _ in range(n // 12):
+            i, what = int(rng.integers(0, len(part))), rng.integers(0, 3)
+            part[i : i + 1] = [[0], [], [part[i], 0]][what]
+        doc = np.array([0] * 5 + part + [0] * 5, dtype=np.int32)
+        seeds = leakage._seeds([item], 25, 12)
+        table = np.ones(1 << 20, dtype=bool)
+        first = np.array([0, -(-len(doc) // leakage.BLOCK)])
+        diagonals = leakage._seeded(doc, np.arange(len(doc)) // leakage.BLOCK, first, seeds, [table])
+        scores = leakage._band_scores(doc, np.array([0, len(doc)]), diagonals, [item], 12)
+        assert scores.max() >= leakage.least_score(len(item), 25, 12)
+
+
 # Packing
 
 
