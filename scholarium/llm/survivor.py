@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import count
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,8 +21,12 @@ FIELDS = ("doi", "title", "abstract", "keywords")
 STAND_INS = ("", "0", "na", "nil", "none", "null", "nan", "unknown", "tba", "tbd", "pending", "missing", "untitled", "notitle", "titlenotavailable", "notitleavailable", "titlemissing", "titleunknown", "abstractmissing", "abstractnotavailable", "noabstract", "noabstractavailable", "nokeywords", "nokeywordsavailable", "keywordsmissing", "keywordsnotavailable", "notavailable", "notapplicable", "notstated", "tobeassigned", "tobeannounced", "authornotstated", "anonymous", "unknownauthor", "etal")
 #: Labels that stand before a value.
 LABELS = r"(?i)^\s*(abstract|summary|resumen|resumo|zusammenfassung|keywords?|key words|index terms|palabras clave|palavras-chave|schlagwörter|title|título|titel)\s*[.:–—-]+\s*"
-LONG = 25  #: letters from which a title is taken to be telling
+#: Remarks that stand after a value that was cut short.
+CUT_MARKS = r"(?i)\s*[(\[]\s*(truncated|cut|shortened|abridged|continued|more|\.\.\.|…)\s*[)\]]\s*$"
+LEAST_CUT = 24  #: letters that a cut-short value keeps at least; a shorter one is compared as it stands
+TELLING = 60  #: letters from which an abstract alone tells a work
 MISSING_SOURCE = "(none)"
+MOST_SOURCES = 200  #: more sources are refused: their dependence is a square matrix on the driver
 
 
 def doi_form(doi: Column) -> Column:
@@ -30,8 +37,8 @@ def doi_form(doi: Column) -> Column:
 
 
 def value_form(value: Column) -> Column:
-    """Letters and digits without leading label and stand-ins; null if nothing usable is left."""
-    form = letters_only(F.regexp_replace(value, LABELS, ""))
+    """Letters and digits without leading label, cut mark and stand-ins, & read as and; null if nothing usable is left."""
+    form = letters_only(F.replace(F.regexp_replace(F.regexp_replace(value, LABELS, ""), CUT_MARKS, ""), F.lit("&"), F.lit("and")))
     return F.when(~form.isin(*STAND_INS) & ~form.rlike("^microsoftword.*docx?$"), form)
 
 
@@ -45,32 +52,82 @@ def _forms(documents: DataFrame) -> DataFrame:
     )
 
 
-def _keys(rows: DataFrame) -> DataFrame:
-    """(doc_id, doi_form, key): the evidence that two records share; a record has up to ten keys."""
+def _evidence(rows: DataFrame) -> DataFrame:
+    """(doc_id, doi_form, block, form): what two records of one work share; a record has up to eight.
+
+    ``block`` is a print of fields that must be equal, ``form`` the whole of a field that one of them may hold cut short ('' if there is none).
+    """
     t, a, k = F.col("title_form"), F.col("abstract_form"), F.col("keywords_form")
     who, where, year = F.col("authors_form"), F.col("container_form"), F.col("year").cast("string")
-    full = F.when(F.length(t) >= LONG, t)
-    head = F.when(F.length(t) >= LONG - 1, F.substring(t, 1, LONG - 1))
-    start = F.when(F.length(a) >= 60, F.substring(a, 1, 60))
-    evidence = [
-        (full, who), (full, where, year), (full, F.substring(k, 1, 20)), (head, start),
-        (F.when(F.length(a) >= 120, F.substring(a, 1, 120)),), (head, who, year), (head, who, where), (who, where, year, F.substring(k, 1, 24)), (start, who), (start, where, year),
+    long_t, long_a = F.when(F.length(t) >= LEAST_CUT, t), F.when(F.length(a) >= LEAST_CUT, a)
+    nothing = F.lit("")
+    kinds = [
+        ((who,), long_t), ((where, year), long_t), ((k,), long_t), ((t, who, where, year), nothing),
+        ((), F.when(F.length(a) >= TELLING, a)), ((who,), long_a), ((where, year), long_a), ((who, where, year, k), nothing),
     ]
-    hashed = []
-    for n, parts in enumerate(evidence):
-        known = parts[0].isNotNull()
-        for p in parts[1:]:
+    parts = []
+    for n, (equal, form) in enumerate(kinds):
+        known = form.isNotNull()
+        for p in equal:
             known = known & p.isNotNull() & (F.length(p) > 0)
-        hashed.append(F.when(known, F.xxhash64(F.lit(n), *parts)))
-    return rows.select("doc_id", "doi_form", F.explode(F.array_compact(F.array(*hashed))).alias("key"))
+        parts.append(F.when(known, F.struct(F.xxhash64(F.lit(n), *equal).alias("block"), form.alias("form"))))
+    return rows.select("doc_id", "doi_form", F.explode(F.array_compact(F.array(*parts))).alias("e")).select("doc_id", "doi_form", "e.*")
+
+
+def _whole_forms(forms: DataFrame) -> DataFrame:
+    """(key, whole) of the cut-short forms of (head, block, form): ``whole`` is the key of the longest form of the block that starts with it.
+
+    A form that starts two forms that go on differently is cut from one of them, nobody knows which, and
+    has no row. Forms arrive in order, a form before those that start with it, so one pass with the
+    chain of beginnings is enough and nothing is gathered.
+    """
+    ordered = forms.repartition("head").sortWithinPartitions("head", "block", "form").select("block", "form", F.xxhash64("block", "form").alias("key"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chain: list[list] = []  # [block, form, key, keys of the whole forms above it, how many go on from it]
+        out: list[tuple[int, int]] = []
+
+        def leave() -> None:
+            _, _, key, whole, on = chain.pop()
+            whole = whole if on else key
+            if on and whole is not None:
+                out.append((key, whole))
+            if chain:
+                chain[-1][4] += 1
+                chain[-1][3] = whole if chain[-1][4] == 1 else None
+
+        for batch in batches:
+            for block, form, key in zip(batch["block"], batch["form"], batch["key"]):
+                while chain and not (chain[-1][0] == block and form.startswith(chain[-1][1])):
+                    leave()
+                chain.append([block, form, key, None, 0])
+            yield pd.DataFrame(out, columns=["key", "whole"])
+            out.clear()
+        while chain:
+            leave()
+        yield pd.DataFrame(out, columns=["key", "whole"])
+
+    return ordered.mapInPandas(run, "key long, whole long")
+
+
+def _keys(rows: DataFrame) -> DataFrame:
+    """(doc_id, doi_form, key): the evidence that two records share, a cut-short form under the key of its whole."""
+    evidence = _evidence(rows).withColumn("key", F.xxhash64("block", "form"))
+    keys = cut(evidence.select("doc_id", "doi_form", "key"))
+    begun = evidence.where("form <> ''").withColumn("head", F.xxhash64("block", F.substring("form", 1, LEAST_CUT)))
+    several = begun.groupBy("head").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("head")
+    forms = begun.join(several, "head", "left_semi").select("head", "block", "form").distinct()
+    whole = _whole_forms(forms)
+    return keys.join(whole, "key", "left").select("doc_id", "doi_form", F.coalesce("whole", "key").alias("key"))
 
 
 def works(documents: DataFrame) -> DataFrame:
     """(doc_id, work): records of one work share ``work``.
 
     Records with the same real DOI are one work, with different ones never. A record without a DOI
-    joins a DOI through shared evidence (title and authors, title and place, start of title and of
-    abstract, a long start of the abstract, and the like) that belongs to exactly one DOI; where
+    joins a DOI through shared evidence (title and authors, title and place, the abstract, a short
+    title with authors, place and year, and the like; a value cut short counts as the one whole value
+    that it begins) that belongs to exactly one DOI; where
     different evidence names different DOIs, the most often named wins, then the smaller. That is
     repeated until no record is added, so that evidence passes on; records still without a DOI form components
     over the evidence that no DOI has. All steps are aggregations by evidence, so no pairs of a large
@@ -119,46 +176,67 @@ def _dependence(pairs: list, accuracy: dict[str, float], copied: float = 0.8, fa
     return out
 
 
-def _fused(claims: DataFrame, rounds: int, false_values: int) -> DataFrame:
-    """(work, field, form, posterior) of every claimed value.
+def _votes(providers: Column, order: list[str], accuracy: dict[str, float], depends: dict[tuple[str, str], float], false_values: int, copied: float) -> Column:
+    """Sum of the votes of the sources of one value; a source counts less for each better source of the same value that it may have copied from."""
+    at = {s: i for i, s in enumerate(order)}
+    weight = np.array([math.log(false_values * accuracy[s] / (1 - accuracy[s])) for s in order])
+    own = np.array([[1 - copied * depends.get((min(s, t), max(s, t)), 0.0) for t in order] for s in order])
+
+    @F.pandas_udf("double")
+    def run(values: pd.Series) -> pd.Series:
+        known: dict[tuple, float] = {}
+        out = []
+        for names in values:
+            names = tuple(names)
+            if names not in known:
+                places = sorted(at[n] for n in names)
+                known[names] = float(sum(weight[p] * own[p, places[:i]].prod() for i, p in enumerate(places)))
+            out.append(known[names])
+        return pd.Series(out, dtype="float64")
+
+    return run(providers)
+
+
+def fused_values(claims: DataFrame, rounds: int = 2, false_values: int = 10, copied: float = 0.8, prior: float = 0.2) -> DataFrame:
+    """(work, field, form, posterior) of every claimed value of (work, field, form, source).
 
-    Sources are few (how records came in); one row a source and one a pair of sources reach the driver.
+    Each round: a value's score is the sum of its sources' votes, ln(false_values * accuracy / (1 -
+    accuracy)), where a source that may have copied from a better source of the *same* value is
+    discounted by ``copied`` times the chance of their dependence; the posterior is the softmax of the scores over the
+    values of one field of one work. A source's accuracy is the mean posterior of its values (kept in
+    0.05 .. 0.99), and dependence is estimated from the values that two sources share: shared false ones speak for it.
+    ``false_values`` is the number of false values that a field may take, ``prior`` the chance of dependence before anything is seen.
+
+    Sources are few (how records came in): one row a source and one a pair of sources reach the driver,
+    and more than MOST_SOURCES are refused. Nothing else grows with the number of records of a work: a
+    value is one row, whatever the number of its records, and pairs of sources are counted, not formed by record.
     """
-    sources = sorted(r[0] for r in claims.select("source").distinct().collect())
-    accuracy = {s: 0.8 for s in sources}
-    independent = {s: 1.0 for s in sources}
-
-    def constant(values: dict[str, float]) -> Column:
-        col = F.lit(0.0)
-        for s, v in values.items():
-            col = F.when(F.col("source") == s, F.lit(float(v))).otherwise(col)
-        return col
-
-    a, b = claims.alias("a"), claims.alias("b")
-    both = a.join(b, ["work", "field"]).where("a.source < b.source").select("work", "field", F.col("a.source").alias("s"), F.col("b.source").alias("t"), F.col("a.form").alias("f"), F.col("b.form").alias("g"))
-    values = None
+    sources = sorted(r[0] for r in claims.select("source").distinct().limit(MOST_SOURCES + 1).collect())
+    if len(sources) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
+    values = cut(claims.groupBy("work", "field", "form").agg(F.sort_array(F.collect_set("source")).alias("providers")))
+    shared = lambda rows: {(r[0], r[1]): r[2] for r in rows.select(F.explode("providers").alias("s"), "providers").select("s", F.explode("providers").alias("t")).where("s < t").groupBy("s", "t").agg(F.count(F.lit(1))).collect()}
+    many = values.select("work", "field", F.explode("providers").alias("source")).groupBy("work", "field", "source").agg(F.count(F.lit(1)).alias("n"))
+    many = many.groupBy("work", "field").agg(F.collect_list(F.struct("source", "n")).alias("all"))  # one entry a source
+    pairs = many.select(F.explode("all").alias("a"), "all").select("a", F.explode("all").alias("b")).where("a.source < b.source")
+    together = {(r[0], r[1]): r[2] for r in pairs.groupBy("a.source", "b.source").agg(F.sum(F.col("a.n") * F.col("b.n"))).collect()}
+    equal = shared(values)
+    accuracy, depends = {s: 0.8 for s in sources}, {}
     for turn in range(rounds + 1):
-        weight = {s: independent[s] * math.log(false_values * accuracy[s] / (1 - accuracy[s])) for s in sources}
-        score = claims.groupBy("work", "field", "form").agg(F.sum(constant(weight)).alias("score"))
+        order = sorted(sources, key=lambda s: (-accuracy[s], s))
+        score = values.withColumn("score", _votes(F.col("providers"), order, accuracy, depends, false_values, copied))
         of_item = W.partitionBy("work", "field")  # distinct values of one work, few even where its records are many
-        best = F.max("score").over(of_item)
-        share = F.exp(F.col("score") - best)
-        values = score.withColumn("posterior", share / F.sum(share).over(of_item)).drop("score")
+        share = F.exp(F.col("score") - F.max("score").over(of_item))
+        score = score.withColumn("share", share).withColumn("posterior", F.col("share") / F.sum("share").over(of_item)).drop("score", "share")
         if turn == rounds or not sources:
-            break
-        got = claims.join(values, ["work", "field", "form"]).groupBy("source").agg(F.avg("posterior")).collect()
+            return score.drop("providers")
+        score = cut(score)
+        got = score.select(F.explode("providers").alias("source"), "posterior").groupBy("source").agg(F.avg("posterior")).collect()
         accuracy = {r[0]: min(0.99, max(0.05, r[1])) for r in got}
-        true = values.where("posterior > 0.5").select("work", "field", F.col("form").alias("true"))
-        seen = both.join(true, ["work", "field"], "left").groupBy("s", "t").agg(
-            F.sum(((F.col("f") == F.col("g")) & F.coalesce(F.col("f") == F.col("true"), F.lit(False))).cast("int")),
-            F.sum(((F.col("f") == F.col("g")) & ~F.coalesce(F.col("f") == F.col("true"), F.lit(False))).cast("int")),
-            F.sum((F.col("f") != F.col("g")).cast("int")),
-        )
-        depends = _dependence([tuple(r) for r in seen.collect()], accuracy, false_values=false_values)
-        order = sorted(sources, key=lambda s: (-accuracy[s], s))
-        for i, s in enumerate(order):
-            independent[s] = math.prod(1 - 0.8 * depends.get((min(s, t), max(s, t)), 0.0) for t in order[:i])
-    return values
+        true = shared(score.where("posterior > 0.5"))
+        seen = [(s, t, true.get((s, t), 0), equal.get((s, t), 0) - true.get((s, t), 0), n - equal.get((s, t), 0)) for (s, t), n in together.items()]
+        depends = _dependence(seen, accuracy, copied, false_values, prior)
+    raise AssertionError
 
 
 def best_records(documents: DataFrame, trust: DataFrame, rounds: int = 2, false_values: int = 10) -> DataFrame:
@@ -194,7 +272,7 @@ def best_records(documents: DataFrame, trust: DataFrame, rounds: int = 2, false_
     order = F.struct(F.coalesce("usable", F.lit(0)).alias("u"), F.col("trust").alias("t"), F.col("added_at").alias("d"), (-F.col("doc_id")).alias("i"))
     best = scored.groupBy("work").agg(F.max_by("doc_id", order).alias("best_doc_id"))
 
-    posterior = _fused(claims.select("work", "field", "form", "source"), rounds, false_values)
+    posterior = fused_values(claims.select("work", "field", "form", "source"), rounds, false_values)
     posterior = posterior.join(short.withColumn("short", F.lit(1)), ["work", "field", "form"], "left")
     top = posterior.groupBy("work", "field").agg(
         F.min_by("form", F.struct(F.coalesce("short", F.lit(0)).alias("s"), (-F.round("posterior", 9)).alias("p"), (-F.length("form")).alias("l"), F.col("form").alias("f"))).alias("form")

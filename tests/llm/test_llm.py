@@ -380,3 +380,81 @@ def test_dependence():
     copying = survivor._dependence([("a", "b", 50, 30, 5)], {"a": 0.8, "b": 0.8})["a", "b"]
     alone = survivor._dependence([("a", "b", 60, 0, 30)], {"a": 0.8, "b": 0.8})["a", "b"]
     assert copying > 0.9 > 0.5 > alone
+
+
+def test_cut_marks_and_ampersands(spark):
+    """A value cut short with a remark behind it, or with & for and, is the value."""
+    got = best(spark, [
+        doc(1, "10.99005/a.1", LONG_TITLE[:50] + " (truncated)", LONG_ABSTRACT, "k"), doc(2, "10.99005/a.1", LONG_TITLE, LONG_ABSTRACT[:70] + " [...]", "k"),
+        doc(3, "10.99005/a.1", LONG_TITLE, LONG_ABSTRACT, "k"),
+    ])
+    assert got[1].best_doc_id == 3
+    both = best(spark, [doc(1, "10.99005/a.1", "Salt & ice of the far and quiet north sea"), doc(2, None, "Salt and ice of the far & quiet north sea"), doc(3, None, "Soil maps", year=1999), doc(4, None, "Soil maps", year=1999), doc(5, None, "Soil maps", year=2000)])
+    assert {(r.first_doc_id, r.n_records) for r in both.values()} == {(1, 2), (3, 2)}
+
+
+def test_whole_forms(spark):
+    """A beginning stands for the whole that it begins, unless two wholes begin alike."""
+    rows = [("b1", x) for x in ("aa", "aab", "aabc", "ba", "bab", "bac", "bacd", "c")] + [("b2", "aa"), ("b2", "b")]
+    df = spark.createDataFrame([(b, f) for b, f in rows], "b string, form string").select(F.lit(1).alias("head"), F.xxhash64("b").alias("block"), "form", "b")
+    name = {r.key: (r.b, r.form) for r in df.select("b", "form", F.xxhash64("block", "form").alias("key")).collect()}
+    got = {name[r.key]: name[r.whole] for r in survivor._whole_forms(df.drop("b")).collect()}
+    assert got == {("b1", "aa"): ("b1", "aabc"), ("b1", "aab"): ("b1", "aabc"), ("b1", "bac"): ("b1", "bacd")}
+
+
+def test_same_opening_is_not_enough(spark):
+    """Abstracts that open alike for 200 letters and go on differently link nobody."""
+    opening = "The following abstract opens with words that a whole series of reports has in common " * 3
+    rows = [doc(i, None, None, f"{opening} and then tells of subject number {i} only", None, authors=None, container=None, year=0) for i in range(4)]
+    rows += [doc(9, None, None, f"{opening} and then tells of subject number 2 only", None, authors=None, container=None, year=0)]
+    assert {(r.first_doc_id, r.n_records) for r in best(spark, rows).values()} == {(2, 2)}
+
+
+def fused_by_hand(claims, rounds=2, false_values=10, copied=0.8, prior=0.2):
+    """The posterior of each value, with every pair of claims looked at."""
+    claims = sorted(set(claims))
+    sources = sorted({c[3] for c in claims})
+    values = sorted({c[:3] for c in claims})
+    accuracy, depends = {s: 0.8 for s in sources}, {}
+    for turn in range(rounds + 1):
+        order = sorted(sources, key=lambda s: (-accuracy[s], s))
+        score = {}
+        for v in values:
+            mine = [s for s in order if (*v, s) in claims]
+            score[v] = 0.0
+            for i, s in enumerate(mine):
+                vote = np.log(false_values * accuracy[s] / (1 - accuracy[s]))
+                for t in mine[:i]:
+                    vote *= 1 - copied * depends.get((min(s, t), max(s, t)), 0.0)
+                score[v] += vote
+        posterior = {v: np.exp(score[v]) / sum(np.exp(score[u]) for u in values if u[:2] == v[:2]) for v in values}
+        if turn == rounds:
+            return posterior
+        accuracy = {s: min(0.99, max(0.05, np.mean([posterior[c[:3]] for c in claims if c[3] == s]))) for s in sources}
+        seen = {}
+        for c, e in combinations(claims, 2):
+            for x, y in ((c, e), (e, c)):
+                if x[:2] == y[:2] and x[3] < y[3]:
+                    n = seen.setdefault((x[3], y[3]), [0, 0, 0])
+                    n[2 if x[2] != y[2] else 0 if posterior[x[:3]] > 0.5 else 1] += 1
+        depends = survivor._dependence([(*k, *n) for k, n in seen.items()], accuracy, copied, false_values, prior)
+
+
+def test_fused_values_against_brute_force(spark):
+    rng = random.Random(12)
+    truth = {(w, f): f"true{w}{f}" for w in range(30) for f in "ab"}
+    claims = []
+    for (w, f), t in truth.items():
+        wrong = f"false{rng.randint(0, 3)}"
+        for s, right in (("good", 0.95), ("fair", 0.8), ("bad", 0.4)):
+            value = t if rng.random() < right else f"false{rng.randint(0, 3)}"
+            claims.append((w, f, value, s))
+            if s == "bad":
+                claims += [(w, f, value if rng.random() < 0.9 else wrong, "copy")]
+        claims += claims[-1:] * rng.randint(0, 2)
+    got = survivor.fused_values(spark.createDataFrame(claims, "work int, field string, form string, source string"))
+    want = fused_by_hand(claims)
+    assert {(r.work, r.field, r.form): pytest.approx(r.posterior) for r in got.collect()} == want
+    assert survivor.fused_values(spark.createDataFrame([], "work int, field string, form string, source string")).count() == 0
+    with pytest.raises(ValueError):
+        survivor.fused_values(spark.createDataFrame([(1, "a", "x", f"s{i}") for i in range(300)], "work int, field string, form string, source string"))
