@@ -11,8 +11,8 @@ def _merged(words: Column) -> Column:
     return F.transform(words, lambda w: F.struct(F.lower(w["word"]).alias("word"), w["tf"].alias("tf")))
 
 
-def _records(documents: DataFrame, key: str, vector: str, counts: str) -> DataFrame:
-    """(key, _uses map<word,tf>, length), one row per record that uses a word; nothing is exploded yet."""
+def _terms(vector: str, counts: str) -> Column:
+    """array<struct<word,tf>> of a record's uses above zero, one entry a stored spelling."""
     from_vector = F.transform(
         F.map_entries(F.col(vector)),
         lambda e: F.struct(e["key"].alias("word"), F.coalesce(F.size(e["value"]), F.lit(0)).cast("long").alias("tf")),
@@ -21,8 +21,16 @@ def _records(documents: DataFrame, key: str, vector: str, counts: str) -> DataFr
         F.filter(F.col(counts), lambda e: e.isNotNull()),
         lambda e: F.struct(e["word"].alias("word"), F.coalesce(e["nentry"], F.lit(0)).cast("long").alias("tf")),
     )
-    kept = F.filter(_merged(F.coalesce(from_vector, from_counts)), lambda e: (e["tf"] > 0) & e["word"].isNotNull())
-    records = documents.select(F.col(key), kept.alias("_terms")).where(F.size("_terms") > 0)
+    return F.filter(_merged(F.coalesce(from_vector, from_counts)), lambda e: (e["tf"] > 0) & e["word"].isNotNull())
+
+
+def _length(terms: Column) -> Column:
+    return F.aggregate(terms, F.lit(0).cast("long"), lambda s, e: s + e["tf"])
+
+
+def _records(documents: DataFrame, key: str, vector: str, counts: str) -> DataFrame:
+    """(key, _uses map<word,tf>, length), one row per record that uses a word; nothing is exploded yet."""
+    records = documents.select(F.col(key), _terms(vector, counts).alias("_terms")).where(F.size("_terms") > 0)
     # One record's list is summed inside its row: no shuffle is needed to add up spellings.
     terms, words = F.col("_terms"), F.array_distinct(F.col("_terms.word"))
     as_map = F.when(F.size(words) == F.size(terms), F.map_from_entries(terms)).otherwise(
@@ -31,8 +39,7 @@ def _records(documents: DataFrame, key: str, vector: str, counts: str) -> DataFr
             F.transform(words, lambda w: F.aggregate(F.filter(terms, lambda e: e["word"] == w), F.lit(0).cast("long"), lambda s, e: s + e["tf"])),
         )
     )
-    length = F.aggregate(terms, F.lit(0).cast("long"), lambda s, e: s + e["tf"])
-    return records.select(key, as_map.alias("_uses"), length.alias("length"))
+    return records.select(key, as_map.alias("_uses"), _length(terms).alias("length"))
 
 
 def record_terms(documents: DataFrame, key: str = "doc_id", vector: str = "tsv", counts: str = "freqs") -> DataFrame:
@@ -59,8 +66,8 @@ def distinctive_terms(documents: DataFrame, key: str = "doc_id", vector: str = "
     """
     terms = record_terms(documents, key, vector, counts)
     frequency = terms.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    n = documents.agg(F.count(F.lit(1))).scalar()
-    mean = _records(documents, key, vector, counts).agg(F.avg("length")).scalar()
+    total = documents.select(_length(_terms(vector, counts)).alias("length")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("length") > 0, F.col("length"))).alias("mean"))
+    n, mean = total.select("n").scalar(), total.select("mean").scalar()
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = 1 - F.lit(b) + F.lit(b) * F.col("length") / mean
     return terms.join(frequency, "word").select(
@@ -69,6 +76,9 @@ def distinctive_terms(documents: DataFrame, key: str = "doc_id", vector: str = "
 
 
 def found(documents: DataFrame, least_tf: int = 3, least_df: int = 2, most_df: int = 8) -> DataFrame:
-    """(doc_id, word): words that a record uses at least ``least_tf`` times and few records use at all."""
+    """(doc_id, word): the scored words that a record uses at least ``least_tf`` times and few records use at all.
+
+    The rule asks for frequencies only; ``distinctive_terms`` has the weights (query p1_scores).
+    """
     scored = distinctive_terms(documents).where(F.col("tf") >= least_tf).where(F.col("df").between(least_df, most_df))
-    return scored.where("score > 0").select("doc_id", "word").distinct()
+    return scored.select("doc_id", "word").distinct()

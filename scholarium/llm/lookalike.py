@@ -144,17 +144,28 @@ def fingerprints(documents: DataFrame, key: str = "doc_id", text: str = "text")
     return rows.select(key, "p.form", "p.look", "p.raw").where("form IS NOT NULL")
 
 
+def look_classes(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, class, spelling, n_spellings): rows whose text looks like that of another row and differs from it as stored.
+
+    ``class`` is the smallest key of the rows that look alike, ``spelling`` the smallest key of the rows
+    stored alike. Rows meet through the print of the consistent form; among those the looks must be
+    equal. All steps are aggregations with one row a stored spelling, so many copies of one string cost no more than one.
+    """
+    rows = cut(fingerprints(documents, key, text))  # a few bytes a row, so that the texts are read once
+    spellings = rows.groupBy("form", "look", "raw").agg(F.min(key).alias("spelling"))
+    classes = spellings.groupBy("form", "look").agg(F.min("spelling").alias("class"), F.count(F.lit(1)).alias("n_spellings")).where("n_spellings > 1")
+    members = rows.join(spellings.join(classes, ["form", "look"]).select("raw", "spelling", "class", "n_spellings"), "raw")
+    return members.select(key, "class", "spelling", "n_spellings").distinct()
+
+
 def found(documents: DataFrame) -> DataFrame:
     """(doc_id_a, doc_id_b): rows whose texts look the same and yet differ as stored.
 
-    Rows meet through the print of the consistent form; among those, the looks must be equal and the
-    stored texts differ. Forms of a single stored spelling are dropped before the join, so the copies
-    of one string (which are no case) never meet each other.
+    The pairs asked for are those of ``look_classes``: first the spellings of a class are paired, then each
+    pair of spellings is spelled out by its rows, so rows stored alike never meet.
     """
-    rows = cut(fingerprints(documents))  # a few bytes a row, so that the texts are read once
-    mixed = rows.groupBy("form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("form")
-    rows = rows.join(mixed, "form", "left_semi")
-    a = rows.select("form", "look", "raw", F.col("doc_id").alias("doc_id_a"))
-    b = rows.select("form", F.col("look").alias("look_b"), F.col("raw").alias("raw_b"), F.col("doc_id").alias("doc_id_b"))
-    pairs = a.join(b, "form").where("look = look_b AND raw <> raw_b AND doc_id_a < doc_id_b")
-    return pairs.select("doc_id_a", "doc_id_b").distinct()
+    rows = cut(look_classes(documents))
+    spellings = rows.select("class", "spelling").distinct()
+    pairs = spellings.select("class", F.col("spelling").alias("lo")).join(spellings.select("class", F.col("spelling").alias("hi")), "class").where("lo < hi")
+    a, b = rows.select(F.col("spelling").alias("lo"), F.col("doc_id").alias("a")), rows.select(F.col("spelling").alias("hi"), F.col("doc_id").alias("b"))
+    return pairs.join(a, "lo").join(b, "hi").select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b"))

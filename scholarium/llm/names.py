@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import product
 
 import pandas as pd
@@ -32,10 +33,12 @@ KINDS = {
     "college": "college", "academy": "academy", "acad": "academy", "department": "department", "dept": "department", "school": "school", "society": "society", "soc": "society", "centre": "centre", "center": "centre", "foundation": "foundation", "council": "council", "hospital": "hospital", "observatory": "observatory",
 }
 # Words without weight in an organisation's name; titles of persons; names of nobody.
-SMALL = {"of", "for", "the", "and", "in", "at", "on", "de", "fo", "fro", "national", "natl", "nat", "ntl"}
+SMALL = {"of", "for", "the", "and", "in", "at", "on", "de", "national", "natl", "nat", "ntl"}
 TITLES = {"dr", "prof", "professor", "phd", "md", "mr", "mrs", "ms", "msc", "bsc", "jr", "sr", "sir", "ing"}
 NOBODY = {"", "anonymous", "anon", "unknown", "unknownauthor", "authorunknown", "nobody", "none", "na", "null", "nan", "etal", "others", "andothers", "various", "authornotstated", "notstated", "noauthor", "tba", "untitled", "editor", "staff", "variousauthors", "author", "authors"}
 
+_SMALL_LETTERS = {"".join(sorted(w)) for w in SMALL}  # letters typed in another order make no weight
+
 PIVOT_LETTERS = "aeio"
 
 
@@ -72,6 +75,14 @@ def _plain(text: str) -> str:
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
+@lru_cache(maxsize=200_000)
+def _kind(word: str) -> str | None:
+    """The kind of organisation that a word tells, also with one typing error in a long word; each distinct word is looked up once."""
+    if word in KINDS:
+        return KINDS[word]
+    return next((KINDS[k] for k in KINDS if len(k) >= 6 and len(word) >= 6 and edit_distance(word, k, 1) <= 1), None)
+
+
 def readings(name: str | None) -> list[tuple[str, str, str, str]]:
     """(kind, family, given, middle) of every way to read a name; none where it names nobody.
 
@@ -86,10 +97,10 @@ def readings(name: str | None) -> list[tuple[str, str, str, str]]:
     words = _LETTERS.findall(plain)
     if "".join(words) in NOBODY or not words:
         return []
-    kinds = [(w, KINDS.get(w) or next((KINDS[k] for k in KINDS if len(k) >= 6 and len(w) >= 6 and edit_distance(w, k, 1) <= 1), None)) for w in words]
+    kinds = [(w, _kind(w)) for w in words]
     if any(k for _, k in kinds):
         kind = sorted(k for _, k in kinds if k)[0]
-        rest = sorted(w for w, k in kinds if not k and w not in SMALL)
+        rest = sorted(w for w, k in kinds if not k and "".join(sorted(w)) not in _SMALL_LETTERS)
         return [("O:" + kind, w, " ".join(rest[:i] + rest[i + 1 :]), "") for i, w in enumerate(rest)]
     one_case = raw in (raw.upper(), raw.lower())
     doubtful = one_case and any(len(w) == 2 and w in NICKNAMES for w in words)
@@ -144,21 +155,29 @@ def full_names(given: str) -> set[str]:
     return set(NICKNAMES.get(given, given).split()) if given else set()
 
 
-def agree(a: tuple[str, str, str], b: tuple[str, str, str], far: int) -> bool:
-    """Whether two readings (family, given, middle) within one edit can name one person; ``far`` is the distance of the families."""
-    if far and min(len(a[0]), len(b[0])) < 5:
+def errors_allowed(a: str, b: str, radius: int = 1, letters: int = 4) -> int:
+    """Typing errors that two words may differ by: one for each ``letters`` letters of the shorter, at most ``radius``."""
+    return min(radius, min(len(a), len(b)) // letters)
+
+
+def agree(a: tuple[str, str, str], b: tuple[str, str, str], far: int, radius: int = 1) -> bool:
+    """Whether two readings (family, given, middle) within the radius can name one person; ``far`` tells that the families differ.
+
+    Only one of the words may be mistyped; a family name needs five letters an error, a given or middle name four.
+    """
+    if far and edit_distance(a[0], b[0], radius) > errors_allowed(a[0], b[0], radius, 5):
         return False
     if not a[1] or not b[1]:
         return not a[1] and not b[1] and not far
     if a[2] and b[2] and not (a[2] == b[2] if len(a[2]) > 1 and len(b[2]) > 1 else a[2][0] == b[2][0]):
-        if not (len(a[2]) > 3 and len(b[2]) > 3 and not far and edit_distance(a[2], b[2], 1) <= 1):
+        if far or edit_distance(a[2], b[2], radius) > errors_allowed(a[2], b[2], radius):
             return False
     x, y = full_names(a[1]), full_names(b[1])
     if len(a[1]) == 1 or len(b[1]) == 1:
         return bool({w[0] for w in x} & {w[0] for w in y})
     if x & y:
         return True
-    return not far and any(min(len(p), len(q)) >= 4 and edit_distance(p, q, 1) <= 1 for p in x | {a[1]} for q in y | {b[1]})
+    return not far and any(edit_distance(p, q, radius) <= errors_allowed(p, q, radius) for p in x | {a[1]} for q in y | {b[1]})
 
 
 def _profiles(authors: DataFrame, key: str, name: str) -> DataFrame:
@@ -173,34 +192,43 @@ def _profiles(authors: DataFrame, key: str, name: str) -> DataFrame:
     return rows.mapInPandas(run, f"_key {dict(authors.dtypes)[key]}, kind string, family string, given string, middle string, initials string")
 
 
-def metric_join(items: DataFrame, block: str, value: str) -> DataFrame:
-    """(block, lo, hi): all pairs of different values of one block within one edit, by metric-space partitioning.
+def metric_join(items: DataFrame, block: str, value: str, radius: int = 1) -> DataFrame:
+    """(block, lo, hi): all pairs of different values of one block within ``radius`` edits, by metric-space partitioning.
 
     Pivots are the empty string and, for each of four letters, a long run of that letter. With the
     Damerau-Levenshtein metric the distance of x to the empty string is its length, and to a run of a
     (longer than x) the run's length less the number of a in x, so pivot distances need no dynamic
     program. A cell is the vector of the distances to all pivots. By the triangle inequality values
-    within radius 1 differ by at most 1 in each of them; of those neighbouring cells only 31 can be
-    reached by one edit, and a value is replicated to them. Inside a cell each pair is compared by the
+    within the radius differ by at most the radius in each of them; only some of those neighbouring cells (31
+    for one edit, 261 for two) can be reached, and a value is replicated to them. Inside a cell each pair is compared by the
     true metric, so the result is exact.
     """
     distinct = items.select(F.col(block).alias("block"), F.col(value).alias("v")).distinct()
     counts = [F.length("v") - F.length(F.replace(F.col("v"), F.lit(c), F.lit(""))) for c in PIVOT_LETTERS]
     homes = cut(distinct.select("block", "v", F.length("v").alias("p0"), *[c.alias(f"p{i}") for i, c in enumerate(counts, 1)]))
     n = len(PIVOT_LETTERS)
-    moves = [m for m in product((-1, 0, 1), repeat=n + 1) if _one_edit(m)]
-    shifted = F.explode(F.array(*[F.array(*[F.lit(x) for x in m]) for m in moves])).alias("m")
+    shifted = F.explode(F.array(*[F.array(*[F.lit(x) for x in m]) for m in reachable(radius)])).alias("m")
     cell = lambda *p: F.xxhash64("block", *p)
     home = homes.select(cell(*[f"p{i}" for i in range(n + 1)]).alias("cell"), F.col("block").alias("home_block"), F.col("v").alias("hi"))
     guest = homes.select("block", "v", *[f"p{i}" for i in range(n + 1)], shifted)
     guest = guest.select("block", F.col("v").alias("lo"), cell(*[F.col(f"p{i}") + F.col("m")[i] for i in range(n + 1)]).alias("cell"))
-    near = guest.join(home, "cell").where("block = home_block AND lo < hi").withColumn("d", F.levenshtein("lo", "hi", 2)).where("d >= 0")
-    exchanged = F.exists(
-        F.sequence(F.lit(1), F.length("lo") - 1),
-        lambda i: F.concat(F.substring("lo", F.lit(1), i - 1), F.substring("lo", i + 1, F.lit(1)), F.substring("lo", i, F.lit(1)), F.substring("lo", i + 2, F.length("lo"))) == F.col("hi"),
-    )
-    one = (F.col("d") <= 1) | ((F.length("lo") == F.length("hi")) & (F.length("lo") >= 2) & exchanged)
-    return near.where(one).select("block", "lo", "hi")
+    # an exchange of neighbours is one edit of the metric and two of Levenshtein's, which is the quicker test
+    near = guest.join(home, "cell").where("block = home_block AND lo < hi").withColumn("d", F.levenshtein("lo", "hi", 2 * radius)).where("d >= 0")
+
+    @F.pandas_udf("boolean")
+    def within(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([edit_distance(x, y, radius) <= radius for x, y in zip(a, b)], dtype=bool)
+
+    return near.where(F.col("d") <= radius).select("block", "lo", "hi").union(near.where(F.col("d") > radius).where(within("lo", "hi")).select("block", "lo", "hi"))
+
+
+def reachable(radius: int) -> list[tuple[int, ...]]:
+    """How length and letter counts can change by up to ``radius`` edits."""
+    one = [m for m in product((-1, 0, 1), repeat=len(PIVOT_LETTERS) + 1) if _one_edit(m)]
+    moves = {(0,) * (len(PIVOT_LETTERS) + 1)}
+    for _ in range(radius):
+        moves = {tuple(x + y for x, y in zip(m, e)) for m in moves for e in one}
+    return sorted(moves)
 
 
 def _one_edit(move: tuple[int, ...]) -> bool:
@@ -212,13 +240,13 @@ def _one_edit(move: tuple[int, ...]) -> bool:
     return (up, down) in ((0, 0), (1, 0) if length == 1 else (0, 1))
 
 
-def linked(authors: DataFrame, key: str = "aut_id", name: str = "aut_name") -> DataFrame:
+def linked(authors: DataFrame, key: str = "aut_id", name: str = "aut_name", radius: int = 1) -> DataFrame:
     """(key, entity): every name that shares an entity with another; entity is the smallest key of it.
 
     Names are read as persons (in both orders where no comma tells) or organisations. Readings meet
     within blocks (kind and first letter of the given name; or the same family name; or the same other
-    words of an organisation) by ``metric_join``, so one typing error in any one word is bridged, and
-    chains of spellings join up. Persons agree if the given names do (nicknames, initials, one error)
+    words of an organisation) by ``metric_join``, so up to ``radius`` typing errors in any one word are
+    bridged (fewer in short words, see errors_allowed), and chains of spellings join up. Persons agree if the given names do (nicknames, initials, one error)
     and the middle ones do not differ. A name with only initials joins the one entity it fits; where it
     fits several, the one whose middle initial it shares, and if that leaves more or none it stays
     apart. Null, blank and stand-in names belong to no entity. Equal readings are compared once,
@@ -234,7 +262,7 @@ def linked(authors: DataFrame, key: str = "aut_id", name: str = "aut_name") -> D
     by_family = persons.where("length(given) > 1").select(F.concat(F.lit("F|"), "family").alias("block"), F.col("given").alias("v"), *reading, "rep")
     bodies = profiles.where("kind <> 'P'").select(F.concat("kind", F.lit("|"), "given").alias("block"), F.col("family").alias("v"), *reading, "rep")
     items = cut(by_initial.union(by_family).union(bodies))
-    near = metric_join(items, "block", "v")
+    near = metric_join(items, "block", "v", radius)
     side = lambda s: items.select("block", F.col("v").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in (*reading, "rep")])
     apart = near.join(side("lo"), ["block", "lo"]).join(side("hi"), ["block", "hi"])
     equal = items.where("block LIKE 'P|%'").select("block", F.col("v").alias("lo"), *[F.col(c).alias(f"{c}_lo") for c in (*reading, "rep")]).join(
@@ -244,7 +272,7 @@ def linked(authors: DataFrame, key: str = "aut_id", name: str = "aut_name") -> D
 
     @F.pandas_udf("boolean")
     def fits(kind: pd.Series, fa: pd.Series, ga: pd.Series, ma: pd.Series, fb: pd.Series, gb: pd.Series, mb: pd.Series) -> pd.Series:
-        return pd.Series([k != "P" or agree((a, b, c), (d, e, f), int(a != d)) for k, a, b, c, d, e, f in zip(kind, fa, ga, ma, fb, gb, mb)], dtype=bool)
+        return pd.Series([k != "P" or agree((a, b, c), (d, e, f), int(a != d), radius) for k, a, b, c, d, e, f in zip(kind, fa, ga, ma, fb, gb, mb)], dtype=bool)
 
     pairs = apart.select(*columns).union(equal.select(*columns)).where("rep_lo <> rep_hi").distinct()
     pairs = cut(pairs.where(fits("kind_lo", "family_lo", "given_lo", "middle_lo", "family_hi", "given_hi", "middle_hi")))
@@ -266,8 +294,14 @@ def linked(authors: DataFrame, key: str = "aut_id", name: str = "aut_name") -> D
     return connected_components(edges, "a", "b").select(F.col("node").alias(key), F.col("component").alias("entity"))
 
 
+def entities(authors: DataFrame) -> DataFrame:
+    """(aut_id, entity, n_names): one row a name that shares its entity with another."""
+    groups = cut(linked(authors))
+    return groups.join(groups.groupBy("entity").agg(F.count(F.lit(1)).alias("n_names")), "entity").select("aut_id", "entity", "n_names")
+
+
 def found(authors: DataFrame) -> DataFrame:
-    """(aut_id_a, aut_id_b): every two rows that name one entity."""
+    """(aut_id_a, aut_id_b): every two rows that name one entity, as the query asks; ``entities`` has one row a name."""
     groups = linked(authors)
     a, b = groups.select("entity", F.col("aut_id").alias("aut_id_a")), groups.select("entity", F.col("aut_id").alias("aut_id_b"))
     return a.join(b, "entity").where("aut_id_a < aut_id_b").select("aut_id_a", "aut_id_b")

@@ -145,7 +145,17 @@ def pack(documents: DataFrame, budgets: DataFrame, key: str = "doc_id", text: st
     return spread.groupBy("shard").applyInPandas(run, schema).withColumnRenamed("_key", key)
 
 
-def fill(packed: DataFrame) -> DataFrame:
-    """(budget_id, containers, tokens): how many containers each budget took, and the tokens in them."""
-    used = packed.where("container IS NOT NULL")
-    return used.groupBy("budget_id").agg(F.countDistinct("container").alias("containers"), F.sum("n_tokens").alias("tokens"))
+def fill(packed: DataFrame, budgets: DataFrame) -> DataFrame:
+    """(budget_id, containers, tokens, fill, least, cost_mean, cost_spread), one row a budget that took a container.
+
+    ``fill`` is the used share of all room; ``least`` the containers that the tokens need at least; the cost of
+    a container is its tokens plus the sum of squared lengths over the capacity, as in ``pack_shard``, and
+    ``cost_spread`` is the standard deviation of the costs over their mean.
+    """
+    sizes = budgets.where("capacity_tokens > 0").groupBy("budget_id").agg(F.max("capacity_tokens").alias("c"))  # a stated list, a few rows
+    used = packed.where("container IS NOT NULL").join(F.broadcast(sizes), "budget_id")
+    n = F.col("n_tokens").cast("double")
+    each = used.groupBy("budget_id", "c", "container").agg(F.sum("n_tokens").alias("n"), F.sum(n + n * n / F.col("c")).alias("cost"))
+    return each.groupBy("budget_id", "c").agg(F.count(F.lit(1)).alias("containers"), F.sum("n").alias("tokens"), F.avg("cost").alias("cost_mean"), (F.stddev_pop("cost") / F.avg("cost")).alias("cost_spread")).select(
+        "budget_id", "containers", "tokens", (F.col("tokens") / (F.col("containers") * F.col("c"))).alias("fill"), F.ceil(F.col("tokens") / F.col("c")).alias("least"), "cost_mean", "cost_spread"
+    )

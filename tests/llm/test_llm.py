@@ -24,7 +24,9 @@ def test_query_against_sql(spark, data, name):
     got = queries()[name](spark, data)
     r = c.sql(oracle_sql()[name])
     want = sorted(tuple(row[r.columns.index(x)] for x in got.columns) for row in r.fetchall())
-    assert sorted(tuple(x) for x in got.collect()) == want
+    rows = sorted(tuple(x) for x in got.collect())
+    assert len(rows) == len(want)
+    assert all(a == tuple(pytest.approx(x, abs=2e-6) if isinstance(x, float) else x for x in b) for a, b in zip(rows, want))
 
 
 @pytest.mark.parametrize("name", sorted(queries()))
@@ -118,6 +120,31 @@ def test_lookalike_pairs(spark):
     assert all((r.text is None) == (r.f is None) for r in forms)
 
 
+def test_lookalikes_of_a_hot_text(spark):
+    """Nine tenths of the rows hold one string: the few that only look like it are paired with each of them, the copies with none."""
+    rows = [(i, "one hot text" if i % 10 else "one\u200b hot text" if i % 20 else "one  hot text ") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {tuple(r) for r in lookalike.found(df).collect()}
+    assert got == {(a, b) for (a, x), (b, y) in combinations(rows, 2) if x != y}
+    classes = lookalike.look_classes(df).collect()
+    assert len(classes) == 200 and {(r["class"], r.n_spellings) for r in classes} == {(0, 3)}
+
+
+def test_ranking_of_a_hot_score(spark):
+    """Nine tenths of the rows hold one score or none."""
+    rows = [(i, 0.0 if i % 10 else float(i), None if i % 10 else float(-i), float(i % 3)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, relevance_doc double, relevance_aut double, rank double")
+    got = {r.doc_id: r for r in fusion_rank.combined_ranking(df, "doc_id", fusion_rank.SCORES).collect()}
+    for i, a, b, _ in rows:
+        assert got[i].relevance_doc_above == pytest.approx(sum(r[1] > a for r in rows) / 400)
+        assert got[i].relevance_aut_above == (None if b is None else pytest.approx(sum(r[2] is not None and r[2] > b for r in rows) / 40))
+    order = fusion_rank.ranking(df, "doc_id", fusion_rank.SCORES).collect()
+    assert sorted(r.place for r in order) == list(range(1, 401))
+    by = sorted(order, key=lambda r: (-r.combined, r.doc_id))
+    assert [r.place for r in by] == list(range(1, 401))
+    assert fusion_rank.ranking(df.limit(0), "doc_id", fusion_rank.SCORES).count() == 0
+
+
 def test_lookalike_on_table(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()
     want = {tuple(sorted((a.doc_id, b.doc_id))) for a, b in combinations([d for d in docs if d.text and lookalike.visual_form(d.text).strip()], 2) if a.text != b.text and lookalike.visual_form(a.text) == lookalike.visual_form(b.text)}
@@ -283,6 +310,11 @@ def test_packing(spark, tmp_path):
             assert [r.first_token for r in ps] == [k * capacity for k in range(len(ps))]
             assert (ps[0].container is None) == (sizes[i] == 0)
         assert len(load) <= sum(sizes.values()) / capacity * 1.3 + 4
+    got = {r.budget_id: r for r in packing.fill(packing.pack(docs, budgets, per_shard=50), budgets).collect()}
+    for budget, capacity in ((1, 64), (2, 512)):
+        own = {r.container for r in rows if r.budget_id == budget and r.container is not None}
+        assert got[budget].containers == len(own) and got[budget].tokens == sum(sizes.values())
+        assert got[budget].fill == pytest.approx(sum(sizes.values()) / capacity / len(own)) and got[budget].fill > 0.9 and got[budget].least <= len(own)
     assert packing.pack(docs.limit(0), budgets).count() == 0
     assert packing.pack_shard([6, 5, 5, 4], 10) in ([0, 1, 1, 0], [1, 0, 0, 1])
 
@@ -319,6 +351,22 @@ def test_metric_join_is_exact(spark):
     df = spark.createDataFrame([("b", v) for v in values], "k string, v string")
     want = {(min(a, b), max(a, b)) for a, b in combinations(values, 2) if names.edit_distance(a, b, 1) <= 1}
     assert {(r.lo, r.hi) for r in names.metric_join(df, "k", "v").collect()} == want and len(want) > 50
+    some = values[:250]
+    want = {(min(a, b), max(a, b)) for a, b in combinations(some, 2) if names.edit_distance(a, b, 2) <= 2}
+    assert {(r.lo, r.hi) for r in names.metric_join(df.where(F.col("v").isin(some)), "k", "v", 2).collect()} == want and len(want) > 100
+    assert len(names.reachable(1)) == 31
+
+
+def test_wider_radius(spark):
+    rows = ["Jonathan Stevensonbury", "Jonathan Stvensonbry", "Univrsity fo Tesanitul", "University of Tesanitul", "Ann Lee", "Ann Lem"]
+    df = spark.createDataFrame(list(enumerate(rows)), "aut_id long, aut_name string")
+    pairs = lambda radius: {(r.aut_id, r.entity) for r in names.linked(df, radius=radius).collect()}
+    assert pairs(1) == {(2, 2), (3, 2)} and pairs(2) == {(0, 0), (1, 0), (2, 2), (3, 2)}
+
+
+def test_entities(spark):
+    df = spark.createDataFrame([(1, "Agnes Casopobin"), (2, "Casopobin, Agnes"), (3, "Bob Ray"), (4, None)], "aut_id long, aut_name string")
+    assert {tuple(r) for r in names.entities(df).collect()} == {(1, 1, 2), (2, 1, 2)}
 
 
 def test_edit_distance():
