@@ -42,3 +42,18 @@ def radius_scale(value: Column, low: Column, high: Column, smallest: float, larg
 
 def colour_bucket(value: Column, low: float, high: float, buckets: int = 7) -> Column:
     return F.width_bucket(value, F.lit(low), F.lit(high), F.lit(buckets))
+
+
+def hypot(a: Column, b: Column) -> Column:
+    """Root of the sum of squares without overflow."""
+    return F.hypot(a, b)
+
+
+def to_screen(v: Column, low: float, high: float, size: float) -> Column:
+    """Data to screen, linear."""
+    return map_range(v, F.lit(low), F.lit(high), F.lit(0.0), F.lit(size))
+
+
+def to_data(v: Column, low: float, high: float, size: float) -> Column:
+    """Screen to data, linear."""
+    return map_range(v, F.lit(0.0), F.lit(size), F.lit(low), F.lit(high))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def sanitize(text: Column) -> Column:
-    """Commas, semicolons, full stops and hyphens become blanks, two blanks one (once), words capitalised; null gives ''."""
-    spaced = F.regexp_replace(F.regexp_replace(text, r"[,;.\-]", " "), r"\s\s", " ")
+    """Commas, semicolons, full stops, hyphens and square brackets become blanks, two blanks one (once), words capitalised; null gives ''."""
+    spaced = F.regexp_replace(F.regexp_replace(text, r"[,;.\-\[\]]", " "), r"\s\s", " ")
     return F.coalesce(F.initcap(F.lower(F.trim(spaced))), F.lit(""))
 
 
@@ -52,3 +52,27 @@ def page_bounds(pages: Column) -> Column:
 def csv_cell(value: Column) -> Column:
     """Quoted, inner quotes doubled, null as empty."""
     return F.concat(F.lit('"'), F.replace(F.coalesce(value.cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+
+
+def container_of(journal: Column, book: Column, event: Column) -> Column:
+    """Where a document appeared: journal, else book, else event."""
+    return first_of(journal, book, event)
+
+
+def container_of_reference(journal: Column, event: Column, book: Column) -> Column:
+    """Where a cited document appeared: journal, else event, else book."""
+    return first_of(journal, event, book)
+
+
+def issn_of(printed: Column, electronic: Column) -> Column:
+    return first_of(printed, electronic)
+
+
+def pages_of(range_: Column, begin: Column, end: Column) -> Column:
+    """The range as it stands, else begin-end."""
+    return first_of(range_, F.nullif(F.concat_ws("-", begin, end), F.lit("")))
+
+
+def year_of(date: Column, year: Column) -> Column:
+    """The year of the date, else of the year field; 0 if neither tells."""
+    return F.coalesce(F.nullif(extract_year(date), F.lit(0)), extract_year(year))

@@ -32,16 +32,20 @@ def euclidean(a: Column, b: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """1 - cos, kept in [0, 2]; both zero 0, one zero 2."""
-    n = norm(a) * norm(b)
-    value = 1 - F.greatest(F.least(dot(a, b) / n, F.lit(1.0)), F.lit(-1.0))
-    return F.when((norm(a) == 0) & (norm(b) == 0), 0.0).when(n == 0, 2.0).otherwise(value)
+    value = lambda m: F.when((m["x"] == 0) & (m["y"] == 0), 0.0).when((m["x"] == 0) | (m["y"] == 0), 2.0).otherwise(1 - F.greatest(F.least(m["d"] / F.sqrt(m["x"]) / F.sqrt(m["y"]), F.lit(1.0)), F.lit(-1.0)))
+    return _once(a, b, value)
+
+
+def _once(a: Column, b: Column, value: Callable[[Column], Column]) -> Column:
+    """``value`` of the struct (d, x, y): product and squared norms, each computed once however often it is named."""
+    parts = F.array(F.struct(dot(a, b).alias("d"), dot(a, a).alias("x"), dot(b, b).alias("y")))
+    return F.element_at(F.transform(parts, value), 1)
 
 
 def extended_jaccard(a: Column, b: Column) -> Column:
     """1 / (1 + coefficient); both zero 0, one zero 1; equal vectors give one half."""
-    d = dot(a, b)
-    value = 1 / (1 + d / (dot(a, a) + dot(b, b) - d))
-    return F.when((norm(a) == 0) & (norm(b) == 0), 0.0).when((norm(a) == 0) | (norm(b) == 0), 1.0).otherwise(value)
+    value = lambda m: F.when((m["x"] == 0) & (m["y"] == 0), 0.0).when((m["x"] == 0) | (m["y"] == 0), 1.0).otherwise(1 / (1 + m["d"] / (m["x"] + m["y"] - m["d"])))
+    return _once(a, b, value)
 
 
 def city_block(a: Column, b: Column) -> Column:
@@ -52,6 +56,20 @@ def infinity_norm(a: Column, b: Column) -> Column:
     return F.array_max(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))))
 
 
+def zero_share(a: Column) -> Column:
+    """Share of the cells that are zero; null for an empty vector."""
+    return F.try_divide(F.size(F.filter(a, lambda x: x == 0)), F.size(a))
+
+
+def is_null_vector(a: Column) -> Column:
+    return F.forall(a, lambda x: x == 0)
+
+
+def nearly_equal(a: Column, b: Column, tolerance: float = 1e-5) -> Column:
+    """Equal length and no cell that differs by more than the tolerance."""
+    return (F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))), lambda d: d <= tolerance)
+
+
 def warp(x: np.ndarray, y: np.ndarray, share: float = 0.25) -> np.ndarray:
     """Dynamic time warping with absolute cost inside a band of ``share`` of the length, for a batch of row pairs."""
     n, m = x.shape[1], y.shape[1]

@@ -14,6 +14,7 @@ from scholarium.functions.vectors import euclidean
 from scholarium.plans.lineage import cut
 
 ITERATIONS = 15
+SPLITS_AT_ONCE = 16  #: splits after which the rows are written with their clusters; between, a cluster is an expression
 
 
 def _literal(v) -> Column:
@@ -87,36 +88,45 @@ def bisecting_kmeans(rows: DataFrame, k: int, distance: Callable[[Column, Column
     split (of equal rows) is finished and the next largest is taken, so fewer than k are given only if
     no cluster is left to split. k below 2 or no rows: one cluster or none.
     """
-    data = cut(rows.select("id", "features").withColumn("cluster", F.lit(0)))
-    centre = mean_features(data)
+    stored = cut(rows.select("id", "features").withColumn("cluster", F.lit(0)))
+    centre = mean_features(stored)
     if centre is None:
-        return data, []
-    centroids, sizes = [centre], [data.count()]
+        return stored, []
+    centroids, sizes = [centre], [stored.count()]
+    splits: list[tuple[int, int, np.ndarray, np.ndarray]] = []  # since ``stored`` was written
     finished: set[int] = set()
     while len(centroids) < k:
         open_ones = [i for i in range(len(sizes)) if i not in finished and sizes[i] > 1]
         if not open_ones:
             break
-        target = min(open_ones, key=lambda i: (-sizes[i], i))
-        members, new = data.where(F.col("cluster") == target), len(centroids)
+        target, new = min(open_ones, key=lambda i: (-sizes[i], i)), len(centroids)
+        members = _labelled(stored, splits, distance).where(F.col("cluster") == target)
         for pivots in _pivots(members, centroids[target], sizes[target], distance):
             halves = _halves(members, *pivots, distance, iterations)
             if halves is None:
                 continue
             one, two = halves
-            d1, d2 = distance(F.col("features"), _literal(one)), distance(F.col("features"), _literal(two))
-            split = cut(data.withColumn("cluster", F.when((F.col("cluster") == target) & (d1 > d2), new).otherwise(F.col("cluster"))))
-            counts = {r[0]: r[1] for r in split.groupBy("cluster").agg(F.count(F.lit(1))).collect()}
-            if counts.get(target, 0) and counts.get(new, 0):
+            right = members.where(distance(F.col("features"), _literal(one)) > distance(F.col("features"), _literal(two))).count()
+            if 0 < right < sizes[target]:
                 break
         else:
             finished.add(target)
             continue
-        data = split
-        centroids[target], sizes[target] = one, counts[target]
+        splits.append((target, new, one, two))
+        centroids[target], sizes[target] = one, sizes[target] - right
         centroids.append(two)
-        sizes.append(counts[new])
-    return data, centroids
+        sizes.append(right)
+        if len(splits) == SPLITS_AT_ONCE:
+            stored, splits = cut(_labelled(stored, splits, distance)), []
+    return _labelled(stored, splits, distance), centroids
+
+
+def _labelled(stored: DataFrame, splits: list, distance) -> DataFrame:
+    """``stored`` with the clusters after the splits, which are expressions on its rows."""
+    for target, new, one, two in splits:
+        far = distance(F.col("features"), _literal(one)) > distance(F.col("features"), _literal(two))
+        stored = stored.withColumn("cluster", F.when(F.col("cluster") == target, F.when(far, new).otherwise(target)).otherwise(F.col("cluster")))
+    return stored
 
 
 def medoids(clustered: DataFrame, centroids: list[np.ndarray], distance: Callable[[Column, Column], Column] = euclidean) -> DataFrame:

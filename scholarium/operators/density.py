@@ -58,6 +58,28 @@ def density_grid(points: DataFrame, box: Box, bw: float, sign: int = 1) -> DataF
     return summed.select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), px.alias("px"), py.alias("py"), "density")
 
 
+def density_of_neighbours(points: DataFrame, vertices: DataFrame, bw: float) -> DataFrame:
+    """``vertices`` (with px, py) and ``density``, the kernel sum of the points closer than the bandwidth; 0 without any.
+
+    Each point is offered to the nine squares of the bandwidth's width around it, so a vertex meets only
+    the points of its own square.
+    """
+    square = lambda c, by=0: (F.floor(F.col(c) / bw) + by).cast("long")
+    if bw <= 0:
+        return vertices.withColumn("density", F.lit(0.0))
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("_o")
+    offered = points.select("x", "y", around).select("x", "y", (square("x") + F.col("_o.i")).alias("_sx"), (square("y") + F.col("_o.j")).alias("_sy"))
+    met = vertices.withColumns({"_sx": square("px"), "_sy": square("py")}).join(offered, ["_sx", "_sy"], "left")
+    d = F.sqrt((F.col("x") - F.col("px")) * (F.col("x") - F.col("px")) + (F.col("y") - F.col("py")) * (F.col("y") - F.col("py")))
+    kernel = F.when(d < bw, epanechnikov(d / bw)).otherwise(0.0)
+    return met.groupBy(*vertices.columns).agg(F.sum(kernel).alias("density"))
+
+
+def write_grid(grid: DataFrame, path: str) -> None:
+    """The grid as text, one line a vertex: i, j, place and density, in order of the vertices."""
+    grid.orderBy("i", "j").write.mode("overwrite").csv(path)
+
+
 def merge_grids(a: DataFrame, b: DataFrame) -> DataFrame:
     """Sum of two grids of one shape."""
     return a.union(b).groupBy("i", "j", "px", "py").agg(F.sum("density").alias("density"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholarium.operators.ingest import link_authors, link_citations
-from scholarium.plans.lineage import cut
+from scholarium.plans.lineage import bucketed, cut
 
 
 def vertices(edges: DataFrame) -> DataFrame:
@@ -31,13 +31,14 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, tolerance: float = 1e-7, max
     """(v, pr): damping ``alpha``; an edge of weight w counts w times; the mass of dead ends is lost.
 
     Stops when the Euclidean change falls below ``tolerance`` (0: never) or after ``max_iter`` steps. The
-    edges with their shares are written once; a step is one join on the source and one partial
-    aggregation by target, so a much cited vertex is no hot spot. An empty graph gives no rows.
+    edges with their shares are written once, bucketed by source, so that a step moves ranks to the
+    edges and never the edges; a partial aggregation by target follows, so a much cited vertex is no
+    hot spot. An empty graph gives no rows.
     """
     weight = F.col("weight") if "weight" in edges.columns else F.lit(1)
     base = edges.select("src", "dst", weight.cast("double").alias("w"))
     out = base.groupBy("src").agg(F.sum("w").alias("degree"))
-    shares = cut(base.join(out, "src").select("src", "dst", (F.col("w") / F.col("degree")).alias("share")))
+    shares = bucketed(base.join(out, "src").select("src", "dst", (F.col("w") / F.col("degree")).alias("share")), "src")
     points = cut(vertices(base))
     n = points.count()
     if n == 0:
@@ -57,6 +58,29 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, tolerance: float = 1e-7, max
     return rank
 
 
+def pagerank_by_jump(edges: DataFrame, jump: float = 0.15, tolerance: float = 1e-3, max_iter: int = 100) -> DataFrame:
+    """(v, pr) of the variant with a jump probability: parallel edges count once, and what dead ends hold is dealt to all vertices.
+
+    Stops when no rank moves by ``tolerance`` or more (0: never) or after ``max_iter`` steps.
+    """
+    base = edges.select("src", "dst").distinct()
+    shares = bucketed(base.join(base.groupBy("src").agg(F.count(F.lit(1)).alias("k")), "src").select("src", "dst", (F.lit(1.0) / F.col("k")).alias("share")), "src")
+    points = cut(vertices(base).join(base.select(F.col("src").alias("v"), F.lit(True).alias("_goes_on")).distinct(), "v", "left"))
+    n = points.count()
+    if n == 0:
+        return points.select("v", F.lit(0.0).alias("pr"))
+    rank = points.withColumn("pr", F.lit(1.0 / n))
+    for _ in range(max_iter):
+        lost = rank.where("_goes_on IS NULL").agg(F.coalesce(F.sum("pr"), F.lit(0.0))).first()[0]
+        flow = shares.join(rank.select(F.col("v").alias("src"), "pr"), "src").groupBy("dst").agg(F.sum(F.col("pr") * F.col("share")).alias("flow"))
+        new = cut(points.join(flow.withColumnRenamed("dst", "v"), "v", "left").select("v", "_goes_on", (F.lit((jump + (1 - jump) * lost) / n) + (1 - jump) * F.coalesce("flow", F.lit(0.0))).alias("pr")))
+        moved = new.join(rank.select("v", F.col("pr").alias("old")), "v").agg(F.max(F.abs(F.col("pr") - F.col("old")))).first()[0]
+        rank = new
+        if moved < tolerance:
+            break
+    return rank.select("v", "pr")
+
+
 def combined_rank(relevance: DataFrame, author_relevance: DataFrame, links: DataFrame, doc_factor: float = 1.0, author_factor: float = 0.0) -> DataFrame:
     """(doc_id, relevance_aut, rank) of documents with authors: both relevances weighted and added up."""
     per_doc = link_authors(links).join(author_relevance.select("aut_id", "relevance"), "aut_id").groupBy("doc_id").agg(F.sum(F.coalesce("relevance", F.lit(0.0))).alias("relevance_aut"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholarium.functions.visible import letters_only
-from scholarium.operators.prefix import running_total
+from scholarium.operators.prefix import numbered
 
 
 def is_complete(title="title", keywords="keywords", abstract="abstract"):
@@ -32,9 +32,8 @@ def upsert_authors(stored: DataFrame, names: DataFrame) -> DataFrame:
     """(aut_id, aut_name): stored authors and new names, which get ids after the largest in order of name."""
     new = names.select("aut_name").where("aut_name IS NOT NULL").distinct().join(stored.select("aut_name"), "aut_name", "left_anti")
     top = stored.agg(F.coalesce(F.max("aut_id"), F.lit(0))).first()[0]
-    hashed = new.withColumn("_h", F.conv(F.substring(F.hex(F.encode(F.rpad("aut_name", 6, " "), "UTF-8")), 1, 12), 16, 10).cast("double"))
-    numbered = running_total(hashed, "_h", F.lit(1.0), "_n", descending=False, ties=["aut_name"])
-    return stored.select("aut_id", "aut_name").union(numbered.select((F.lit(top) + 1 + F.col("_n").cast("long")).alias("aut_id"), "aut_name"))
+    places = numbered(new, "aut_name", "_n")
+    return stored.select("aut_id", "aut_name").union(places.select((F.lit(top) + 1 + F.col("_n")).alias("aut_id"), "aut_name"))
 
 
 def link_authors(links: DataFrame) -> DataFrame:
@@ -48,6 +47,23 @@ def link_citations(citations: DataFrame) -> DataFrame:
     return kept.groupBy("doc_id", "ref_id").agg(F.min("id").alias("id")).select("id", "doc_id", "ref_id")
 
 
+def cite(citations: DataFrame, documents: DataFrame, references: DataFrame, key: str = "doi", id_column: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(documents with the cited records that were not stored, links): ``references`` is (doc_id, and the fields of a cited record with its key).
+
+    A cited record without a key cannot be told from others and is neither stored nor linked. New records get ids after the
+    largest in order of their key. Links already in ``citations`` and self citations are not given again.
+    """
+    fields = [c for c in references.columns if c not in (id_column, key)]
+    cited = references.where(F.col(key).isNotNull()).groupBy(key).agg(*[F.min(c).alias(c) for c in fields])
+    new = cited.join(documents.select(key), key, "left_anti")
+    top = documents.agg(F.coalesce(F.max(id_column), F.lit(0))).first()[0]
+    made = numbered(new, key, "_n").withColumn(id_column, F.lit(top) + 1 + F.col("_n"))
+    stored = documents.unionByName(made.select(id_column, key, *[c for c in fields if c in documents.columns]), allowMissingColumns=True)
+    ids = stored.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(id_column).alias("ref_id"))
+    links = references.select(id_column, key).join(ids, key).select(F.col(id_column).alias("doc_id"), "ref_id").where("doc_id <> ref_id").distinct()
+    return stored, links.join(citations.select("doc_id", "ref_id"), ["doc_id", "ref_id"], "left_anti")
+
+
 def delete_documents(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
     """The tables without the documents of ``ids`` (doc_id) and without what hangs on them."""
     gone = ids.select("doc_id").distinct()

@@ -15,8 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholarium.operators.cluster import bisecting_kmeans, medoids
+from scholarium.operators.spatial import mark_outliers, normalise
+from scholarium.operators.termmatrix import term_matrix, to_dense
+from scholarium.plans.lineage import cut
 
-#: Control points above this number are refused: the driver holds their distances.
+#: Bound of the control points: the driver holds their distances.
 MOST_CONTROL_POINTS = 4000
 
 
@@ -107,25 +110,36 @@ def nearest_neighbour_projection(distances: np.ndarray) -> np.ndarray:
     return out
 
 
-def affine_map(x: np.ndarray, control: np.ndarray, placed: np.ndarray, neighbours: int) -> np.ndarray:
-    """Place of one row from its nearest control points; a row on a control point gets that point's place."""
-    d2 = ((control - x) ** 2).sum(axis=1)
-    nearest = int(d2.argmin())
-    if d2[nearest] < 1e-4:
-        return placed[nearest]
-    use = np.argsort(d2, kind="stable")[:neighbours]
-    w = 1 / d2[use]
-    p, q = (w[:, None] * control[use]).sum(axis=0) / w.sum(), (w[:, None] * placed[use]).sum(axis=0) / w.sum()
-    root = np.sqrt(w)[:, None]
-    a, b = root * (control[use] - p), root * (placed[use] - q)
-    u, _, vt = np.linalg.svd(a.T @ b, full_matrices=False)
-    return (x - p) @ (u @ vt) + q
+def affine_maps(x: np.ndarray, control: np.ndarray, placed: np.ndarray, neighbours: int) -> np.ndarray:
+    """Places of a batch of rows, each by an affine map of its nearest control points; a row on a control point gets that point's place."""
+    n, dims = control.shape
+    d2 = np.maximum((x * x).sum(axis=1)[:, None] + (control * control).sum(axis=1)[None, :] - 2 * x @ control.T, 0.0)
+    nearest = d2.argmin(axis=1)
+    exact = ((x - control[nearest]) ** 2).sum(axis=1)
+    w = 1 / np.maximum(d2, 1e-4)
+    if neighbours < n:
+        order = np.argsort(d2, axis=1, kind="stable")
+        np.put_along_axis(w, order[:, neighbours:], 0.0, axis=1)
+    total = w.sum(axis=1, keepdims=True)
+    p, q = w @ control / total, w @ placed / total
+    shift, base = control.mean(axis=0), placed.mean(axis=0)  # sums about the middle lose fewer digits
+    c, y = control - shift, placed - base
+    products = (c[:, :, None] * y[:, None, :]).reshape(n, dims * 2)
+    cross = (w @ products).reshape(-1, dims, 2) - total[:, :, None] * (p - shift)[:, :, None] * (q - base)[:, None, :]
+    u, _, vt = np.linalg.svd(cross, full_matrices=False)
+    out = np.einsum("bd,bdk,bkl->bl", x - p, u, vt) + q
+    return np.where((exact < 1e-4)[:, None], placed[nearest], out)
 
 
 def control_points(rows: DataFrame, k: int, choice: str = "KMEANS") -> DataFrame:
-    """(id, features) of about k control points: medoids, the first by id, or the most telling rows."""
+    """(id, features) of k control points: medoids, random rows (by a hash of the id), or the rows of most leverage.
+
+    KMEANS is topped up with random rows where clusters are fewer than k; REPRESENTATIVE takes no fewer
+    rows than there are dimensions. Fewer rows than that are all taken.
+    """
+    random_order = (F.xxhash64("id"), F.col("id"))
     if choice == "RANDOM":
-        return rows.orderBy("id").limit(k)
+        return rows.orderBy(*random_order).limit(k)
     if choice == "REPRESENTATIVE":
         gram = rows.select("features")
 
@@ -150,19 +164,24 @@ def control_points(rows: DataFrame, k: int, choice: str = "KMEANS") -> DataFrame
             x = np.stack(f.to_numpy()).astype(float)
             return pd.Series(((x @ inverse) * x).sum(axis=1))
 
-        return rows.withColumn("l", leverage("features")).orderBy(F.desc("l"), "id").limit(k).drop("l")
+        return rows.withColumn("l", leverage("features")).orderBy(F.desc("l"), "id").limit(max(k, dims)).drop("l")
     clustered, centroids = bisecting_kmeans(rows, k)
-    return clustered.join(F.broadcast(medoids(clustered, centroids).select("id")), "id").select("id", "features")  # k rows
+    chosen = cut(medoids(clustered, centroids).select("id", F.lit(0).alias("_o")))  # k rows at most
+    ranked = clustered.join(F.broadcast(chosen), "id", "left")
+    return ranked.orderBy(F.coalesce("_o", F.lit(1)), *random_order).limit(k).select("id", "features")
 
 
 def lamp(rows: DataFrame, k: int | None = None, choice: str = "RANDOM", iterations: int = 50, percentage: float = 1.0, place: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """(id, x, y): control points are placed by ``place`` (idmap if none is given), every row by an affine map of its neighbours among them.
 
     ``rows`` is (id, features array<double>). The control points (the root of the number of rows unless k
-    is given, at most MOST_CONTROL_POINTS) go to the driver and to every task.
+    is given) go to the driver and to every task. More than MOST_CONTROL_POINTS are refused where k
+    states them; the root of the number of rows is taken up to that bound, which holds for 16 million rows.
     """
+    if k is not None and k > MOST_CONTROL_POINTS:
+        raise ValueError(f"more than {MOST_CONTROL_POINTS} control points")
     n = rows.count()
-    k = min(k or max(1, math.isqrt(n)), MOST_CONTROL_POINTS)
+    k = k or min(max(1, math.isqrt(n)), MOST_CONTROL_POINTS)
     sample = control_points(rows, k, choice).orderBy("id").collect()
     schema = f"id {dict(rows.dtypes)['id']}, x double, y double"
     if not sample:
@@ -173,7 +192,23 @@ def lamp(rows: DataFrame, k: int | None = None, choice: str = "RANDOM", iteratio
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            xy = np.array([affine_map(np.asarray(f, dtype=float), control, placed, use) for f in b["features"]]).reshape(-1, 2)
-            yield pd.DataFrame({"id": b["id"], "x": xy[:, 0], "y": xy[:, 1]})
+            for lo in range(0, len(b), 500):
+                some = b.iloc[lo : lo + 500]
+                xy = affine_maps(np.stack(some["features"].to_numpy()).astype(float), control, placed, use)
+                yield pd.DataFrame({"id": some["id"], "x": xy[:, 0], "y": xy[:, 1]})
 
     return rows.select("id", "features").mapInPandas(run, schema)
+
+
+def project_documents(documents: DataFrame, terms: int = 300, number: int = 2, choice: str = "RANDOM") -> DataFrame:
+    """(doc_id, x, y) in [-1, 1] of the documents that use one of the ``terms`` most widely used words: term matrix, control points, affine maps, outliers off, scaling.
+
+    Documents without such a word have no place; outliers have none either.
+    """
+    matrix = cut(term_matrix(documents, number))
+    spread = matrix.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(terms)
+    words = sorted(r["word"] for r in spread.collect())  # ``terms`` words
+    if not words:
+        return documents.select("doc_id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y")).limit(0)
+    placed = cut(lamp(cut(to_dense(matrix, words)), choice=choice))
+    return normalise(mark_outliers(placed.withColumnRenamed("id", "doc_id"))).select("doc_id", "x", "y")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholarium.functions.mathx import squared_distance, to_unit_square
-from scholarium.operators.prefix import running_total
+from scholarium.operators.prefix import numbered, running_total
 from scholarium.operators.quantiles import legacy_percentiles
+from scholarium.plans.lineage import cut
 
 
 def quartile_fences(points: DataFrame, column: str, factor: float = 1.5) -> tuple[float | None, float | None]:
@@ -111,8 +112,75 @@ def node_box(node: DataFrame, low: float = -1.0, size: float = 2.0) -> DataFrame
     return boxed.withColumns({"mx": (F.col("x1") + F.col("x2")) / 2, "my": (F.col("y1") + F.col("y2")) / 2})
 
 
+def node_cells(nodes: DataFrame, first_id: int = 0, y_first: bool = False) -> DataFrame:
+    """Adds d, cx, cy and the box of every node, read from its id; the root has the id ``first_id``, a child's index is 2 * x bit + y bit, or with ``y_first`` 2 * y bit + x bit."""
+    deepest = 20
+    code = "(_id - CAST((power(4, d) - 1) / 3 AS BIGINT))"
+    bit = lambda low: " + ".join(f"(shiftright({code}, {2 * b + low}) & 1) * {1 << b}" for b in range(deepest))
+    known = nodes.withColumn("_id", F.col("node_id") - first_id).withColumn("d", F.col("depth"))
+    return node_box(known.withColumns({"cx": F.expr(bit(0 if y_first else 1)), "cy": F.expr(bit(1 if y_first else 0))})).drop("_id")
+
+
+def search_nodes(nodes: DataFrame, points: DataFrame, a: tuple[float, float], b: tuple[float, float], first_id: int = 0, y_first: bool = False, match: Column | None = None, ids: DataFrame | None = None, border_only: bool = False) -> DataFrame:
+    """Points (with their node_id) in the rectangle of two corners, found through the leaves.
+
+    Leaves outside the rectangle are pruned; where the points are stored by node_id, Spark prunes their
+    partitions by the few leaves left. Points of leaves wholly inside are taken without looking at
+    their place, those of border leaves are tested. ``match`` (a text query) and ``ids`` (doc_id) hold for
+    all points, or with ``border_only`` only for those of border leaves.
+    """
+    (x1, x2), (y1, y2) = sorted((a[0], b[0])), sorted((a[1], b[1]))
+    cells = node_cells(nodes.where("isleaf"), first_id, y_first)
+    touched = cells.where((F.col("x2") >= x1) & (F.col("x1") <= x2) & (F.col("y2") >= y1) & (F.col("y1") <= y2))
+    whole = (F.col("x1") >= x1) & (F.col("x2") <= x2) & (F.col("y1") >= y1) & (F.col("y2") <= y2)
+    found = points.join(touched.select("node_id", whole.alias("_whole")), "node_id")
+    found = found.where(F.col("_whole") | F.col("x").between(x1, x2) & F.col("y").between(y1, y2))
+    free = F.col("_whole") if border_only else F.lit(False)
+    if match is not None:
+        found = found.where(free | match)
+    if ids is not None:
+        found = found.join(ids.select("doc_id", F.lit(True).alias("_asked")).distinct(), "doc_id", "left").where(free | F.col("_asked")).drop("_asked")
+    return found.drop("_whole")
+
+
+def find_leaf(nodes: DataFrame, places: DataFrame, depth: int, first_id: int = 0, y_first: bool = False) -> DataFrame:
+    """``places`` (x, y) with the node_id of the leaf they lie in; each place looks up one cell of each depth."""
+    keyed = with_keys(places, depth).withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(depth))))
+    one, two = ("ky", "kx") if y_first else ("kx", "ky")
+    cells = keyed.withColumns({"cx": F.expr(f"shiftright({one}, {depth} - d)"), "cy": F.expr(f"shiftright({two}, {depth} - d)")})
+    cells = cells.withColumn("node_id", cell_id("d", "cx", "cy", depth) + first_id)
+    return cells.join(nodes.where("isleaf").select("node_id"), "node_id", "left_semi").drop("kx", "ky", "d", "cx", "cy")
+
+
+def contains(box: tuple[float, float, float, float], x: Column, y: Column) -> Column:
+    """Whether a place lies in the closed box x1, y1, x2, y2."""
+    return x.between(box[0], box[2]) & y.between(box[1], box[3])
+
+
+def node_page(points: DataFrame, node_id: int, size: int, page: int = 0, box: tuple[float, float, float, float] | None = None, match: Column | None = None) -> DataFrame:
+    """One page of a node's points by falling rank, then id; with a box or a text query those that fit."""
+    own = points.where(F.col("node_id") == node_id)
+    if box is not None:
+        own = own.where(contains(box, F.col("x"), F.col("y")))
+    if match is not None:
+        own = own.where(match)
+    return own.orderBy(F.desc("rank"), "doc_id").offset(page * size).limit(size)
+
+
+NODE_COLUMNS = ("node_id", "isleaf", "rankmax", "rankmin", "parent_id", "depth", "index")
+
+
+def write_nodes(nodes: DataFrame, path: str) -> None:
+    """Replaces the stored tree; ids ascend by depth, so files in order of the id are in breadth-first order."""
+    nodes.select(*NODE_COLUMNS).repartitionByRange("node_id").sortWithinPartitions("node_id").write.mode("overwrite").parquet(path)
+
+
+def read_nodes(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def in_rectangle(points: DataFrame, a: tuple[float, float], b: tuple[float, float], half_open: bool = False, without: DataFrame | None = None) -> DataFrame:
-    """Points inside the rectangle of two corners; half_open leaves out the lower bounds. Bounds reach the scan."""
+    """Points inside the rectangle of two corners; half_open leaves out the lower bounds."""
     (x1, x2), (y1, y2) = sorted((a[0], b[0])), sorted((a[1], b[1]))
     x, y = F.col("x"), F.col("y")
     lower = (x > x1) & (y > y1) if half_open else (x >= x1) & (y >= y1)
@@ -121,16 +189,29 @@ def in_rectangle(points: DataFrame, a: tuple[float, float], b: tuple[float, floa
 
 
 def in_radius(points: DataFrame, x: float, y: float, radius: float, least_rank: float = 0.0) -> DataFrame:
-    """Points within the radius with at least the rank, and their squared distance; a bounding box reaches the scan."""
+    """Points within the radius with at least the rank, and their squared distance; a bounding box comes first."""
     box = F.col("x").between(x - radius, x + radius) & F.col("y").between(y - radius, y + radius)
     d2 = squared_distance(F.col("x"), F.col("y"), F.lit(x), F.lit(y))
     return points.where(box & (F.col("rank") >= least_rank)).withColumn("d2", d2).where(F.col("d2") <= radius * radius)
 
 
 def rank_budget(points: DataFrame, budget: float) -> DataFrame:
-    """Documents by falling rank until their ranks add up to the budget; the one that crosses it is in."""
+    """Documents by falling rank until their ranks add up to the budget; the one that crosses it is in, ties go by id.
+
+    Ranks are no less than zero. The budget is followed over distinct ranks, so a rank that many
+    documents share is one row; only of the rank at which it is crossed are documents counted one by one.
+    """
     ranked = points.where(F.col("rank").isNotNull() & ~F.isnan("rank"))
-    return running_total(ranked, "rank", F.col("rank"), "before", ties=["doc_id"]).where(F.col("before") < budget)
+    if budget <= 0:
+        return ranked.limit(0)
+    values = ranked.groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
+    spent = running_total(cut(values), "rank", F.col("rank") * F.col("n"), "before")
+    crossed = spent.where((F.col("before") < budget) & (F.col("before") + F.col("rank") * F.col("n") >= budget)).orderBy("before").limit(1).collect()
+    if not crossed:
+        return ranked
+    rank, before = crossed[0]["rank"], crossed[0]["before"]
+    some = numbered(ranked.where(F.col("rank") == rank), "doc_id", "_n").where(F.lit(before) + F.col("_n") * rank < budget).drop("_n")
+    return ranked.where(F.col("rank") > rank).unionByName(some)
 
 
 def inflate(box: tuple[float, float, float, float], by: float) -> tuple[float, float, float, float]:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # English stop words of the text search configuration.
@@ -60,6 +62,77 @@ def word_counts(words: DataFrame, key: str, word: str) -> DataFrame:
     return counts.groupBy(key).agg(F.transform(ordered, lambda e: F.struct(e["word"].alias("word"), (-e["n"]).cast("int").alias("nentry"))).alias("words"))
 
 
+#: Languages whose words are stemmed.
+STEMMED = ("english", "en", "eng", "en_xx")
+_WORD = re.compile(r"[^\W_]+")
+_STOP = frozenset(STOP_WORDS)
+
+
+def vector_of(fields: tuple[str | None, ...], stem: Callable[[str], str] | None = None, weights: str = "ABC") -> dict[str, list[tuple[int, str]]]:
+    """Word to its (place, weight): the fields one behind the other, stop words out but counted; words in order."""
+    found: dict[str, list[tuple[int, str]]] = {}
+    last = 0
+    for field, weight in zip(fields, weights):
+        end = last
+        for at, w in enumerate(_WORD.findall(field.lower()) if field else (), last + 1):
+            if w not in _STOP:
+                found.setdefault(stem(w) if stem else w, []).append((at, weight))
+                end = at
+        last = end
+    return dict(sorted(found.items()))
+
+
+def build_vectors(documents: DataFrame, key: str = "doc_id", language: Column | None = None) -> DataFrame:
+    """(key, tsv, freqs) of title (A), keywords (B) and abstract (C).
+
+    Without ``language`` words are kept as they are; with it the words of the languages in STEMMED are
+    stemmed, each distinct word of a batch once. Null fields add nothing. ``freqs`` counts the words of
+    ``tsv``, most frequent first, then by word. One pass over each row in batches, nothing is shuffled.
+    """
+
+    @F.pandas_udf("array<struct<word:string,places:array<struct<pos:int,weight:string>>>>")
+    def vectors(title: pd.Series, keywords: pd.Series, abstract: pd.Series, stemmed: pd.Series) -> pd.Series:
+        stem = lru_cache(maxsize=None)(porter)
+        rows = (vector_of((t, k, a), stem if s else None) for t, k, a, s in zip(title, keywords, abstract, stemmed))
+        return pd.Series([[{"word": w, "places": [{"pos": p, "weight": x} for p, x in ps]} for w, ps in v.items()] for v in rows])
+
+    stemmed = F.lit(False) if language is None else F.coalesce(F.lower(F.trim(language)).isin(*STEMMED), F.lit(False))
+    built = documents.select(F.col(key), vectors("title", "keywords", "abstract", stemmed).alias("_v"))
+    counts = F.array_sort(F.transform("_v", lambda e: F.struct((-F.size(e["places"])).alias("n"), e["word"].alias("word"))))
+    return built.select(key, F.map_from_entries("_v").alias("tsv"), F.transform(counts, lambda e: F.struct(e["word"].alias("word"), (-e["n"]).alias("nentry"))).alias("freqs"))
+
+
+def matches_in(query: str | None, vector: Column, language: Column) -> Column:
+    """As ``matches``, the query's words stemmed where the document's language is."""
+    stemmed = F.coalesce(F.lower(F.trim(language)).isin(*STEMMED), F.lit(False))
+    return F.when(stemmed, matches(query, vector, porter)).otherwise(matches(query, vector))
+
+
+def folded_vectors(documents: DataFrame, group: str, order: str, vector: str = "tsv") -> DataFrame:
+    """(group, tsv): the vectors of a group's rows one behind the other in ``order``; places follow on the largest before them.
+
+    Only the largest place of each row is gathered in order; the words stay spread.
+    """
+    last = documents.select(group, order, F.coalesce(F.array_max(F.flatten(F.transform(F.map_values(vector), lambda ps: F.transform(ps, lambda p: p["pos"])))), F.lit(0)).cast("long").alias("_n"))
+    before = last.withColumn("_shift", F.coalesce(F.sum("_n").over(W.partitionBy(group).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    long = documents.select(group, order, F.explode(vector).alias("word", "places")).join(before, [group, order])
+    moved = long.select(group, "word", F.explode(F.transform("places", lambda p: F.struct((p["pos"] + F.col("_shift")).alias("pos"), p["weight"].alias("weight")))).alias("p"))
+    words = moved.groupBy(group, "word").agg(F.array_sort(F.collect_list("p")).alias("places"))
+    return words.groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct("word", "places"))).alias(vector))
+
+
+def stored_counts(text: Column) -> Column:
+    """array<struct<word,nentry>> of a stored JSON list; text that is no list gives null."""
+    return F.from_json(text, "array<struct<word:string,nentry:int>>")
+
+
+def trigrams(text: Column) -> Column:
+    """Distinct three-letter pieces of the words, each word with two blanks before and one behind."""
+    padded = F.transform(tokens(text), lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
+    pieces = F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3))))
+    return F.array_sort(F.array_distinct(F.flatten(pieces)))
+
+
 def postings(documents: DataFrame, key: str = "doc_id", vector: str = "tsv") -> DataFrame:
     """(key, word, positions): the long form of a vector column."""
     return documents.select(key, F.explode(vector).alias("word", "positions"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +26,19 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from the copy."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path below the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
+def bucketed(df: DataFrame, key: str, buckets: int | None = None) -> DataFrame:
+    """Write df to the shared folder in buckets of ``key`` and go on from there: joins and aggregations on the key move only the other side."""
+    spark = df.sparkSession
+    buckets = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    name = f"bucketed_{uuid.uuid4().hex}"
+    spread = df.repartition(buckets, key)  # one file a bucket
+    spread.write.bucketBy(buckets, key).sortBy(key).format("parquet").option("path", shared_folder(spark, name)).saveAsTable(name)
+    return spark.table(name)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,15 +56,31 @@ def rest_after(matched: DataFrame, size: int, page: int = 0) -> DataFrame:
 
 @dataclass
 class Answer:
+    """A page at once; the grid of the rest and the number of matches only when asked for."""
+
     documents: DataFrame
-    grid: DataFrame
-    ndocs: int
+    matched: DataFrame
+    box: tuple[float, float, float, float]
+    size: int
     page: int
     query: str | None
     operation: str
 
+    @cached_property
+    def rest(self) -> DataFrame:
+        return rest_after(self.matched, self.size, self.page)
+
+    @cached_property
+    def grid(self) -> DataFrame:
+        rest = self.rest.select("x", "y")
+        return density_grid(rest, self.box, bandwidth(rest))
+
+    @cached_property
+    def ndocs(self) -> int:
+        return self.matched.count()
+
 
-def search(tables: dict[str, DataFrame], terms: str | None = None, operator: str = "or", author: str | None = None, year_start: int | None = None, year_end: int | None = None, max_docs: int = 100, page: int = 0, start: tuple[float, float] | None = None, end: tuple[float, float] | None = None, density: bool = True) -> Answer:
+def search(tables: dict[str, DataFrame], terms: str | None = None, operator: str = "or", author: str | None = None, year_start: int | None = None, year_end: int | None = None, max_docs: int = 100, page: int = 0, start: tuple[float, float] | None = None, end: tuple[float, float] | None = None) -> Answer:
     """A search, or with two corners a zoom: a page of documents and the density of the rest."""
     query = build_query(terms, operator)
     found = simple_documents(tables["documents"], tables["documents_data"])
@@ -76,10 +93,7 @@ def search(tables: dict[str, DataFrame], terms: str | None = None, operator: str
     if zoom:
         found = in_rectangle(found, start, end)
         box = (min(start[0], end[0]), min(start[1], end[1]), max(start[0], end[0]), max(start[1], end[1]))
-    shown = page_of(found, max_docs, page)
-    rest = rest_after(found, max_docs, page).select("x", "y")
-    grid = density_grid(rest, box, bandwidth(rest) if density else 0.0)
-    return Answer(shown, grid, found.count(), page, query, "zoom" if zoom else "search")
+    return Answer(page_of(found, max_docs, page), found, box, max_docs, page, query, "zoom" if zoom else "search")
 
 
 def answer_json(answer: Answer, max_docs: int) -> DataFrame:

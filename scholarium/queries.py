@@ -11,8 +11,10 @@ from pyspark.sql import Window as W
 from scholarium.functions import mathx, strings, vectors
 from scholarium.operators import cluster, density, graph, ingest, packed, projection, spatial, termmatrix, text
 from scholarium.operators.nearest import against_all, nearest
+from scholarium.operators.prefix import numbered
 from scholarium.operators.quantiles import legacy_percentiles
 from scholarium.plans import service
+from scholarium.plans.lineage import shared_folder
 from scholarium.sources import documents_in
 from scholarium.sources.tables import TABLES, table
 
@@ -43,9 +45,14 @@ def tables_of(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     return {t: table(spark, d, t) for t in TABLES}
 
 
-def points_of(spark: SparkSession, d: str) -> DataFrame:
-    """(doc_id, x, y, rank), one row a document that has a place; a missing rank is null."""
+def points_of(spark: SparkSession, d: str, within: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """(doc_id, x, y, rank), one row a document that has a place; a missing rank is null.
+
+    Rows delivered twice are identical, so a box (x1, y1, x2, y2) is looked at first and reaches the scan.
+    """
     rows = table(spark, d, "documents_data").where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
+    if within is not None:
+        rows = rows.where(F.col("x").between(within[0], within[2]) & F.col("y").between(within[1], within[3]))
     return rows.groupBy("doc_id").agg(F.first("x").alias("x"), F.first("y").alias("y"), F.max(F.when(~F.isnan("rank"), F.col("rank"))).alias("rank"))
 
 
@@ -67,7 +74,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _search(spark: SparkSession, d: str, **request) -> DataFrame:
-    return service.search(tables_of(spark, d), density=False, **request).documents.select("doc_id", F.round("rank", 6).alias("rank"))
+    return service.search(tables_of(spark, d), **request).documents.select("doc_id", F.round("rank", 6).alias("rank"))
 
 
 def _search_sql(where: str, extra: str = "", limit: str = "LIMIT 100") -> str:
@@ -125,7 +132,7 @@ def density_points_tail(spark, d):
 
 @query(f"WITH {DATA}, shown AS (SELECT doc_id, words FROM documents JOIN dat USING (doc_id) WHERE enabled ORDER BY dat.rank DESC, doc_id LIMIT 100), w AS (SELECT unnest(words[1:10]) AS w FROM shown) SELECT w.word AS text, CAST(sum(w.nentry) AS BIGINT) AS size FROM w WHERE length(w.word) > 2 OR lower(w.word) IN ('2d', '3d') GROUP BY 1")
 def word_cloud(spark, d):
-    return service.word_cloud(service.search(tables_of(spark, d), density=False).documents)
+    return service.word_cloud(service.search(tables_of(spark, d)).documents)
 
 
 @query("SELECT doc_id, '\"' || replace(coalesce(doi, ''), '\"', '\"\"') || '\",\"' || replace(coalesce(title, ''), '\"', '\"\"') || '\",\"' || replace(coalesce(authors, ''), '\"', '\"\"') || '\",\"' || coalesce(CAST(publication_date AS VARCHAR), '') || '\",\"' || replace(coalesce(bibtex, ''), '\"', '\"\"') || '\"' AS line FROM documents WHERE enabled")
@@ -177,9 +184,9 @@ def vector_places(spark, d):
 
 @query()
 def stemmed_vectors(spark, d):
-    """Stemmed words of the titles and their counts."""
-    rows = table(spark, d, "documents").select("doc_id", F.explode(text.stems(text.tokens(F.col("title")))).alias("word"))
-    return rows.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    """Stemmed words of title, keywords and abstract: documents and places."""
+    rows = text.build_vectors(table(spark, d, "documents").withColumn("_english", F.lit("english")), language=F.col("_english"))
+    return rows.select(F.explode("tsv").alias("word", "places")).groupBy("word").agg(F.count(F.lit(1)).alias("ndoc"), F.sum(F.size("places")).alias("nentry"))
 
 
 def _weights(spark, d, number, kind="freqs"):
@@ -190,7 +197,7 @@ def _weights(spark, d, number, kind="freqs"):
         m = termmatrix.frequency_matrix(docs, words.where("ndoc > 2"), n, number)
     else:
         m = termmatrix.vector_matrix(docs, text.term_statistics(docs).where("ndoc > 2"), n, number)
-    return m.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("weight"), 5).alias("weight"))
+    return m.select("doc_id", "word", F.round("weight", 6).alias("weight"))
 
 
 _SCHEME_SQL = {1: "f * ln(n / (1 + ndoc))", 2: "(1 + log10(f)) * log10(1 + ndoc / n)", 3: "1 + ln(f)", 4: "f * log2(ndoc / n)"}
@@ -203,7 +210,7 @@ def _weights_sql(number: int, kind: str = "freqs") -> str:
     else:
         terms = "SELECT doc_id, word, sum(CASE q.weight WHEN 'A' THEN 1.0 WHEN 'B' THEN 0.4 WHEN 'C' THEN 0.2 ELSE 0.1 END) AS f FROM (SELECT doc_id, e.key AS word, unnest(e.value) AS q FROM (SELECT doc_id, unnest(map_entries(tsv)) AS e FROM documents)) GROUP BY ALL"
         plus = ""
-    return f"WITH t AS ({terms}), v AS (SELECT word, CAST(count(DISTINCT doc_id) AS DOUBLE) AS ndoc FROM t GROUP BY 1 HAVING ndoc > 2), c AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM documents), w AS (SELECT doc_id, {_SCHEME_SQL[number]}{plus} AS weight FROM t JOIN v USING (word), c) SELECT doc_id, count(*) AS n, round(sum(weight), 5) AS weight FROM w WHERE weight <> 0 GROUP BY doc_id"
+    return f"WITH t AS ({terms}), v AS (SELECT word, CAST(count(DISTINCT doc_id) AS DOUBLE) AS ndoc FROM t GROUP BY 1 HAVING ndoc > 2), c AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM documents), w AS (SELECT doc_id, word, {_SCHEME_SQL[number]}{plus} AS weight FROM t JOIN v USING (word), c) SELECT doc_id, word, round(weight, 6) AS weight FROM w WHERE weight <> 0"
 
 
 for _k in _SCHEME_SQL:
@@ -239,24 +246,46 @@ query(_rank_sql(1), "pagerank_step")(lambda spark, d: _ranked(spark, d, 1))
 query(_rank_sql(10), "pagerank_k10")(lambda spark, d: _ranked(spark, d, 10))
 
 
-@query()
+def _settled_sql(edges: str, tolerance: float = 1e-7, most: int = 50) -> str:
+    """Ranks of (src, dst, w) at the first step that moves less than the tolerance."""
+    parts = [edges, "verts AS MATERIALIZED (SELECT src AS v FROM ed UNION SELECT dst FROM ed)", "deg AS MATERIALIZED (SELECT src, sum(w) AS k FROM ed GROUP BY src)", "n AS MATERIALIZED (SELECT CAST(count(*) AS DOUBLE) AS n FROM verts)", "r0 AS MATERIALIZED (SELECT v, 1 / n AS pr FROM verts, n)"]
+    for i in range(1, most + 1):
+        parts.append(f"r{i} AS MATERIALIZED (SELECT verts.v, (1 - 0.85) / n + coalesce(f, 0) AS pr FROM verts CROSS JOIN n LEFT JOIN (SELECT c.dst AS v, sum(r.pr * c.w / d.k * 0.85) AS f FROM ed c JOIN deg d ON c.src = d.src JOIN r{i - 1} r ON r.v = c.src GROUP BY c.dst) f ON f.v = verts.v)")
+    moved = " UNION ALL ".join(f"SELECT {i} AS i, sqrt(sum((a.pr - b.pr) * (a.pr - b.pr))) AS moved FROM r{i} a JOIN r{i - 1} b USING (v)" for i in range(1, most + 1))
+    every = " UNION ALL ".join(f"SELECT {i} AS i, v, pr FROM r{i}" for i in range(1, most + 1))
+    return f"WITH {', '.join(parts)}, m AS ({moved}), s AS (SELECT coalesce(min(i) FILTER (WHERE moved < {tolerance}), {most}) AS i FROM m), e AS ({every}) SELECT v, round(pr * 1e6, 3) AS pr FROM e JOIN s USING (i)"
+
+
+@query(_settled_sql(f"{CITES}, ed AS MATERIALIZED (SELECT src, dst, 1.0 AS w FROM cites)"))
 def pagerank_settled(spark, d):
-    return graph.pagerank(graph.citation_edges(table(spark, d, "citations")))
+    return graph.pagerank(graph.citation_edges(table(spark, d, "citations"))).select("v", F.round(F.col("pr") * 1e6, 3).alias("pr"))
 
 
-@query()
+@query(_settled_sql(f"{CITES}, {LINKS}, ed AS MATERIALIZED (SELECT a.aut_id AS src, b.aut_id AS dst, CAST(count(*) AS DOUBLE) AS w FROM cites c JOIN links a ON a.doc_id = c.src JOIN links b ON b.doc_id = c.dst GROUP BY ALL)"))
 def author_pagerank(spark, d):
     edges = graph.author_edges(table(spark, d, "citations"), table(spark, d, "document_authors"))
-    return graph.pagerank(edges)
+    return graph.pagerank(edges).select("v", F.round(F.col("pr") * 1e6, 3).alias("pr"))
+
+
+def _jump_sql(steps: int, jump: float = 0.15) -> str:
+    parts = [CITES, "verts AS MATERIALIZED (SELECT src AS v FROM cites UNION SELECT dst FROM cites)", "deg AS MATERIALIZED (SELECT src, count(*) AS k FROM cites GROUP BY src)", "n AS MATERIALIZED (SELECT CAST(count(*) AS DOUBLE) AS n FROM verts)", "r0 AS MATERIALIZED (SELECT v, 1 / n AS pr FROM verts, n)"]
+    for i in range(1, steps + 1):
+        parts.append(f"r{i} AS MATERIALIZED (SELECT verts.v, ({jump} + {1 - jump} * (SELECT coalesce(sum(pr), 0) FROM r{i - 1} WHERE v NOT IN (SELECT src FROM deg))) / n + {1 - jump} * coalesce(f, 0) AS pr FROM verts CROSS JOIN n LEFT JOIN (SELECT c.dst AS v, sum(r.pr / d.k) AS f FROM cites c JOIN deg d ON c.src = d.src JOIN r{i - 1} r ON r.v = c.src GROUP BY c.dst) f ON f.v = verts.v)")
+    return f"WITH {', '.join(parts)} SELECT v, round(pr * 1e6, 4) AS pr FROM r{steps}"
+
+
+@query(_jump_sql(6))
+def pagerank_by_jump(spark, d):
+    ranks = graph.pagerank_by_jump(graph.citation_edges(table(spark, d, "citations")), tolerance=0, max_iter=6)
+    return ranks.select("v", F.round(F.col("pr") * 1e6, 4).alias("pr"))
 
 
 _AUTHOR_EDGES = f"WITH {CITES}, {LINKS}, e AS (SELECT a.aut_id AS src, b.aut_id AS dst, count(*) AS weight FROM cites c JOIN links a ON a.doc_id = c.src JOIN links b ON b.doc_id = c.dst GROUP BY ALL)"
 
 
-@query(f"{_AUTHOR_EDGES} SELECT src, count(*) AS targets, CAST(sum(weight) AS BIGINT) AS weight FROM e GROUP BY src")
+@query(f"{_AUTHOR_EDGES} SELECT src, dst, weight FROM e")
 def author_edges(spark, d):
-    edges = graph.author_edges(table(spark, d, "citations"), table(spark, d, "document_authors"))
-    return edges.groupBy("src").agg(F.count(F.lit(1)).alias("targets"), F.sum("weight").alias("weight"))
+    return graph.author_edges(table(spark, d, "citations"), table(spark, d, "document_authors"))
 
 
 @query(f"{_AUTHOR_EDGES} SELECT src, dst, weight, a.aut_name AS src_name, b.aut_name AS dst_name FROM e JOIN authors a ON a.aut_id = src JOIN authors b ON b.aut_id = dst")
@@ -279,7 +308,7 @@ def combined_rank(spark, d):
 
 @query(f"WITH {CITES}, {DATA}, s AS (SELECT doc_id FROM documents JOIN dat USING (doc_id) WHERE enabled ORDER BY dat.rank DESC, doc_id LIMIT 500) SELECT src AS doc_id, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS refs FROM cites WHERE src IN (SELECT doc_id FROM s) AND dst IN (SELECT doc_id FROM s) GROUP BY src")
 def references_within_set(spark, d):
-    shown = service.search(tables_of(spark, d), density=False, max_docs=500).documents
+    shown = service.search(tables_of(spark, d), max_docs=500).documents
     return graph.references_within(table(spark, d, "citations"), shown).select("doc_id", F.array_join(F.col("refs").cast("array<string>"), ",").alias("refs"))
 
 
@@ -299,11 +328,10 @@ def upsert_documents(spark, d):
     return ingest.upsert_documents(rows, "added_at")
 
 
-@query("WITH new AS (SELECT DISTINCT upper(aut_name) AS aut_name FROM authors WHERE aut_name IS NOT NULL AND upper(aut_name) NOT IN (SELECT aut_name FROM authors WHERE aut_name IS NOT NULL)) SELECT count(*) AS n, count(DISTINCT aut_id) AS ids, CAST(min(aut_id) AS BIGINT) AS low, CAST(max(aut_id) AS BIGINT) AS high FROM (SELECT aut_id FROM authors UNION ALL SELECT (SELECT max(aut_id) FROM authors) + row_number() OVER () FROM new)")
+@query("WITH new AS (SELECT DISTINCT 'University ' || aut_name AS aut_name FROM authors WHERE aut_name IS NOT NULL AND 'University ' || aut_name NOT IN (SELECT aut_name FROM authors WHERE aut_name IS NOT NULL)) SELECT aut_id, aut_name FROM authors UNION ALL SELECT (SELECT max(aut_id) FROM authors) + row_number() OVER (ORDER BY aut_name), aut_name FROM new")
 def upsert_authors(spark, d):
     a = table(spark, d, "authors")
-    got = ingest.upsert_authors(a, a.select(F.upper("aut_name").alias("aut_name")))
-    return got.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("aut_id").alias("ids"), F.min("aut_id").alias("low"), F.max("aut_id").alias("high"))
+    return ingest.upsert_authors(a, a.select(F.concat(F.lit("University "), "aut_name").alias("aut_name")))
 
 
 @query("SELECT min(id) AS id, doc_id, aut_id FROM document_authors WHERE doc_id IS NOT NULL AND aut_id IS NOT NULL GROUP BY doc_id, aut_id")
@@ -316,10 +344,16 @@ def link_citations(spark, d):
     return ingest.link_citations(table(spark, d, "citations"))
 
 
-@query("WITH gone AS (SELECT doc_id FROM documents WHERE NOT enabled) SELECT id, doc_id, ref_id FROM citations WHERE (doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM gone)) AND (ref_id IS NULL OR ref_id NOT IN (SELECT doc_id FROM gone))")
+_GONE = "(SELECT doc_id FROM documents WHERE NOT enabled)"
+
+
+@query(f"SELECT 'citations' AS tab, id FROM citations WHERE (doc_id IS NULL OR doc_id NOT IN {_GONE}) AND (ref_id IS NULL OR ref_id NOT IN {_GONE}) UNION ALL SELECT 'document_authors', id FROM document_authors WHERE doc_id IS NULL OR doc_id NOT IN {_GONE} UNION ALL SELECT 'documents_data', doc_id FROM documents_data WHERE doc_id NOT IN {_GONE} UNION ALL SELECT 'documents', doc_id FROM documents WHERE doc_id NOT IN {_GONE}")
 def delete_documents(spark, d):
-    gone = table(spark, d, "documents").where("NOT enabled")
-    return ingest.delete_documents({"citations": table(spark, d, "citations")}, gone)["citations"].select("id", "doc_id", "ref_id")
+    """What is left in the four tables."""
+    names = ("citations", "document_authors", "documents_data", "documents")
+    left = ingest.delete_documents({n: table(spark, d, n) for n in names}, table(spark, d, "documents").where("NOT enabled"))
+    parts = [left[n].select(F.lit(n).alias("tab"), F.col("id" if "id" in left[n].columns else "doc_id").alias("id")) for n in names]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
 
 
 @query("SELECT doc_id, CASE WHEN doc_id IN (SELECT ref_id FROM citations WHERE ref_id IS NOT NULL) THEN FALSE ELSE enabled END AS enabled FROM documents")
@@ -354,10 +388,10 @@ def complete_documents(spark, d):
     return table(spark, d, "documents").select("doc_id", ingest.is_complete().alias("complete"))
 
 
-@query("WITH e AS (SELECT doc_id, unnest(string_split(regexp_replace(authors, ';+$', ''), ';')) AS a FROM documents WHERE authors IS NOT NULL), s AS (SELECT doc_id, lower(trim(regexp_replace(regexp_replace(a, '[,;.\\-]', ' ', 'g'), '\\s\\s', ' ', 'g'))) AS a FROM e) SELECT doc_id, count(*) AS n, CAST(sum(length(a)) AS BIGINT) AS letters FROM s GROUP BY doc_id")
+@query("WITH e AS (SELECT doc_id, string_split(regexp_replace(authors, ';+$', ''), ';') AS l FROM documents WHERE authors IS NOT NULL), u AS (SELECT doc_id, unnest(l) AS a, generate_subscripts(l, 1) AS place FROM e) SELECT doc_id, CAST(place AS INT) AS place, lower(trim(regexp_replace(regexp_replace(a, '[,;.\\-\\[\\]]', ' ', 'g'), '\\s\\s', ' ', 'g'))) AS name FROM u")
 def author_names(spark, d):
-    rows = table(spark, d, "documents").where("authors IS NOT NULL").select("doc_id", F.explode(strings.author_names(F.col("authors"))).alias("a"))
-    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.lower("a"))).cast("long").alias("letters"))
+    rows = table(spark, d, "documents").where("authors IS NOT NULL").select("doc_id", F.posexplode(strings.author_names(F.col("authors"))).alias("place", "name"))
+    return rows.select("doc_id", (F.col("place") + 1).alias("place"), F.lower("name").alias("name"))
 
 
 @query("SELECT doc_id, CASE WHEN regexp_full_match(pages, '\\w*\\d{4}\\w*') THEN CAST(regexp_extract(pages, '^\\w*(\\d{4})\\w*$', 1) AS INT) ELSE coalesce(TRY_CAST(pages AS INT), 0) END AS year FROM documents")
@@ -370,18 +404,17 @@ def clean_dois(spark, d):
     return table(spark, d, "documents").select("doc_id", strings.clean_doi(F.col("doi")).alias("doi"))
 
 
-@query("SELECT doc_id, TRY_CAST(trim(string_split(pages, '-')[1]) AS INT) AS first, TRY_CAST(trim(string_split(pages, '-')[2]) AS INT) AS last FROM documents WHERE regexp_full_match(coalesce(pages, ''), '\\d*(-\\d+)?')")
+@query("SELECT doc_id, TRY_CAST(nullif(regexp_extract(string_split(pages, '-')[1], '^\\s*([+-]?\\d+)\\s*$', 1), '') AS INT) AS first, TRY_CAST(nullif(regexp_extract(string_split(pages, '-')[2], '^\\s*([+-]?\\d+)\\s*$', 1), '') AS INT) AS last FROM documents")
 def page_ranges(spark, d):
-    rows = table(spark, d, "documents").where(F.coalesce("pages", F.lit("")).rlike(r"^\d*(-\d+)?$"))
-    return rows.select("doc_id", strings.page_bounds(F.col("pages")).alias("p")).select("doc_id", "p.first", "p.last")
+    return table(spark, d, "documents").select("doc_id", strings.page_bounds(F.col("pages")).alias("p")).select("doc_id", "p.first", "p.last")
 
 
-@query()
+@query("SELECT doc_id, nullif(regexp_replace(title, '^\\s+|\\s+$', '', 'g'), '') AS title, nullif(array_to_string(list_filter(list_transform(string_split(authors, ';'), lambda a: regexp_replace(a, '^\\s+|\\s+$', '', 'g')), lambda a: a <> ''), ';'), '') AS authors, nullif(regexp_replace(regexp_replace(abstract, '\\s+', ' ', 'g'), '^ | $', '', 'g'), '') AS abstract FROM documents")
 def html_fields(spark, d):
     """Pages made from the records, read back by their meta elements."""
     e = lambda c: F.replace(F.coalesce(F.col(c), F.lit("")), F.lit('"'), F.lit("&quot;"))
     page = F.concat(F.lit('<html><head><meta name="citation_title" content="'), e("title"), F.lit('"><meta name="DC.creator" content="'), e("authors"), F.lit('"></head><body><p class="abstract">'), F.coalesce("abstract", F.lit("")), F.lit("</p></body></html>"))
-    return table(spark, d, "documents").select("doc_id", documents_in.html_fields(page).alias("f")).select("doc_id", "f.*")
+    return table(spark, d, "documents").select("doc_id", documents_in.html_fields(page).alias("f")).select("doc_id", "f.title", "f.authors", "f.abstract")
 
 
 @query("SELECT title, doi, coalesce(publication_date, 0) AS publication_date FROM documents")
@@ -493,18 +526,18 @@ def normalize_xy(spark, d):
 
 @query(f"WITH {PTS} SELECT doc_id, round(x, 6) AS x, round(y, 6) AS y FROM pts WHERE x >= -0.4 AND x <= 0.3 AND y >= -0.2 AND y <= 0.6")
 def rect_search(spark, d):
-    return spatial.in_rectangle(points_of(spark, d), (0.3, -0.2), (-0.4, 0.6)).select("doc_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    return spatial.in_rectangle(points_of(spark, d, (-0.4, -0.2, 0.3, 0.6)), (0.3, -0.2), (-0.4, 0.6)).select("doc_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
 @query(f"WITH {PTS} SELECT doc_id FROM pts WHERE x > -0.4 AND x <= 0.3 AND y > -0.2 AND y <= 0.6 AND doc_id NOT IN (SELECT doc_id FROM documents WHERE NOT enabled)")
 def rect_search_halfopen(spark, d):
     gone = table(spark, d, "documents").where("NOT enabled").select("doc_id")
-    return spatial.in_rectangle(points_of(spark, d), (-0.4, -0.2), (0.3, 0.6), half_open=True, without=gone).select("doc_id")
+    return spatial.in_rectangle(points_of(spark, d, (-0.4, -0.2, 0.3, 0.6)), (-0.4, -0.2), (0.3, 0.6), half_open=True, without=gone).select("doc_id")
 
 
 @query(f"WITH {PTS} SELECT doc_id, round((x - 0.1) * (x - 0.1) + (y + 0.2) * (y + 0.2), 6) AS d2 FROM pts WHERE rank >= 0.1 AND (x - 0.1) * (x - 0.1) + (y + 0.2) * (y + 0.2) <= 0.3 * 0.3")
 def radius_search(spark, d):
-    return spatial.in_radius(points_of(spark, d), 0.1, -0.2, 0.3, 0.1).select("doc_id", F.round("d2", 6).alias("d2"))
+    return spatial.in_radius(points_of(spark, d, (-0.2, -0.5, 0.4, 0.1)), 0.1, -0.2, 0.3, 0.1).select("doc_id", F.round("d2", 6).alias("d2"))
 
 
 @query(f"WITH {PTS}, r AS (SELECT doc_id, coalesce(sum(rank) OVER (ORDER BY rank DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM pts WHERE rank IS NOT NULL) SELECT doc_id FROM r WHERE before < 20.0")
@@ -576,27 +609,32 @@ def rank_slider(spark, d):
 
 @query(f"WITH {DATA}, c AS (SELECT count(*) AS n FROM documents JOIN dat USING (doc_id) WHERE enabled AND {_has('depth')}) SELECT CAST(n // 100 AS BIGINT) AS pages, CAST(101 AS BIGINT) AS first, CAST(least(200, n) AS BIGINT) AS last FROM c")
 def pagination(spark, d):
-    answer = service.search(tables_of(spark, d), terms="depth", page=1, density=False)
+    answer = service.search(tables_of(spark, d), terms="depth", page=1)
     p = service.pages(answer.ndocs, 100, 1)
     return spark.createDataFrame([(p["pages"], p["first"], p["last"])], "pages long, first long, last long")
 
 
-@query()
+@query(f"WITH {DATA} SELECT doc_id, CAST(doc_id AS VARCHAR) AS json_id, doi, title, authors, keywords, CAST(publication_date AS VARCHAR) AS publication_date, round(dat.rank, 6) AS rank, list_sort(list_transform(words[1:10], lambda e: e.word || ':' || e.nentry)) AS words FROM documents JOIN dat USING (doc_id) WHERE enabled AND {_has('depth')} ORDER BY dat.rank DESC, doc_id LIMIT 100")
 def search_json(spark, d):
-    return service.answer_json(service.search(tables_of(spark, d), terms="depth", density=False), 100)
+    """The shown documents as JSON, read back field by field."""
+    rows = service.answer_json(service.search(tables_of(spark, d), terms="depth"), 100)
+    f = lambda c: F.get_json_object("json", f"$.{c}")
+    words = F.array_sort(F.transform(text.stored_counts(f("words")), lambda e: F.concat_ws(":", e["word"], e["nentry"].cast("string"))))
+    return rows.select("doc_id", f("doc_id").alias("json_id"), *[f(c).alias(c) for c in ("doi", "title", "authors", "keywords", "publication_date")], F.round(f("rank").cast("double"), 6).alias("rank"), words.alias("words"))
 
 
-@query()
+@query(f"WITH {CITES}, {DATA}, s AS (SELECT doc_id FROM documents JOIN dat USING (doc_id) WHERE enabled ORDER BY dat.rank DESC, doc_id LIMIT 100) SELECT src AS doc_id, '[' || string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) || ']' AS json FROM cites WHERE src IN (SELECT doc_id FROM s) AND dst IN (SELECT doc_id FROM s) GROUP BY src")
 def references_json(spark, d):
-    shown = service.search(tables_of(spark, d), density=False).documents
-    return service.references(table(spark, d, "citations"), shown)
+    return service.references(table(spark, d, "citations"), service.search(tables_of(spark, d)).documents)
 
 
-@query()
+@query(f"WITH {CITES}, one AS (SELECT doc_id, any_value(rank) AS rank FROM documents_data GROUP BY doc_id) SELECT src, dst, a.title AS src_title, b.title AS dst_title, round(x.rank, 6) AS src_rank FROM cites JOIN documents a ON a.doc_id = src JOIN documents b ON b.doc_id = dst JOIN one x ON x.doc_id = src JOIN one y ON y.doc_id = dst")
 def graph_json(spark, d):
-    """The citation graph as JSON lines, one an edge."""
+    """The citation graph as JSON, one text an edge, read back field by field."""
     edges = graph.document_graph(table(spark, d, "citations"), table(spark, d, "documents"), table(spark, d, "documents_data"))
-    return edges.select("src", "dst", F.to_json(F.struct("src", "src_title", "src_rank", "dst", "dst_title", "dst_rank")).alias("json"))
+    lines = edges.select("src", "dst", F.to_json(F.struct("src", "src_title", "src_rank", "dst", "dst_title", "dst_rank")).alias("json"))
+    f = lambda c: F.get_json_object("json", f"$.{c}")
+    return lines.select("src", "dst", f("src_title").alias("src_title"), f("dst_title").alias("dst_title"), F.round(f("src_rank").cast("double"), 6).alias("src_rank"))
 
 
 @query(f"WITH {PTS} SELECT doc_id, CAST(least(greatest(floor(rank / 7.0 * 7) + 1, 0), 8) AS BIGINT) AS bucket FROM pts WHERE rank IS NOT NULL")
@@ -689,3 +727,169 @@ def neighbour_sums(spark, d):
     """Neighbours within a radius of a place and the sum of their squared distances, by column of the plane."""
     near = spatial.in_radius(points_of(spark, d).withColumn("rank", F.coalesce("rank", F.lit(0.0))), 0.5, 0.0, 0.4)
     return near.groupBy(F.floor((F.col("x") + 1) * 2).alias("cx")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("d2"), 4).alias("d2"))
+
+
+# Zoom and density ---------------------------------------------------------------------------------
+
+
+def _grid_sql(points: str, x1: float, y1: float, x2: float, y2: float) -> str:
+    """Kernel density of the points of a query (x, y) in a box."""
+    return (
+        f"WITH {DATA}, pts AS ({points}), {_BW}, g AS (SELECT bw, CAST(ceil(({y2} - {y1}) / bw) AS INT) + 1 AS w FROM bw), s AS (SELECT bw, w, (w * 6) // 16 AS h, ({x2} - {x1}) / greatest(1, (w * 6) // 16 - 1) AS sx FROM g), "
+        f"v AS (SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, {x1} + sx / 2 + i * sx AS px, {y1} + bw / 2 + j * bw AS py, bw FROM s, (SELECT unnest(range(500)) AS i), (SELECT unnest(range(500)) AS j) WHERE i < h AND j < w), "
+        "t AS (SELECT i, j, bw, sqrt((x - px) * (x - px) + (y - py) * (y - py)) AS d FROM v, pts WHERE abs(x - px) <= bw AND abs(y - py) <= bw) "
+        "SELECT i, j, round(sum(0.75 * (1 - (d / bw) * (d / bw))), 4) AS density FROM t WHERE d < bw GROUP BY i, j"
+    )
+
+
+def _grid(answer: service.Answer) -> DataFrame:
+    return answer.grid.select("i", "j", F.round("density", 4).alias("density"))
+
+
+@query(_grid_sql(f"SELECT x, y FROM (SELECT x, y, row_number() OVER (ORDER BY rank DESC, doc_id) AS k FROM documents JOIN dat USING (doc_id) WHERE enabled AND {_has('depth')}) WHERE k > 100", -1, -1, 1, 1))
+def search_density(spark, d):
+    """The density of the documents behind the first page."""
+    return _grid(service.search(tables_of(spark, d), terms="depth"))
+
+
+@query(_grid_sql(f"SELECT x, y FROM (SELECT x, y, row_number() OVER (ORDER BY rank DESC, doc_id) AS k FROM documents JOIN dat USING (doc_id) WHERE enabled AND {_has('depth')} AND x BETWEEN -0.5 AND 0.5 AND y BETWEEN -0.25 AND 0.75) WHERE k > 20", -0.5, -0.25, 0.5, 0.75))
+def zoom_density(spark, d):
+    """The density of the documents in a zoomed box behind its first page."""
+    return _grid(service.search(tables_of(spark, d), terms="depth", start=(0.5, 0.75), end=(-0.5, -0.25), max_docs=20))
+
+
+@query(f"WITH {PTS}, {_BW}, g AS (SELECT bw, CAST(ceil(2 / bw) AS INT) + 1 AS w FROM bw), s AS (SELECT bw, w, (w * 6) // 16 AS h, 2.0 / greatest(1, (w * 6) // 16 - 1) AS sx FROM g), v AS (SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, -1 + sx / 2 + i * sx AS px, -1 + bw / 2 + j * bw AS py, bw FROM s, (SELECT unnest(range(500)) AS i), (SELECT unnest(range(500)) AS j) WHERE i < h AND j < w), t AS (SELECT i, j, bw, sqrt((x - px) * (x - px) + (y - py) * (y - py)) AS d FROM v, pts WHERE abs(x - px) <= bw AND abs(y - py) <= bw), k AS (SELECT i, j, sum(CASE WHEN d < bw THEN 0.75 * (1 - (d / bw) * (d / bw)) ELSE 0 END) AS density FROM t GROUP BY i, j) SELECT i, j, round(coalesce(density, 0), 4) AS density FROM v LEFT JOIN k USING (i, j)")
+def kde_neighbours(spark, d):
+    """The density of every vertex, gathered from its neighbours."""
+    p = points_of(spark, d)
+    bw = density.bandwidth(p)
+    width, height, sx, sy = density.grid_shape((-1.0, -1.0, 1.0, 1.0), bw)
+    cells = spark.range(width * height).select((F.col("id") / width).cast("int").alias("i"), (F.col("id") % width).cast("int").alias("j"))
+    vertices = cells.select("i", "j", (F.lit(-1 + sx / 2) + F.col("i") * sx).alias("px"), (F.lit(-1 + sy / 2) + F.col("j") * sy).alias("py"))
+    return density.density_of_neighbours(p, vertices, bw).select("i", "j", F.round("density", 4).alias("density"))
+
+
+# The stored quadtree ------------------------------------------------------------------------------
+
+_ONE = "one AS (SELECT DISTINCT doc_id, node_id, x, y, CASE WHEN NOT isnan(rank) THEN rank END AS rank FROM documents_data WHERE node_id IS NOT NULL)"
+
+
+def _in_nodes(spark, d) -> DataFrame:
+    """(doc_id, node_id, x, y, rank) of the documents that have a node."""
+    rows = table(spark, d, "documents_data").where("node_id IS NOT NULL")
+    return rows.select("doc_id", "node_id", "x", "y", F.when(~F.isnan("rank"), F.col("rank")).alias("rank")).distinct()
+
+
+@query(f"WITH {_ONE} SELECT doc_id FROM one WHERE x BETWEEN -0.4 AND 0.3 AND y BETWEEN -0.2 AND 0.6")
+def quadtree_rectangle(spark, d):
+    return spatial.search_nodes(table(spark, d, "nodes"), _in_nodes(spark, d), (0.3, -0.2), (-0.4, 0.6), first_id=1, y_first=True).select("doc_id")
+
+
+@query(f"WITH {_ONE} SELECT doc_id FROM one JOIN documents USING (doc_id) WHERE x BETWEEN -0.4 AND 0.3 AND y BETWEEN -0.2 AND 0.6 AND {_has('depth')}")
+def quadtree_rectangle_text(spark, d):
+    with_text = _in_nodes(spark, d).join(table(spark, d, "documents").select("doc_id", "tsv"), "doc_id")
+    return spatial.search_nodes(table(spark, d, "nodes"), with_text, (-0.4, -0.2), (0.3, 0.6), first_id=1, y_first=True, match=text.matches("depth", F.col("tsv"))).select("doc_id")
+
+
+@query(f"WITH {_ONE} SELECT doc_id FROM one WHERE x BETWEEN -0.4 AND 0.3 AND y BETWEEN -0.2 AND 0.6 AND doc_id IN (SELECT doc_id FROM citations WHERE ref_id = 7)")
+def quadtree_by_ids(spark, d):
+    ids = table(spark, d, "citations").where("ref_id = 7 AND doc_id IS NOT NULL").select("doc_id")
+    return spatial.search_nodes(table(spark, d, "nodes"), _in_nodes(spark, d), (-0.4, -0.2), (0.3, 0.6), first_id=1, y_first=True, ids=ids).select("doc_id")
+
+
+@query(f"WITH {PTS}, r AS (SELECT doc_id, coalesce(sum(rank) OVER (ORDER BY rank DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM pts WHERE rank IS NOT NULL AND x BETWEEN -0.4 AND 0.3 AND y BETWEEN -0.2 AND 0.6) SELECT doc_id FROM r WHERE before < 5.0")
+def rank_budget_rectangle(spark, d):
+    inside = spatial.in_rectangle(points_of(spark, d, (-0.4, -0.2, 0.3, 0.6)), (-0.4, -0.2), (0.3, 0.6))
+    return spatial.rank_budget(inside, 5.0).select("doc_id")
+
+
+@query(f"WITH {_ONE}, big AS (SELECT node_id FROM one GROUP BY node_id ORDER BY count(*) DESC, node_id LIMIT 1), r AS (SELECT doc_id, row_number() OVER (ORDER BY rank DESC NULLS LAST, doc_id) AS k FROM one WHERE node_id = (SELECT node_id FROM big)) SELECT doc_id FROM r WHERE k BETWEEN 3 AND 4")
+def node_page(spark, d):
+    """The second page of two of the fullest node."""
+    rows = _in_nodes(spark, d)
+    full = rows.groupBy("node_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "node_id").first()
+    return spatial.node_page(rows, full["node_id"] if full else -1, 2, 1).select("doc_id")
+
+
+@query("SELECT node_id, isleaf, parent_id, depth, index, row_number() OVER (ORDER BY node_id) - 1 AS place FROM nodes")
+def nodes_saved(spark, d):
+    """The tree written in breadth-first order and read again."""
+    path = shared_folder(spark, "nodes")
+    spatial.write_nodes(table(spark, d, "nodes"), path)
+    return numbered(spatial.read_nodes(spark, path), "node_id", "place").select("node_id", "isleaf", "parent_id", "depth", "index", "place")
+
+
+@query(f"WITH {PTS}, k AS (SELECT doc_id, greatest(least(CAST(floor((x + 1) * 8) AS BIGINT), 15), 0) AS cx, greatest(least(CAST(floor((y + 1) * 8) AS BIGINT), 15), 0) AS cy FROM pts) SELECT doc_id, 1 + 85 + " + " + ".join(f"((((cy >> {b}) & 1) * 2 + ((cx >> {b}) & 1)) * {4**b})" for b in range(4)) + " AS node_id FROM k")
+def leaf_of_place(spark, d):
+    return spatial.find_leaf(table(spark, d, "nodes"), points_of(spark, d), 4, first_id=1, y_first=True).select("doc_id", "node_id")
+
+
+# Vectors from text --------------------------------------------------------------------------------
+
+_KEPT = "list_filter(list_zip({c}, range(1, len({c}) + 1)), lambda e: e[1] NOT IN " + _STOP + ")"
+_VECTOR = (
+    "tok AS (SELECT doc_id, " + ", ".join(f"regexp_extract_all(lower(coalesce({c}, '')), '[\\p{{L}}\\p{{N}}]+') AS {c}" for c in ("title", "keywords", "abstract")) + " FROM documents), "
+    "kept AS (SELECT doc_id, " + ", ".join(f"{_KEPT.format(c=c)} AS {c}" for c in ("title", "keywords", "abstract")) + " FROM tok), "
+    "ends AS (SELECT *, coalesce(list_max(list_transform(title, lambda e: e[2])), 0) AS t, coalesce(list_max(list_transform(keywords, lambda e: e[2])), 0) AS k FROM kept), "
+    "places AS (SELECT doc_id, unnest(title) AS e, 0 AS shift, 'A' AS weight FROM ends UNION ALL SELECT doc_id, unnest(keywords), t, 'B' FROM ends UNION ALL SELECT doc_id, unnest(abstract), t + k, 'C' FROM ends), "
+    "vec AS (SELECT doc_id, e[1] AS word, CAST(e[2] + shift AS INT) AS pos, weight FROM places)"
+)
+
+
+@query(f"WITH {_VECTOR} SELECT doc_id, word, pos, weight FROM vec")
+def document_vectors(spark, d):
+    """Vectors of title, keywords and abstract, unstemmed, in long form."""
+    long = text.postings(text.build_vectors(table(spark, d, "documents")))
+    return long.select("doc_id", "word", F.explode("positions").alias("p")).select("doc_id", "word", "p.pos", "p.weight")
+
+
+@query(f"WITH {_VECTOR}, c AS (SELECT doc_id, word, count(*) AS n FROM vec GROUP BY ALL) SELECT doc_id, word, CAST(n AS INT) AS nentry, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) - 1 AS INT) AS place FROM c")
+def document_freqs(spark, d):
+    """Word counts of those vectors, most frequent first, with their place in the stored list."""
+    stored = text.build_vectors(table(spark, d, "documents")).select("doc_id", F.to_json("freqs").alias("json"))
+    return stored.select("doc_id", F.posexplode(text.stored_counts(F.col("json"))).alias("place", "e")).select("doc_id", "e.word", "e.nentry", "place")
+
+
+@query(f"SELECT doc_id FROM documents WHERE CASE WHEN coalesce(lower(trim(lang)) IN ('english', 'en', 'eng', 'en_xx'), FALSE) THEN {_has('depth')} ELSE {_has('depths')} END")
+def search_by_language(spark, d):
+    """The query's words stemmed for English documents only."""
+    return table(spark, d, "documents").where(text.matches_in("depths", F.col("tsv"), F.col("lang"))).select("doc_id")
+
+
+@query("WITH b AS (SELECT doc_id, container_issn, tsv FROM documents WHERE container_issn IS NOT NULL AND tsv IS NOT NULL), p AS (SELECT doc_id, container_issn, e.key AS word, unnest(e.value).pos AS pos FROM (SELECT doc_id, container_issn, unnest(map_entries(tsv)) AS e FROM b)), m AS (SELECT doc_id, container_issn, coalesce(max(pos), 0) AS n FROM b LEFT JOIN p USING (doc_id, container_issn) GROUP BY ALL), s AS (SELECT doc_id, coalesce(sum(n) OVER (PARTITION BY container_issn ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS shift FROM m) SELECT container_issn, word, count(*) AS n, CAST(sum(pos + shift) AS BIGINT) AS places FROM p JOIN s USING (doc_id) GROUP BY ALL")
+def folded_vectors(spark, d):
+    """One vector a journal, its documents' vectors one behind the other."""
+    rows = text.folded_vectors(table(spark, d, "documents").where("container_issn IS NOT NULL AND tsv IS NOT NULL"), "container_issn", "doc_id")
+    long = rows.select("container_issn", F.explode("tsv").alias("word", "places"))
+    return long.select("container_issn", "word", F.size("places").cast("long").alias("n"), F.aggregate("places", F.lit(0).cast("long"), lambda a, p: a + p["pos"]).alias("places"))
+
+
+@query("WITH w AS (SELECT aut_id, unnest(regexp_extract_all(lower(aut_name), '[\\p{L}\\p{N}]+')) AS w FROM authors), p AS (SELECT aut_id, '  ' || w || ' ' AS w FROM w), t AS (SELECT DISTINCT aut_id, substr(w, CAST(i AS BIGINT), 3) AS t FROM (SELECT aut_id, w, unnest(range(1, length(w) - 1)) AS i FROM p)) SELECT aut_id, t AS piece FROM t")
+def author_trigrams(spark, d):
+    return table(spark, d, "authors").select("aut_id", F.explode(text.trigrams(F.col("aut_name"))).alias("piece"))
+
+
+# Term matrix --------------------------------------------------------------------------------------
+
+
+@query(f"WITH sel AS (SELECT * FROM documents WHERE enabled), e AS (SELECT doc_id, unnest(map_entries(tsv)) AS e FROM sel), st AS (SELECT e.key AS word, CAST(count(*) AS DOUBLE) AS ndoc FROM e GROUP BY 1 HAVING count(*) > 5 AND count(*) < 200), t AS (SELECT doc_id, word, sum(CASE q.weight WHEN 'A' THEN 1.0 WHEN 'B' THEN 0.4 WHEN 'C' THEN 0.2 ELSE 0.1 END) AS f FROM (SELECT doc_id, e.key AS word, unnest(e.value) AS q FROM e) GROUP BY ALL), c AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM sel), w AS (SELECT doc_id, word, {_SCHEME_SQL[2]} AS weight FROM t JOIN st USING (word), c) SELECT doc_id, word, round(weight, 6) AS weight FROM w WHERE weight <> 0")
+def term_matrix(spark, d):
+    """The term matrix of the enabled documents over words of 6 to 199 of them."""
+    docs = table(spark, d, "documents")
+    return termmatrix.term_matrix(docs, 2, docs.where("enabled"), ndoc=(5, 200)).select("doc_id", "word", F.round("weight", 6).alias("weight"))
+
+
+@query("WITH t AS (SELECT doc_id, e.word AS word, 1 + 2 * ln(e.nentry) AS weight FROM (SELECT doc_id, unnest(freqs) AS e FROM documents) WHERE e.nentry > 0), m AS (SELECT doc_id, word, sum(weight) AS weight FROM t GROUP BY ALL), n AS (SELECT doc_id, sum(weight * weight) AS n FROM m GROUP BY doc_id), p AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(a.weight * b.weight) AS dot FROM m a JOIN m b USING (word) WHERE a.doc_id % 50 = 0 AND a.doc_id <> b.doc_id GROUP BY ALL) SELECT a, b, round(1 - greatest(least(dot / sqrt(x.n) / sqrt(y.n), 1), -1), 6) AS distance FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b")
+def sparse_cosine(spark, d):
+    """Cosine dissimilarity of sparse rows: every document with an id divisible by 50 against all that share a word with it."""
+    docs = table(spark, d, "documents")
+    words = docs.select(F.explode("freqs").alias("e")).select(F.col("e.word").alias("word")).distinct().withColumn("ndoc", F.lit(1))
+    m = termmatrix.frequency_matrix(docs, words, 1, 3).groupBy("doc_id", "word").agg(F.sum("weight").alias("weight"))
+    got = termmatrix.sparse_products(m.where("doc_id % 50 = 0"), m).where("a <> b")
+    return got.select("a", "b", F.round(1 - F.greatest(F.least(F.col("dot") / F.sqrt("na") / F.sqrt("nb"), F.lit(1.0)), F.lit(-1.0)), 6).alias("distance"))
+
+
+@query()
+def project_documents(spark, d):
+    """From texts to places: term matrix, control points, affine maps, outliers off, scaling."""
+    return projection.project_documents(table(spark, d, "documents"))

@@ -87,6 +87,6 @@ def write_matrix(rows: DataFrame, path: str, kind: str, dims: int) -> None:
     head.union(lines).write.mode("overwrite").text(path)
 
 
-def term_matrix_table(matrix: DataFrame) -> DataFrame:
-    """Wide form of a small long matrix (for a dump): one column a term."""
-    return matrix.groupBy("doc_id").pivot("word").agg(F.first("weight")).na.fill(0.0)
+def write_projection(places: DataFrame, path: str) -> None:
+    """Places (id, x, y) as a dense matrix file of two columns."""
+    write_matrix(places.select("id", F.array("x", "y").alias("features"), F.lit(0.0).alias("klass")), path, "DY", 2)
