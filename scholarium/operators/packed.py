@@ -73,7 +73,7 @@ def shape_of(value: str, quoted: bool) -> str:
     kinds = []
     for t in _TOKEN.findall(value):
         kinds.append("," if t == "," else t.lower() if t.lower() in ("and", "phd") else "I" if len(t) == 1 else "i" if len(t) == 2 else "W")
-    return "".join(k if len(k) == 1 else f"<{k}>" for k in kinds[:9])
+    return "".join(k if len(k) == 1 else f"<{k}>" for k in kinds)
 
 
 def dialects_of(text: str, allowed: tuple[str, ...]) -> list[tuple[str, ...]]:
@@ -163,8 +163,11 @@ def unpack_values(df: DataFrame, key: str = "doc_id", fields: dict[str, tuple[st
     scored = parses.join(known, ["field", "code"], "left").join(shapes, ["field", "shape"], "left")
     share = F.greatest(F.coalesce("n_code", F.lit(0)) - F.col("own_code"), F.lit(0)) / (total + 1)
     form = (F.greatest(F.coalesce("n_shape", F.lit(0)) - F.col("own_shape"), F.lit(0)) + 0.02) / (total + 1)
-    letters = F.length("val")
-    bits = -F.log2(0.5 * share + 0.5 * form * F.pow(F.lit(2.0), -F.least(letters, F.lit(180)) * letter_bits)) + F.greatest(letters - 180, F.lit(0)) * letter_bits
+    # the mixture of both codes in logarithms, so that no length is too long for it
+    known_bits = F.when(share > 0, F.log2(0.5 * share))
+    spelled_bits = F.log2(0.5 * form) - F.length("val") * letter_bits
+    top = F.greatest(known_bits, spelled_bits)
+    bits = -(top + F.log2(1 + F.coalesce(F.pow(F.lit(2.0), F.least(known_bits, spelled_bits) - top), F.lit(0.0)) * F.when(share > 0, 1.0).otherwise(0.0)))
     per_parse = scored.groupBy("_key", "field", "dialect").agg(
         F.sum(bits + stop_bits + F.col("escapes") * strong_bits).alias("bits"), F.collect_set(F.struct("pos", "val")).alias("values")
     )

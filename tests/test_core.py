@@ -9,6 +9,7 @@ from scholarium.functions import mathx, strings, vectors
 from scholarium.operators import cluster, components, density, graph, ingest, packed, prefix, projection, quantiles, spatial, termmatrix, text
 from scholarium.queries import queries
 from scholarium.sources import documents_in, matrix_text
+from scholarium.streaming import incremental
 
 
 def one(spark, *cols):
@@ -201,7 +202,15 @@ def test_projection(spark):
     assert not projection.fastmap(np.zeros((5, 5))).any()
     places = projection.idmap(x, 5)
     assert places.min() >= 0 and places.max() <= 1
-    assert (projection.affine_map(x[3], x, places, 10) == places[3]).all()
+    assert np.allclose(projection.affine_maps(x[3:4], x, places, 10), places[3])
+    probe = rng.normal(size=(6, 5))
+    for use in (4, 40):
+        for row, got in zip(probe, projection.affine_maps(probe, x, places, use)):  # one row at a time, as the map is defined
+            near = np.argsort(((x - row) ** 2).sum(axis=1), kind="stable")[:use]
+            w = 1 / ((x[near] - row) ** 2).sum(axis=1)
+            p, q = w @ x[near] / w.sum(), w @ places[near] / w.sum()
+            u, _, vt = np.linalg.svd((np.sqrt(w)[:, None] * (x[near] - p)).T @ (np.sqrt(w)[:, None] * (places[near] - q)), full_matrices=False)
+            assert np.allclose(got, (row - p) @ (u @ vt) + q)
     line = projection.nearest_neighbour_projection(projection.pairwise(np.array([[0.0], [1.0], [3.0]])))
     assert np.hypot(*(line[1] - line[0])) == pytest.approx(1)
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, features array<double>")
@@ -213,7 +222,7 @@ def test_author_ranks_are_settled(spark, tmp_path):
     """A chain of ten papers that cite the next one, each by an author of its own: ranks reach its end."""
     spark.createDataFrame([(i, i, i + 1) for i in range(10)], "id long, doc_id long, ref_id long").write.parquet(str(tmp_path / "citations.parquet"))
     spark.createDataFrame([(i, i, 100 + i) for i in range(11)], "id long, doc_id long, aut_id long").write.parquet(str(tmp_path / "document_authors.parquet"))
-    got = {r.v: r.pr for r in queries()["author_pagerank"](spark, str(tmp_path)).collect()}
+    got = {r.v: r.pr / 1e6 for r in queries()["author_pagerank"](spark, str(tmp_path)).collect()}
     want, value = {}, 0.0
     for i in range(11):
         value = 0.15 / 11 + 0.85 * value
@@ -229,10 +238,11 @@ def test_every_row_gets_a_place(spark, tmp_path, name):
     rows.write.parquet(str(tmp_path / "embeddings.parquet"))
     got = {r.id: (r.x, r.y) for r in queries()[name](spark, str(tmp_path)).collect()}
     assert sorted(got) == list(range(2500)) and np.isfinite(list(got.values())).all()
-    control = x[:50].astype(np.float32).astype(float)
+    ids = sorted(r.id for r in projection.control_points(rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("features")), 50, "RANDOM").collect())
+    control = x[ids].astype(np.float32).astype(float)
     d = projection.pairwise(control)
     placed = {"fastmap": lambda: projection.fastmap(d), "idmap": lambda: projection.idmap(control), "nearest_neighbour_projection": lambda: projection.normalise_keeping_aspect(projection.nearest_neighbour_projection(d))}[name]()
-    assert np.allclose([got[i] for i in range(50)], placed)
+    assert np.allclose([got[i] for i in ids], placed)
 
 
 def test_clusters(spark):
@@ -289,3 +299,79 @@ def test_sources(spark, tmp_path):
         matrix_text.read_matrix(spark, str(tmp_path / "bad.data"))
     lines = spark.createDataFrame([('[{"title":"T","type":"journal-article","authors":[{"first_name":"A","last_name":"B"}],"identifiers":{"doi":"d"}}]',), ("no",)], "json string")
     assert [(r.title, r.type, r.authors, r.publication_date) for r in documents_in.catalogue_records(lines).collect()] == [("T", "article", "A B", 0)]
+
+
+def test_numbering_and_budget_of_a_hot_value(spark):
+    """Nine tenths of the rows share one rank, and all names begin alike."""
+    rows = [(i, 0.5 if i % 10 else 1.0 + i) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, rank double")
+    for budget in (0.0, 1.5, 60.0, 2125.3, 1e9):
+        want, total = set(), 0.0
+        for i, r in sorted(rows, key=lambda x: (-x[1], x[0])):
+            if total < budget:
+                want.add(i)
+            total += r
+        assert {r.doc_id for r in spatial.rank_budget(df, budget).collect()} == want
+    names = [f"University of {i % 100:04d}" for i in range(200)]
+    got = ingest.upsert_authors(spark.createDataFrame([(7, names[3])], "aut_id long, aut_name string"), spark.createDataFrame([(n,) for n in names], "aut_name string"))
+    assert [(r.aut_id, r.aut_name) for r in got.orderBy("aut_id").collect()] == [(7, names[3])] + [(8 + k, n) for k, n in enumerate(sorted(set(names) - {names[3]}))]
+    assert prefix.numbered(df.limit(0), "doc_id", "n").count() == 0
+
+
+def test_stream_upserts_once(spark, tmp_path):
+    """Rows delivered twice in one batch and again in the next stay one row; only touched buckets get a new version."""
+    schema = "doc_id long, doi string, title string, at long"
+    store = str(tmp_path / "store")
+    one = [(1, "a", None, 1), (1, "a", None, 1), (2, None, "x", 2), (2, None, "x", 2), (3, "b", "B", 3)]
+    incremental.upsert_batch(spark.createDataFrame(one, schema), 0, store, "at")
+    incremental.upsert_batch(spark.createDataFrame(one + [(4, "a", "A", 9)], schema), 1, store, "at")
+    incremental.upsert_batch(spark.createDataFrame(one + [(4, "a", "A", 9)], schema), 1, store, "at")
+    got = incremental.stored(spark, store).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.doi, r.title) for r in got] == [(1, "a", "A"), (2, None, "x"), (3, "b", "B")]
+    for n in range(2, 5):
+        incremental.upsert_batch(spark.createDataFrame([(5, "c", "C", 11)], schema), n, store, "at")
+    bucket = [r for r in incremental.stored(spark, store).collect() if r.doi == "c"][0]._bucket
+    assert {r._version for r in spark.read.parquet(store).where(f"_bucket = {bucket}").collect()} <= {3, 4}
+    assert incremental.stored(spark, store).count() == 4
+
+
+def test_cited_records_are_stored_first(spark):
+    docs = spark.createDataFrame([(1, "a", "A"), (2, "b", "B")], "doc_id long, doi string, title string")
+    refs = spark.createDataFrame([(1, "b", "B"), (1, "z", "Z"), (2, "z", "Z"), (2, None, "?"), (1, "a", "A")], "doc_id long, doi string, title string")
+    stored, links = ingest.cite(spark.createDataFrame([(1, 2)], "doc_id long, ref_id long"), docs, refs)
+    assert {tuple(r) for r in stored.collect()} == {(1, "a", "A"), (2, "b", "B"), (3, "z", "Z")}
+    assert {(r.doc_id, r.ref_id) for r in links.collect()} == {(1, 3), (2, 3)}
+
+
+def test_small_functions(spark):
+    r = one(spark, strings.sanitize(F.lit("smith [ed.]")), strings.container_of(F.lit(None), F.lit("b"), F.lit("e")), strings.container_of_reference(F.lit(None), F.lit("e"), F.lit("b")), strings.pages_of(F.lit(None), F.lit("1"), F.lit("9")), strings.year_of(F.lit("x"), F.lit("1999")), mathx.hypot(F.lit(3e200), F.lit(4e200)))
+    assert r[0] == "Smith Ed" and r[1] == "b" and r[2] == "e" and r[3] == "1-9" and r[4] == 1999 and r[5] == pytest.approx(5e200)
+    a, b = (F.array(*[F.lit(x) for x in v]) for v in ((0.0, 1.0), (0.0, 1.000001)))
+    r = one(spark, vectors.zero_share(a), vectors.is_null_vector(a), vectors.nearly_equal(a, b), text.trigrams(F.lit("Cat")))
+    assert r[0] == 0.5 and not r[1] and r[2] and r[3] == ["  c", " ca", "at ", "cat"]
+    assert text.vector_of(("The cat", None, "A cat of cats"), text.porter) == {"cat": [(2, "A"), (4, "C"), (6, "C")]}
+
+
+def test_writers(spark, tmp_path):
+    matrix = spark.createDataFrame([(1, "a", 0.5), (1, "b", 1.0), (2, "b", 2.0)], "doc_id long, word string, weight double")
+    termmatrix.write_term_table(matrix, str(tmp_path / "t"))
+    back = spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "t")).orderBy("doc_id").collect()
+    assert [tuple(r) for r in back] == [("1", "0.5", "1.0"), ("2", "0.0", "2.0")]
+    dense = termmatrix.to_dense(matrix, ["a", "b"])
+    assert {(r.doc_id, r.word, r.weight) for r in termmatrix.to_sparse(dense, ["a", "b"]).collect()} == {tuple(r) for r in matrix.collect()}
+    places = spark.createDataFrame([(1, 0.25, 0.5), (2, 1.0, 0.0)], "id long, x double, y double")
+    matrix_text.write_projection(places, str(tmp_path / "p"))
+    assert {r.id: list(r.features) for r in matrix_text.read_matrix(spark, str(tmp_path / "p")).collect()} == {"1": [0.25, 0.5], "2": [1.0, 0.0]}
+    grid = density.density_grid(places, (0.0, 0.0, 1.0, 1.0), 0.1)
+    density.write_grid(grid, str(tmp_path / "g"))
+    assert spark.read.csv(str(tmp_path / "g")).count() == grid.count() > 0
+
+
+def test_control_points(spark):
+    rows = spark.createDataFrame([(i, [float(i % 3), 1.0, 0.0]) for i in range(60)], "id long, features array<double>")
+    for choice in ("RANDOM", "KMEANS", "REPRESENTATIVE"):
+        assert projection.control_points(rows, 10, choice).count() == 10
+    assert projection.control_points(rows, 1, "REPRESENTATIVE").count() == 3
+    assert {r.id for r in projection.control_points(rows, 10, "RANDOM").collect()} != set(range(10))
+    with pytest.raises(ValueError):
+        projection.lamp(rows, 5000)

