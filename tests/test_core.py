@@ -375,3 +375,41 @@ def test_control_points(spark):
     assert {r.id for r in projection.control_points(rows, 10, "RANDOM").collect()} != set(range(10))
     with pytest.raises(ValueError):
         projection.lamp(rows, 5000)
+
+
+def test_sparse_products(spark):
+    """Repeated ids and words, weights that cancel out, missing words, several blocks, common and rare words; pairs are never shuffled."""
+    draw = random.Random(5)
+    lines = [(i, [draw.choice(["x", "y", "z", *map(str, range(300)), None]) for _ in range(12)], [draw.choice([-1.0, 0.5, 1.0, 2.0]) for _ in range(12)]) for i in [*range(200), 7, 50, 50]]
+    lines += [(300, ["p", "q"], [1.0, 1.0]), (301, ["p", "q"], [1.0, -1.0]), (302, [], []), (303, None, None), (None, ["x"], [1.0])]
+    rows = spark.createDataFrame(lines, "doc_id long, words array<string>, weights array<double>")
+    cells = {}
+    for i, words, weights in lines:
+        for w, v in zip(words or [], weights or []):
+            cells.setdefault(i, {})[w] = cells.get(i, {}).get(w, 0.0) + v
+    cells = {i: {w: v for w, v in r.items() if v} for i, r in cells.items() if i is not None}
+    want = {(a, b): sum(u * cells[b][w] for w, u in cells[a].items() if w and w in cells[b]) for a in cells if a % 50 == 0 for b in cells if any(w and w in cells[b] for w in cells[a])}
+    assert want[300, 301] == 0.0
+    for block_rows in (2, 4096):
+        pairs = termmatrix.sparse_products(rows.where("doc_id % 50 = 0"), rows, block_rows=block_rows)
+        got = pairs.collect()
+        assert len(got) == len(want) and {(r.a, r.b): round(r.value, 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Join" not in plan
+    assert not termmatrix.sparse_products(rows.where("doc_id < 0"), rows).collect()
+
+
+def test_sparse_cosine(spark, tmp_path):
+    """Against the SQL: repeated and missing words, rows of one id, words used no times; one shuffle, of the documents."""
+    import duckdb
+
+    from scholarium.queries import oracle_sql
+
+    freqs = {50: [("a", 2), ("b", 1), (None, 3)], 100: [("a", 1), ("a", 4), ("c", 0)], 3: [("a", 1), ("c", 5), ("d", None)], 4: [("c", 1)], 5: None, 6: [], 7: [("b", 2), (None, 1)]}
+    rows = [*freqs.items(), (7, [("a", 1)])]
+    spark.createDataFrame(rows, "doc_id long, freqs array<struct<word: string, nentry: int>>").write.parquet(f"{tmp_path}/documents.parquet")
+    df = queries()["sparse_cosine"](spark, str(tmp_path))
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(tuple(r) for r in df.select("a", "b", "distance").collect()) == sorted(c.sql(f"SELECT a, b, distance FROM ({oracle_sql()['sparse_cosine']})").fetchall())
+    assert df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
